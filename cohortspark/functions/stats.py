@@ -6,12 +6,13 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 # fixed value: the 97.5 % point of the standard normal distribution
 Z975 = 1.959963984540054
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _erfc(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or math.isnan(v) else math.erfc(v)).astype("float64")
 
