@@ -92,7 +92,8 @@ def person_days(intervals: DataFrame, events: Sequence[str] = ()) -> DataFrame:
 
 def days_since(onset: Column, day: Column) -> Column:
     """Number of days up to ``day`` on which a status that began at ``onset`` has held."""
-    return F.coalesce(F.greatest(day - F.greatest(onset, F.lit(0)), F.lit(0)), F.lit(0)).cast("int")
+    held = F.greatest(day - F.greatest(onset, F.lit(0)), F.lit(0))
+    return F.when(onset.isNotNull(), held).otherwise(F.lit(0)).cast("int")
 
 
 def last_time_before(times: Column, day: Column) -> Column:

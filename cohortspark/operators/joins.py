@@ -97,19 +97,3 @@ def caliper_join(x: DataFrame, y: DataFrame, on: Sequence[str], calipers: Mappin
     cond += [F.abs(x[c] - right[c + "_y"]) <= F.lit(w) for c, w in calipers.items()]
     out = x.join(right, reduce(lambda a, b: a & b, cond), how)
     return out.drop(*["_y_" + c for c in on])
-
-
-def band_join(x: DataFrame, y: DataFrame, col: str, width: int, on: Sequence[str] = (),
-              suffix: str = "_y") -> DataFrame:
-    """All pairs whose values differ by at most ``width`` (and agree on ``on``) as an equality join.
-
-    Values fall into blocks of the caliper's width; a right row is copied to its block and the two
-    neighbours, so only neighbouring values meet.
-    """
-    block = lambda c: F.floor(F.col(c) / F.lit(max(width, 1)))
-    left = x.withColumn("_blk", block(col))
-    right = y.select(*[F.col(c).alias(c + suffix) for c in y.columns], F.explode(
-        F.array(block(col) - 1, block(col), block(col) + 1)).alias("_yblk"))
-    cond = [left["_blk"] == right["_yblk"]] + [left[c] == right[c + suffix] for c in on]
-    cond.append(F.abs(left[col] - right[col + suffix]) <= F.lit(width))
-    return left.join(right, reduce(lambda a, b: a & b, cond)).drop("_blk", "_yblk")

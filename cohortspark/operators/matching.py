@@ -9,7 +9,8 @@ stratum itself may be huge; it is worked off in blocks of bounded size:
   expiring controls in a block; a single day that is too large is cut by treated id;
 * a block only loads the controls it can reach: for a caliper value within reach of m treated
   people of the block, the first m controls that stay available (and those expiring before them);
-* used controls are removed before the next block. Each block's pairs are checkpointed.
+* used controls are removed before the next block. Each block's pairs are checkpointed, so the loss
+  of an executor costs at most one block.
 
 Small inputs make exactly one block. The pairs are the same for every block size.
 """
@@ -173,6 +174,8 @@ def sequential_match(treated: DataFrame, controls: DataFrame, exact: Sequence[st
         F.coalesce(F.unix_date(until), F.lit(NEVER)).alias("_until"),
     ).dropna(subset=names)
 
+    # both narrow inputs are read several times; written once, nothing upstream is computed again
+    t, c = stable(t), stable(c)
     blocks, select_controls = _plan_blocks(t, c, exact, block_rows)
     types = dict(t.dtypes)
     schema = ", ".join([*[f"`{e}` {types[e]}" for e in exact],
@@ -183,9 +186,8 @@ def sequential_match(treated: DataFrame, controls: DataFrame, exact: Sequence[st
         return pd.DataFrame(rows, columns=[*exact, "treated_id", "control_id", "_day", "_until"])
 
     if select_controls:
-        t, rows = stable(t), c.agg(F.count(F.lit(1))).first()[0]
-        n = ranking.n_buckets_for(rows, max(1, block_rows // 50))
-        c = stable(ranking.add_bucket(c, "_id", ranking.bucket_bounds(c, "_id", n)))
+        n = ranking.n_buckets_for(c.count(), max(1, block_rows // 50))
+        c = ranking.add_bucket(c, "_id", ranking.bucket_bounds(c, "_id", n))
     done: list[DataFrame] = []
     for block in blocks:
         left, right = _of_block(t, block), c
@@ -200,7 +202,7 @@ def sequential_match(treated: DataFrame, controls: DataFrame, exact: Sequence[st
             one = F.lit(0).alias("_g")
             pairs = left.groupBy(one).cogroup(right.groupBy(one)).applyInPandas(
                 lambda key, a, b: match((), a, b), schema)
-        done.append(stable(pairs) if len(blocks) > 1 else pairs)
+        done.append(stable(pairs))
     spark = treated.sparkSession
     out = reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], schema)
     return out.select(

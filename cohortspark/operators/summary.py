@@ -15,7 +15,7 @@ PROBS = (0.1, 0.25, 0.5, 0.75, 0.9)
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
-def stack_text(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
+def stack_text(df: DataFrame, cols: Sequence[str], ids: Sequence[str | Column] = ()) -> DataFrame:
     """(ids..., variable, level) with every level as text and flags as yes/no."""
     kinds = dict(df.dtypes)
 
@@ -24,7 +24,8 @@ def stack_text(df: DataFrame, cols: Sequence[str], ids: Sequence[str] = ()) -> D
         return F.when(x, "yes").when(~x, "no") if kinds[c] == "boolean" else x.cast("string")
 
     pairs = F.array(*[F.struct(F.lit(c).alias("variable"), text(c).alias("level")) for c in cols])
-    return df.select(*ids, F.explode(pairs).alias("_s")).select(*ids, "_s.*")
+    stacked = df.select(*ids, F.explode(pairs).alias("_s"))
+    return stacked.select(*stacked.columns[:-1], "_s.*")
 
 
 def numeric_summary(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), threshold: int = 0,
