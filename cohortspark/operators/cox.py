@@ -83,10 +83,10 @@ def _days(sums: pd.DataFrame, p: int) -> list[_Day]:
         total = np.zeros(2 + 2 * p + len(upper[0]))
         for time in sorted(part["tstop"].unique(), reverse=True):
             here = part[part["tstop"] == time]
-            total = total + sum(here["v"].to_list())
+            total = total + np.array(here["v"].to_list(), dtype=float).sum(axis=0)
             hit = here[here["event"] == 1]
             if len(hit):
-                v = np.asarray(hit["v"].iloc[0])
+                v = np.array(hit["v"].iloc[0], dtype=float)
                 cut = lambda a: (a[1 + p], a[2 + p:2 + 2 * p], square(a[2 + 2 * p:]))
                 out.append(_Day(int(period), int(time), v[0], v[1:1 + p], cut(total), cut(v)))
     return sorted(out, key=lambda d: (d.period, d.time))
@@ -168,6 +168,7 @@ def cox_fit(pieces: DataFrame, adjusters: Sequence[object], n_periods: int, clus
             tol: float = 1e-9) -> CoxFit:
     """Fit on follow-up pieces with columns period_id, tstop, event, arm and the adjusters."""
     design = fit_design(pieces, adjusters)
+    pieces = design.prepare(pieces)
     a = F.col(arm).cast("double")
     by_period = [F.when(F.col("period_id") == k, a).otherwise(F.lit(0.0)) for k in range(1, n_periods + 1)]
     x = F.array(*by_period, *[e.expr.cast("double") for e in design.entries])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -75,6 +77,27 @@ class Design:
     def names(self) -> list[str]:
         return [e.name for e in self.entries]
 
+    def prepare(self, df: DataFrame) -> DataFrame:
+        """Add the spline basis columns once, so that later expressions only refer to them."""
+        new = {n: e for t in self.splines() for n, e in zip(_basis_names(t), spline_basis(F.col(t.col), t.knots))}
+        return df.withColumns({n: e for n, e in new.items() if n not in df.columns}) if new else df
+
+    def splines(self) -> list[Spline]:
+        flat = [t for term in self.terms for t in ((term.left, term.right) if isinstance(term, Product) else (term,))]
+        return list(dict.fromkeys(t for t in flat if isinstance(t, Spline)))
+
+    def helper_columns(self) -> list[str]:
+        return [n for t in self.splines() for n in _basis_names(t)]
+
+    def linear(self, coef: Sequence[float]) -> Column:
+        """Weighted sum of the columns. All levels of a factor share one lookup, so the expression stays
+        small however many columns the design has."""
+        weight = dict(zip(self.names, coef))
+        total = F.lit(0.0)
+        for term in self.terms:
+            total = total + _weighted(term, weight)
+        return total
+
     def array(self) -> Column:
         return F.array(*[e.expr.cast("double") for e in self.entries])
 
@@ -108,6 +131,35 @@ def _read(term, df: DataFrame):
     return term
 
 
+def _basis_names(term: Spline) -> list[str]:
+    tag = zlib.crc32(repr((term.col, term.knots)).encode())
+    return [f"_ns{tag}_{i}" for i in range(len(term.knots) - 1)]
+
+
+def _weighted(term, weight: dict[str, float]) -> Column:
+    """One term's part of the linear predictor; columns without a weight were dropped from the fit."""
+    if isinstance(term, Factor):
+        return _lookup(term, {lv: weight.get(f"{term.col}{lv}") for lv in term.levels[1:]})
+    if isinstance(term, Product) and isinstance(term.right, Factor):
+        parts = [
+            e.expr.cast("double") * _lookup(term.right, {
+                lv: weight.get(f"{e.name}:{term.right.col}{lv}") for lv in term.right.levels[1:]})
+            for e in _entries(term.left)
+        ]
+        return reduce(lambda a, b: a + b, parts)
+    parts = [F.lit(weight[e.name]) * e.expr.cast("double") for e in _entries(term) if e.name in weight]
+    return reduce(lambda a, b: a + b, parts, F.lit(0.0))
+
+
+def _lookup(term: Factor, values: dict[str, float | None]) -> Column:
+    x, out = F.col(term.col), None
+    for level, v in values.items():
+        if v is not None:
+            hit = x == F.lit(level)
+            out = F.when(hit, F.lit(v)) if out is None else out.when(hit, F.lit(v))
+    return F.lit(0.0) if out is None else out.otherwise(F.lit(0.0))
+
+
 def _entries(term) -> list[Entry]:
     if isinstance(term, Number):
         return [Entry(term.col, term.col, term.col, F.col(term.col))]
@@ -119,7 +171,7 @@ def _entries(term) -> list[Entry]:
         return [Entry(f"{term.col}{lv}", term.col, str(lv), (x == F.lit(lv)).cast("double")) for lv in term.levels[1:]]
     if isinstance(term, Spline):
         name = f"spline({term.col})"
-        return [Entry(f"{name}{i + 1}", name, f"{name}{i + 1}", e) for i, e in enumerate(spline_basis(F.col(term.col), term.knots))]
+        return [Entry(f"{name}{i + 1}", name, f"{name}{i + 1}", F.col(c)) for i, c in enumerate(_basis_names(term))]
     if isinstance(term, Product):
         return [
             Entry(f"{a.name}:{b.name}", f"{a.variable}:{b.variable}", f"{a.label}:{b.label}", a.expr * b.expr)

@@ -44,15 +44,19 @@ def treatment_models(days: DataFrame, event: str, at_risk: str, varying: Sequenc
 
 
 def realised(probability: Column, event: str) -> Column:
-    """Probability of the status that was observed."""
-    return F.when(F.col(event) == 1, probability).otherwise(1 - probability)
+    """Probability of the status that was observed: p if the event happened, 1 - p if not."""
+    y = F.col(event).cast("double")
+    return (1 - y) + (2 * y - 1) * probability
 
 
-def stabilised_weight(models: tuple[LogisticFit, LogisticFit], event: str, at_risk: str) -> Column:
-    """Fixed-covariate over time-varying probability of the observed status; 1 when not at risk."""
+def with_stabilised_weight(days: DataFrame, models: tuple[LogisticFit, LogisticFit], event: str, at_risk: str,
+                           name: str) -> DataFrame:
+    """Add the fixed-covariate over time-varying probability of the observed status; 1 when not at risk."""
     varying, fixed = models
+    ready = fixed.prepare(varying.prepare(days))
     ratio = realised(fixed.probability(), event) / realised(varying.probability(), event)
-    return F.when(F.col(at_risk), ratio).otherwise(F.lit(1.0))
+    out = ready.withColumn(name, F.when(F.col(at_risk), ratio).otherwise(F.lit(1.0)))
+    return out.drop(*varying.design.helper_columns(), *fixed.design.helper_columns())
 
 
 def add_weights(days: DataFrame, weights: dict[str, Column], sample_weight: str | None = None,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,14 +30,12 @@ class LogisticFit:
     def names(self) -> list[str]:
         return [INTERCEPT, *self.design.names]
 
-    def linear(self) -> Column:
-        """Linear predictor of a row."""
-        parts = [F.lit(b) * e.expr.cast("double") for b, e in zip(self.coef[1:], self.design.entries)]
-        return reduce(lambda a, b: a + b, parts, F.lit(self.coef[0]))
+    def prepare(self, df: DataFrame) -> DataFrame:
+        return self.design.prepare(df)
 
     def probability(self) -> Column:
-        """Predicted probability of a row, as a plain expression: predicting needs no join."""
-        return 1 / (1 + F.exp(-self.linear()))
+        """Predicted probability of a prepared row, as a plain expression: predicting needs no join."""
+        return 1 / (1 + F.exp(-(F.lit(self.coef[0]) + self.design.linear(self.coef[1:]))))
 
 
 def fit_logistic(df: DataFrame, terms: Sequence[object], label: str, weight: str | None = None,
@@ -48,6 +45,7 @@ def fit_logistic(df: DataFrame, terms: Sequence[object], label: str, weight: str
     Columns that depend linearly on earlier ones are dropped first (their coefficient is undefined).
     """
     design = fit_design(df, terms)
+    df = design.prepare(df)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.select(F.col(label).cast("double").alias("_y"), w.alias("_w"), design.array().alias("_x")).where("_w > 0")
     with_one = rows.select(F.concat(F.array(F.lit(1.0)), F.col("_x")).alias("_x"))
@@ -103,11 +101,12 @@ def robust_logistic(df: DataFrame, fit: LogisticFit, label: str, cluster: str, w
     """Add the cluster-robust (HC0) variance to a fit."""
     coef, p = np.array(fit.coef), len(fit.coef)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    prob = fit.probability()
+    df = fit.prepare(df).withColumns({"_wt": w, "_p": fit.probability()}).where("_wt > 0")
+    prob = F.col("_p")
     rows = df.select(
         cluster, F.concat(F.array(F.lit(1.0)), fit.design.array()).alias("_x"),
-        (w * (F.col(label).cast("double") - prob)).alias("_r"), (w * prob * (1 - prob)).alias("_h"),
-    ).where(w > 0)
+        (F.col("_wt") * (F.col(label).cast("double") - prob)).alias("_r"), (F.col("_wt") * prob * (1 - prob)).alias("_h"),
+    )
     bread = gram(rows, "_x", "_h")
     sums = score_sums(rows.select(cluster, "_x", "_r"), cluster, p,
                       lambda b: np.stack(b["_x"].to_numpy()) * b["_r"].to_numpy()[:, None])

@@ -167,30 +167,30 @@ def baseline_table(df: DataFrame, by: str, categorical: Sequence[str], continuou
     """Table 1 in long form: per arm, variable and level the rounded count, the base and the share
     recomputed from them, missingness, and median and quartiles of continuous variables."""
     r = lambda c: roundmid_any(F.col(c), threshold).cast("long")
-    long = stack_text(df, categorical, [F.col(by).cast("string").alias("by")])
-    counts = long.groupBy("by", "variable", "level").agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy("by", "variable")
+    long = stack_text(df, categorical, [F.col(by).cast("string").alias("arm")])
+    counts = long.groupBy("arm", "variable", "level").agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy("arm", "variable")
     counts = counts.withColumns({
-        "N_obs": F.sum("n").over(w),
-        "N_miss": F.coalesce(F.sum(F.when(F.col("level").isNull(), F.col("n"))).over(w), F.lit(0)),
-    }).withColumn("N_nonmiss", F.col("N_obs") - F.col("N_miss"))
+        "n_obs": F.sum("n").over(w),
+        "n_miss": F.coalesce(F.sum(F.when(F.col("level").isNull(), F.col("n"))).over(w), F.lit(0)),
+    }).withColumn("n_nonmiss", F.col("n_obs") - F.col("n_miss"))
     cats = counts.where(F.col("level").isNotNull()).select(
-        "by", "variable", "level", "n", F.col("N_nonmiss").alias("N"), "N_miss", "N_obs", "N_nonmiss")
+        "arm", "variable", "level", "n", F.col("n_nonmiss").alias("n_base"), "n_miss", "n_obs", "n_nonmiss")
     if continuous:
         pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in continuous])
-        num = df.select(F.col(by).cast("string").alias("by"), F.explode(pairs).alias("_s")).select("by", "_s.*")
-        base = num.groupBy("by", "variable").agg(
-            F.count(F.lit(1)).alias("N_obs"), F.count("x").alias("N_nonmiss")).withColumn(
-            "N_miss", F.col("N_obs") - F.col("N_nonmiss"))
-        q = quantiles_wide(df.withColumn("by", F.col(by).cast("string")), continuous, [0.25, 0.5, 0.75], ["by"], kind, **kw)
-        nums = base.join(q, ["by", "variable"], "left").withColumnRenamed("p50", "median").withColumn("level", F.lit(""))
+        num = df.select(F.col(by).cast("string").alias("arm"), F.explode(pairs).alias("_s")).select("arm", "_s.*")
+        base = num.groupBy("arm", "variable").agg(
+            F.count(F.lit(1)).alias("n_obs"), F.count("x").alias("n_nonmiss")).withColumn(
+            "n_miss", F.col("n_obs") - F.col("n_nonmiss")).withColumn("n_base", F.col("n_nonmiss"))
+        q = quantiles_wide(df.withColumn("arm", F.col(by).cast("string")), continuous, [0.25, 0.5, 0.75], ["arm"], kind, **kw)
+        nums = base.join(q, ["arm", "variable"], "left").withColumnRenamed("p50", "median").withColumn("level", F.lit(""))
         cats = cats.unionByName(nums, allowMissingColumns=True)
     else:
         cats = cats.withColumns({c: F.lit(None).cast("double") for c in ("median", "p25", "p75")})
-    out = cats.withColumns({c: r(c) for c in ("n", "N", "N_miss", "N_obs", "N_nonmiss")})
+    out = cats.withColumns({c: r(c) for c in ("n", "n_base", "n_miss", "n_obs", "n_nonmiss")})
     return out.withColumns({
-        "p": ratio(F.col("n"), F.col("N")), "p_miss": ratio(F.col("N_miss"), F.col("N_obs")),
-        "p_nonmiss": ratio(F.col("N_nonmiss"), F.col("N_obs"))})
+        "p": ratio(F.col("n"), F.col("n_base")), "p_miss": ratio(F.col("n_miss"), F.col("n_obs")),
+        "p_nonmiss": ratio(F.col("n_nonmiss"), F.col("n_obs"))})
 
 
 def separation_table(df: DataFrame, event: str, cols: Sequence[str]) -> DataFrame:
@@ -246,12 +246,12 @@ def histogram(df: DataFrame, x: Column, lo: float, hi: float, bins: int) -> Data
 def redact_baseline(table: DataFrame, threshold: int = 5) -> DataFrame:
     """Suppress small cells of a baseline table within each arm and variable, its missing count
     standing in as one more cell; the shares of suppressed cells go too."""
-    cells = table.where(F.col("n").isNotNull()).select("by", "variable", "level", F.col("n").alias("_n"))
-    lost = table.where(F.col("n").isNotNull()).groupBy("by", "variable").agg(F.max("N_miss").alias("_n"))
+    cells = table.where(F.col("n").isNotNull()).select("arm", "variable", "level", F.col("n").alias("_n"))
+    lost = table.where(F.col("n").isNotNull()).groupBy("arm", "variable").agg(F.max("n_miss").alias("_n"))
     cells = cells.unionByName(lost.withColumn("level", F.lit(None).cast("string")))
-    flags = redaction_flag(cells, "_n", threshold, ["by", "variable"], ["level"])
-    hide = flags.where(F.col("level").isNotNull()).select("by", "variable", "level", "redacted")
-    hide_miss = flags.where(F.col("level").isNull()).select("by", "variable", F.col("redacted").alias("redacted_miss"))
-    out = table.join(hide, ["by", "variable", "level"], "left").join(hide_miss, ["by", "variable"], "left")
+    flags = redaction_flag(cells, "_n", threshold, ["arm", "variable"], ["level"])
+    hide = flags.where(F.col("level").isNotNull()).select("arm", "variable", "level", "redacted")
+    hide_miss = flags.where(F.col("level").isNull()).select("arm", "variable", F.col("redacted").alias("redacted_miss"))
+    out = table.join(hide, ["arm", "variable", "level"], "left").join(hide_miss, ["arm", "variable"], "left")
     out = out.fillna(False, ["redacted", "redacted_miss"])
-    return redact(redact(out, ["n", "p"]), ["N_miss", "p_miss", "N_nonmiss", "p_nonmiss", "N"], "redacted_miss")
+    return redact(redact(out, ["n", "p"]), ["n_miss", "p_miss", "n_nonmiss", "p_nonmiss", "n_base"], "redacted_miss")

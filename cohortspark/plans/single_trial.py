@@ -138,9 +138,12 @@ def weighted_days(days: DataFrame, fixed: DataFrame, base: DataFrame, outcome: s
     for b in (["any"] if brand == "any" else brands):
         pair = ipw.treatment_models(mine, f"vax{b}1", f"vax{b}1_atrisk", varying, terms, "random_n", ipw_n)
         models.append((b, pair))
-        weights[f"vax{b}1"] = ipw.stabilised_weight(pair, f"vax{b}1", f"vax{b}1_atrisk")
+    for b, pair in models:
+        mine = ipw.with_stabilised_weight(mine, pair, f"vax{b}1", f"vax{b}1_atrisk", f"_w_{b}")
+        weights[f"vax{b}1"] = F.col(f"_w_{b}")
     kept = mine.join(sampled.where("sampled").select("patient_id", "sample_weight"), "patient_id")
-    return ipw.add_weights(kept, weights, "sample_weight"), models
+    out = ipw.add_weights(kept, weights, "sample_weight")
+    return out.drop(*[f"_w_{b}" for b, _ in models]), models
 
 
 def msm(weighted: DataFrame, cfg: StudyConfig, terms: Sequence[object]) -> logistic.LogisticFit:

@@ -257,15 +257,15 @@ def level_counts(spark, sf):
 
 def _table1_sql(source: str, by: str, cats: dict[str, str], num: str, t: int) -> str:
     r = lambda x: f"CAST({chain.mid(x, t)} AS BIGINT)"
-    stack = " UNION ALL ".join(f"SELECT {by} AS by, '{v}' AS variable, {e} AS level FROM {source}" for v, e in cats.items())
+    stack = " UNION ALL ".join(f"SELECT {by} AS arm, '{v}' AS variable, {e} AS level FROM {source}" for v, e in cats.items())
     q = lambda p: f"""(max(age) FILTER (rn = greatest(ceil(N*{p}), 1)) + max(age) FILTER (rn = CASE WHEN N*{p}=round(N*{p}) THEN least(N*{p}+1, N) ELSE ceil(N*{p}) END))/2.0"""
-    return f"""SELECT by, variable, level, {r('n0')} AS n, {r('N1')} AS N, {r('m')} AS N_miss, {r('o')} AS N_obs, {r('N1')} AS N_nonmiss, median, p25, p75,
+    return f"""SELECT arm, variable, level, {r('n0')} AS n, {r('N1')} AS n_base, {r('m')} AS n_miss, {r('o')} AS n_obs, {r('N1')} AS n_nonmiss, median, p25, p75,
  {r('n0')}/nullif({r('N1')},0)::DOUBLE AS p, {r('m')}/nullif({r('o')},0)::DOUBLE AS p_miss, {r('N1')}/nullif({r('o')},0)::DOUBLE AS p_nonmiss FROM (
- SELECT by, variable, level, n0, o-m AS N1, m, o, NULL::DOUBLE AS median, NULL::DOUBLE AS p25, NULL::DOUBLE AS p75 FROM (
-  SELECT by, variable, level, n0, sum(n0) OVER (PARTITION BY by, variable) AS o, coalesce(sum(CASE WHEN level IS NULL THEN n0 END) OVER (PARTITION BY by, variable), 0) AS m FROM (
-   SELECT by, variable, level, count(*) AS n0 FROM ({stack}) GROUP BY 1, 2, 3)) WHERE level IS NOT NULL
- UNION ALL SELECT by, '{num}', '', NULL, max(N), 0, max(N), {q(0.5)}::DOUBLE, {q(0.25)}::DOUBLE, {q(0.75)}::DOUBLE FROM (
-  SELECT {by} AS by, age, row_number() OVER (PARTITION BY {by} ORDER BY age) AS rn, count(*) OVER (PARTITION BY {by}) AS N FROM {source}) GROUP BY 1)"""
+ SELECT arm, variable, level, n0, o-m AS N1, m, o, NULL::DOUBLE AS median, NULL::DOUBLE AS p25, NULL::DOUBLE AS p75 FROM (
+  SELECT arm, variable, level, n0, sum(n0) OVER (PARTITION BY arm, variable) AS o, coalesce(sum(CASE WHEN level IS NULL THEN n0 END) OVER (PARTITION BY arm, variable), 0) AS m FROM (
+   SELECT arm, variable, level, count(*) AS n0 FROM ({stack}) GROUP BY 1, 2, 3)) WHERE level IS NOT NULL
+ UNION ALL SELECT arm, '{num}', '', NULL, max(N), 0, max(N), {q(0.5)}::DOUBLE, {q(0.25)}::DOUBLE, {q(0.75)}::DOUBLE FROM (
+  SELECT {by} AS arm, age, row_number() OVER (PARTITION BY {by} ORDER BY age) AS rn, count(*) OVER (PARTITION BY {by}) AS N FROM {source}) GROUP BY 1)"""
 
 
 _T1 = {"sex": "sex", "region": "region", "imd_quintile": "imd_quintile", "multimorb": "multimorb", "diabetes": "CASE WHEN diabetes THEN 'yes' ELSE 'no' END",
@@ -288,10 +288,10 @@ _PCT = "CASE WHEN p*100 < 10 THEN printf('%.1f', round(p*100,1)) ELSE printf('%.
 _STAT = f"CASE WHEN n IS NOT NULL THEN n::VARCHAR || ' (' || {_PCT} || '%)' ELSE printf('%.0f', round(median,0)) || ' (' || printf('%.0f', round(p25,0)) || ', ' || printf('%.0f', round(p75,0)) || ')' END"
 
 
-@query(sql(f"""SELECT variable, level, max(s) FILTER (by='pfizer') AS pfizer, max(s) FILTER (by='az') AS az, max(s) FILTER (by='none') AS "none"
+@query(sql(f"""SELECT variable, level, max(s) FILTER (arm='pfizer') AS pfizer, max(s) FILTER (arm='az') AS az, max(s) FILTER (arm='none') AS "none"
  FROM (SELECT *, {_STAT} AS s FROM ({_T1_SQL})) GROUP BY 1, 2""", "people"))
 def table1_wide(spark, sf):
-    return report.baseline_wide(table1(spark, sf), ["pfizer", "az", "none"], "by")
+    return report.baseline_wide(table1(spark, sf), ["pfizer", "az", "none"], "arm")
 
 
 @query(fx.with_sql("ev") + """SELECT patient_id, date, count(*) AS n FROM ev GROUP BY 1, 2 HAVING count(*) > 1""")
