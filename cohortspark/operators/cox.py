@@ -164,7 +164,7 @@ def _score_residuals(beta: np.ndarray, tables: dict[int, dict[str, np.ndarray]])
 
 
 def cox_fit(pieces: DataFrame, adjusters: Sequence[object], n_periods: int, cluster: str | None = "patient_id",
-            event: str = "ind_outcome", arm: str = "treated", ties: str = "efron", max_iter: int = 25,
+            event: str = "ind_outcome", arm: str = "treated", ties: str = "efron", max_iter: int = 20,
             tol: float = 1e-9) -> CoxFit:
     """Fit on follow-up pieces with columns period_id, tstop, event, arm and the adjusters."""
     design = fit_design(pieces, adjusters)

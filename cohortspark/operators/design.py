@@ -190,6 +190,11 @@ def spline_basis(x: Column, knots: Sequence[float]) -> list[Column]:
     return [u] + [bend(i) - bend(len(k) - 2) for i in range(len(k) - 2)]
 
 
+def columns_of(term) -> set[str]:
+    """Data columns a term reads."""
+    return columns_of(term.left) | columns_of(term.right) if isinstance(term, Product) else {term.col}
+
+
 def fit_design(df: DataFrame, terms: Sequence[object]) -> Design:
     known: dict = {}
     fixed = tuple(_fix(t, df, known) for t in terms)

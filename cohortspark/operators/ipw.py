@@ -12,15 +12,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortspark.operators import sampling
+from cohortspark.operators.design import columns_of
 from cohortspark.operators.logistic import LogisticFit, fit_logistic
 from cohortspark.operators.summary import numeric_summary
 from cohortspark.operators.windows import running
+from cohortspark.session import stable
 
 
 def draw_sample(days: DataFrame, event: str, kind: str, amount: float, person: str = "patient_id") -> DataFrame:
     """(person, sample_weight) of the sampled people. ``kind``: random_n, random_prop, nonoutcomes_n,
-    nonoutcomes_prop."""
-    people = days.groupBy(person).agg((F.max(event) > 0).alias("had_event"))
+    nonoutcomes_prop. The person-days are read once; the search for the cut-off id runs on people."""
+    people = stable(days.groupBy(person).agg((F.max(event) > 0).alias("had_event")))
     draw = {
         "random_n": lambda: sampling.sample_random_n(people, int(amount), person),
         "random_prop": lambda: sampling.sample_random_prop(people, amount, person),
@@ -37,9 +39,15 @@ def draw_sample(days: DataFrame, event: str, kind: str, amount: float, person: s
 
 def treatment_models(days: DataFrame, event: str, at_risk: str, varying: Sequence[object], fixed: Sequence[object],
                      kind: str, amount: float, person: str = "patient_id") -> tuple[LogisticFit, LogisticFit]:
-    """Models of the event with and without time-varying covariates, on a sample of those at risk."""
+    """Models of the event with and without time-varying covariates, on a sample of those at risk.
+
+    The sampled rows are written once, spread over all cores; every pass of both fits reads them.
+    """
     risk = days.where(F.col(at_risk))
     sample = risk.join(draw_sample(risk, event, kind, amount, person), person)
+    needed = {c for t in (*varying, *fixed) for c in columns_of(t)}
+    cores = days.sparkSession.sparkContext.defaultParallelism
+    sample = stable(sample.select(event, "sample_weight", *sorted(needed)).repartition(cores))
     return (fit_logistic(sample, varying, event, "sample_weight"), fit_logistic(sample, fixed, event, "sample_weight"))
 
 

@@ -57,7 +57,7 @@ def fit_logistic(df: DataFrame, terms: Sequence[object], label: str, weight: str
     try:
         model = GeneralizedLinearRegression(
             family="binomial", link="logit", featuresCol="_v", labelCol="_y", weightCol="_w",
-            maxIter=max_iter, regParam=0.0, tol=1e-10,
+            maxIter=max_iter, regParam=0.0, tol=1e-7,
         ).fit(data)
     finally:
         data.unpersist()

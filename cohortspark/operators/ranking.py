@@ -189,7 +189,7 @@ def _rank_struct(p: float, kind: int) -> Column:
         return F.struct(F.lit(p).alias("prob"), rank.alias("_r1"), rank.alias("_r2"), F.lit(0.0).alias("_frac"))
     if kind == 2:
         pos = n * F.lit(p)
-        whole = F.abs(pos - F.round(pos)) < F.lit(1e-9)
+        whole = (F.abs(pos - F.round(pos)) < F.lit(1e-9)) & (pos > F.lit(0.5))
         rank = F.greatest(F.ceil(pos - F.lit(1e-9)), F.lit(1)).cast("long")
         nxt = F.when(whole, F.least(rank + 1, F.col("_total"))).otherwise(rank).cast("long")
         return F.struct(F.lit(p).alias("prob"), rank.alias("_r1"), nxt.alias("_r2"), F.lit(0.5).alias("_frac"))

@@ -83,13 +83,14 @@ def cox_by_period(matched: DataFrame, outcome: str, cfg: StudyConfig, adjust: Se
                   level_col: str | None = None, levels: Sequence[str] = ("all",), **tags: str) -> DataFrame:
     """Hazard ratios per follow-up period, fitted separately for each subgroup level."""
     adjust = cfg.adjust_sequential if adjust is None else adjust
-    done = followed(matched, outcome, cfg)
+    group = [] if level_col is None else [level_col]
+    # a narrow table, written once: every level and the final score pass read it
+    done = matching.stable(followed(matched, outcome, cfg).select(
+        "patient_id", "treated", "tte_outcome", "ind_outcome", *group,
+        *[F.col(c).cast("double").alias(c) for c in adjust if c not in group]))
     parts = []
     for level in levels:
         mine = done if level_col is None else done.where(F.col(level_col) == level)
-        mine = mine.select(
-            "patient_id", "treated", "tte_outcome", "ind_outcome",
-            *[F.col(c).cast("double").alias(c) for c in adjust])
         pieces = intervals.split_follow_up(mine, "tte_outcome", "ind_outcome", cfg.cuts)
         fit = cox.cox_fit(pieces, [Number(c) for c in adjust], len(cfg.cuts) - 1)
         parts.append(cox.cox_contrasts(

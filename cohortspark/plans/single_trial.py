@@ -11,6 +11,7 @@ from cohortspark.functions.columns import timesince_labels, tte
 from cohortspark.operators import intervals, ipw, logistic, sampling
 from cohortspark.operators.design import Factor, Number, Powers, Product, Spline
 from cohortspark.plans import cohorts
+from cohortspark.session import stable
 
 HOSPITAL_LEVELS = ("Not in hospital", "In hospital", "1-21", "22-28")
 TTE_EVENTS = ("vaxany1", "vaxany2", "postest", "admitted", "death", "dereg")
@@ -143,7 +144,9 @@ def weighted_days(days: DataFrame, fixed: DataFrame, base: DataFrame, outcome: s
         weights[f"vax{b}1"] = F.col(f"_w_{b}")
     kept = mine.join(sampled.where("sampled").select("patient_id", "sample_weight"), "patient_id")
     out = ipw.add_weights(kept, weights, "sample_weight")
-    return out.drop(*[f"_w_{b}" for b, _ in models]), models
+    # sampled people only; spread over all cores for the many passes of the outcome model
+    cores = days.sparkSession.sparkContext.defaultParallelism
+    return stable(out.drop(*[f"_w_{b}" for b, _ in models]).repartition(cores)), models
 
 
 def msm(weighted: DataFrame, cfg: StudyConfig, terms: Sequence[object]) -> logistic.LogisticFit:
