@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cohortspark.session import stable
+
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 8192
 
@@ -54,6 +56,7 @@ def row_numbers(df: DataFrame, by: Sequence[str], order: str, name: str = "rank"
     if n == 1:
         w = W.partitionBy(*keys).orderBy(order, *ties)
         return df.withColumn(name, F.row_number().over(w).cast("long"))
+    df = stable(df)  # read for the bounds, the counts and the rows
     cut = add_bucket(df, order, bucket_bounds(df, order, n))
     counts = cut.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -88,7 +91,7 @@ def kth_smallest(df: DataFrame, col: str, k: int, fanout: int = 4096) -> int | N
         width = -(-(hi - lo + 1) // fanout)
         bins = (
             df.where(F.col(col).between(lo, hi))
-            .groupBy(F.expr(f"({col} - {lo}L) div {width}L").alias("b"))
+            .groupBy(F.expr(f"(`{col}` - {lo}L) div {width}L").alias("b"))
             .agg(F.count(F.lit(1)).alias("n"))
             .collect()
         )
@@ -127,6 +130,8 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     keys = [*by, "variable"]
     rows = counts.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     n = n_buckets_for(rows, rows_per_bucket)
+    if n > 1:
+        counts = stable(counts)  # read for the bounds, the bucket sizes and the values
     counts = _bucket_each(counts, cols, n)
     per_bucket = counts.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_n"))
     running = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)

@@ -11,15 +11,21 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortspark.operators.ranking import kth_smallest
+from cohortspark.session import stable
 
 
 def _flag(cut: int | None, id_col: str) -> Column:
     return F.lit(False) if cut is None else F.col(id_col) <= F.lit(cut)
 
 
+def _cut_off(df: DataFrame, id_col: str, n: int) -> int | None:
+    """The n-th smallest distinct id. The ids are written once; each pass of the search reads them."""
+    return kth_smallest(stable(df.select(id_col).distinct()), id_col, n)
+
+
 def sample_random_n(df: DataFrame, n: int, id_col: str = "patient_id", name: str = "sampled") -> DataFrame:
     """Flag the rows of the n smallest ids."""
-    cut = kth_smallest(df.select(id_col).distinct(), id_col, n)
+    cut = _cut_off(df, id_col, n)
     return df.withColumn(name, _flag(cut, id_col))
 
 
@@ -46,7 +52,7 @@ def sample_nonoutcomes_prop(df: DataFrame, proportion: float, had: str, id_col:
 def _nonoutcomes(df, had, id_col, name, amount) -> DataFrame:
     non = df.where(~F.col(had))
     k = amount(non.agg(F.count(F.lit(1))).first()[0])
-    cut = kth_smallest(non.select(id_col).distinct(), id_col, k)
+    cut = _cut_off(non, id_col, k)
     return df.withColumn(name, F.col(had) | _flag(cut, id_col))
 
 

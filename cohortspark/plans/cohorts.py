@@ -43,7 +43,8 @@ def with_history(people: DataFrame, events: DataFrame, spells: DataFrame, anchor
     """People alive and registered at their anchor date, with their history before it."""
     dated = people.withColumn("anchor_date", anchor)
     known = history_before(events, spells, dated.select("patient_id", "anchor_date").where("anchor_date is not null"))
-    df = dated.join(known, ["patient_id", "anchor_date"])
+    # one anchor per person here, so the person alone is the key and no new shuffle is needed
+    df = dated.join(known.drop("anchor_date"), "patient_id")
     df = df.where(F.col("death_0_date").isNull() & F.col("dereg_0_date").isNull())
     return recode.add_history(df, F.col("anchor_date"), ["postest_0_date"], tests="n_tests")
 

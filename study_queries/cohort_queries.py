@@ -335,3 +335,42 @@ def _life_sql() -> str:
 @query(sql(_life_sql(), "kmc"))
 def life_table(spark, sf):
     return survival.life_table(km_table(spark, sf), ["treated"], add_time_zero=True)
+
+
+@query(sql("""SELECT 'single' AS brand, crit, CASE crit WHEN 'c0' THEN 'Everybody' ELSE crit END AS criteria, n FROM (
+ SELECT unnest(['c0','c1','c2','c3','c4','c5','c6','c7']) AS crit, unnest([c0,c1,c2,c3,c4,c5,c6,c7]) AS n FROM (
+ SELECT %s FROM single))""" % ", ".join(f"CAST(ceil(count(*) FILTER (c{i})/6.0)*6 AS BIGINT) AS c{i}" for i in range(8)) + """
+ UNION ALL SELECT 'pfizer', 'BDF', 'Treated with pfizer during recruitment, matched as treated', CAST(ceil(count(*)/6.0)*6-3 AS BIGINT) FROM fl WHERE brand='pfizer' AND crit IN ('B','D','F')""",
+ "pairs_a", "pairs_b", "single", **FLOWS))
+def final_flowchart(spark, sf):
+    crit = [f"c{i}" for i in range(8)]
+    text = {c: ("Everybody" if c == "c0" else c) for c in crit}
+    single = el.flowchart(chain.single(spark, sf), crit, threshold=CFG.threshold, text=text).select("crit", "criteria", "n")
+    boxes = flow_boxes_theta_join(spark, sf).where("brand = 'pfizer' and crit = 'BDF'")
+    return el.final_flowchart(single, boxes)
+
+
+@query(sql("""SELECT CAST(count(*) FILTER (ok) AS BIGINT) AS kept, count(*) AS proposed, round(100*(count(*) FILTER (ok))/count(*)::DOUBLE, 2) AS pct
+ FROM (SELECT m.*, t.age % 2 = 0 AS ok FROM pairs_a m JOIN people t ON t.patient_id=m.treated_id)""", "pairs_a", "people"))
+def match_success(spark, sf):
+    members = matching.pair_members(chain.pairs(spark, sf))
+    even = chain.people(spark, sf).where("age % 2 = 0").select("patient_id")
+    kept = members.where("treated = 1").join(even, "patient_id", "left_semi").select("trial_date", "match_id")
+    return matching.success_share(members, members.join(kept, ["trial_date", "match_id"]))
+
+
+@query(sql("""SELECT treated, CAST(0 AS BIGINT) AS n_duplicated FROM (VALUES (0),(1)) t(treated)"""))
+def duplicated_members(spark, sf):
+    return matching.duplicated_members(matching.pair_members(chain.pairs(spark, sf)))
+
+
+@query(sql("""SELECT treated, count(*) FILTER (NOT ind_outcome) AS "ind_outcome_False", count(*) FILTER (ind_outcome) AS "ind_outcome_True" FROM fu GROUP BY 1""", "fu"))
+def outcome_frequency(spark, sf):
+    from cohortspark.operators.summary import cross_counts
+    return cross_counts(chain.followed(spark, sf), "treated", "ind_outcome", [False, True])
+
+
+@query(sql("""SELECT patient_id, treated, trial_date, match_id, dose2_date, postest_date, admitted_date, death_date, dereg_date FROM matched""", "matched"))
+def matched_outcomes(spark, sf):
+    return chain.matched(spark, sf).select("patient_id", "treated", "trial_date", "match_id", "dose2_date", "postest_date",
+                                           "admitted_date", "death_date", "dereg_date")

@@ -367,3 +367,29 @@ def pooled_effect_table(spark, sf):
 @query()
 def meta_analysis_p_values(spark, sf):
     return report.meta_analysis(_estimates(spark, sf), ["brand"])
+
+
+@query("""SELECT o_orderpriority, o_orderstatus, count(*) AS n, CASE o_orderpriority WHEN '1-URGENT' THEN 'Urgent' WHEN '2-HIGH' THEN 'High' END AS o_orderpriority_descr,
+ CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 END AS INT) AS o_orderpriority_ord, CASE o_orderstatus WHEN 'O' THEN 'Open' WHEN 'F' THEN 'Filled' END AS o_orderstatus_descr,
+ CAST(CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 END AS INT) AS o_orderstatus_ord FROM orders GROUP BY 1, 2""")
+def add_descriptions(spark, sf):
+    n = fx.load(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return report.add_descriptions(n, {
+        "o_orderpriority": {"1-URGENT": "Urgent", "2-HIGH": "High"}, "o_orderstatus": {"O": "Open", "F": "Filled"}})
+
+
+@query("""SELECT CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS size_class, CASE WHEN p_type IN ('ECONOMY','SMALL') THEN 'cheap' ELSE p_type END AS type_group,
+ CAST(CASE WHEN p_size < 10 THEN 3 WHEN p_size < 30 THEN 2 ELSE 1 END AS INT) AS reversed, count(*) AS n FROM part GROUP BY 1, 2, 3""")
+def ordered_recode(spark, sf):
+    size, levels = c.case_levels([(F.col("p_size") < 10, "small"), (F.col("p_size") < 30, "middle")], "large")
+    df = fx.load(spark, sf, "part").select(size.alias("size_class"), c.collapse(F.col("p_type"), {"cheap": ["ECONOMY", "SMALL"]}).alias("type_group"))
+    return df.groupBy("size_class", "type_group", c.reverse_order(c.level_order(F.col("size_class"), levels), 3).alias("reversed")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query(sql(f"""SELECT arm, variable, level, NOT coalesce(redacted, false) AS shown, CASE WHEN NOT redacted THEN n END AS n FROM (
+ SELECT arm, variable, level, n, redacted FROM ({_redact_sql("SELECT arm, variable, level, n FROM (SELECT arm, variable, level, n FROM t1 WHERE n IS NOT NULL UNION ALL SELECT arm, variable, NULL, max(n_miss) FROM t1 WHERE n IS NOT NULL GROUP BY 1, 2)", 'arm, variable', 'level NULLS FIRST', 60, '')})
+ WHERE level IS NOT NULL)""", "people", t1=_T1_SQL))
+def redacted_table1(spark, sf):
+    t = summary.redact_baseline(table1(spark, sf), 60).where("level <> ''")
+    return t.select("arm", "variable", "level", (~F.col("redacted")).alias("shown"), "n")

@@ -95,3 +95,24 @@ def test_pair_bookkeeping(spark):
 
 def test_pack():
     assert matching.pack([(1, 3), (2, 4), (3, 9), (4, 1)], 8) == [(1, 2), (3, 3), (4, 4)]
+
+
+def test_rounds_keep_every_rule(spark):
+    """Two rounds on the driver's tables: nobody serves twice in a role and every pair is valid."""
+    from cohortspark import fixture as fx
+    from cohortspark.plans import sequential_trial as seq
+    from study_queries import chain
+
+    sf = "/root/testdata/sf0.001"
+    people = chain.people(spark, sf)
+    mine = chain.treated(spark, sf).where(F.col("include") & (F.col("vax1_type") == "pfizer"))
+    out = seq.match_rounds(mine, people, fx.events(spark, sf), fx.spells(spark, sf), chain.CFG, 2, 14)
+    rows = out.join(people.select("patient_id", "age", "sex", "region", "vax1_date"), "patient_id").collect()
+    assert rows and len({(r["patient_id"], r["treated"]) for r in rows}) == len(rows)
+    pairs = {}
+    for r in rows:
+        pairs.setdefault((r["matching_round"], r["trial_date"], r["match_id"]), {})[r["treated"]] = r
+    for pair in pairs.values():
+        t, c = pair[1], pair[0]
+        assert (t["sex"], t["region"]) == (c["sex"], c["region"]) and abs(t["age"] - c["age"]) <= 3
+        assert t["vax1_date"] == t["trial_date"] and (c["vax1_date"] is None or c["vax1_date"] > t["trial_date"])
