@@ -165,7 +165,8 @@ def sequential_match(treated: DataFrame, controls: DataFrame, exact: Sequence[st
         kind = dict(controls.dtypes)[name]
         if kind not in ("tinyint", "smallint", "int", "bigint"):
             raise ValueError(f"caliper column {name} must be a whole number, is {kind}")
-    cols = [*[F.col(e) for e in exact], *[F.col(n).cast("long").alias(n) for n in caliper]]
+    # aliases keep the two sides apart when both come from one table
+    cols = [*[F.col(e).alias(e) for e in exact], *[F.col(n).cast("long").alias(n) for n in caliper]]
     names = [*exact, *caliper]
     t = treated.select(*cols, F.col(person).cast("long").alias("_id"), F.unix_date(day).alias("_day"))
     t = t.dropna(subset=[*names, "_day"])

@@ -68,6 +68,18 @@ def test_exact_only_rank_match_equals_greedy_loop(spark):
     assert sorted((r["treated_id"], r["control_id"], r["trial_date"]) for r in pairs.collect()) == want
 
 
+def test_both_sides_from_one_table(spark):
+    treated, controls = population(9, 40, 60, 0.5)
+    people = {p[0]: p for p in treated + controls if p[1]}
+    role = {p[0] for p in treated if p[1]}
+    t, _ = frames(spark, list(people.values()), list(people.values()))
+    t = t.withColumn("treated_date", F.when(F.col("patient_id").isin(*role), F.col("trial_date")))
+    got = matching.sequential_match(t.where("treated_date is not null"), t, ["g"], {"age": 3}, block_rows=20)
+    want = brute([p for p in people.values() if p[0] in role],
+                 [(p[0], p[1], p[2], p[3] if p[0] in role else None) for p in people.values()], 3)
+    assert sorted((r["treated_id"], r["control_id"], r["trial_date"]) for r in got.collect()) == want
+
+
 def test_caliper_must_be_whole(spark):
     t, c = frames(spark, [(1, "a", 70, 0)], [(2, "a", 70, None)])
     with pytest.raises(ValueError):
