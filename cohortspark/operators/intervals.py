@@ -8,11 +8,10 @@ a narrow explode: only bringing repeated status changes to the person needs a sh
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortspark.functions.columns import any_true, cut_band, satisfied, timesince_cut
+from cohortspark.functions.columns import cut_band, satisfied, timesince_cut
 
 
 def status_changes(changes: DataFrame, time: str, value: str, order: Sequence[str], last: str,

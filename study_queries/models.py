@@ -10,11 +10,11 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from cohortspark import fixture as fx
-from cohortspark.operators import intervals, ipw, logistic, report
+from cohortspark.operators import ipw, logistic, report
 from cohortspark.plans import sequential_trial as seq, single_trial as st
 from cohortspark.session import stable
 from study_queries import chain
-from study_queries.chain import CFG, sql
+from study_queries.chain import CFG
 from study_queries.registry import query
 from study_queries.shaping import single_base
 
