@@ -200,6 +200,11 @@ def truncate_text(x: Column, width: int) -> Column:
     return F.when(F.length(x) <= width, x).otherwise(F.concat(F.substring(x, 1, width - 3), F.lit("...")))
 
 
+def wrap_text(x: Column, width: int) -> Column:
+    """Break a text into lines of at most ``width`` characters at spaces."""
+    return F.regexp_replace(F.regexp_replace(x, rf"(.{{1,{width}}})(\s+|$)", "$1\n"), r"\n$", "")
+
+
 def fill_template(text: Column, values: Mapping[str, Column]) -> Column:
     """Replace every ``{name}`` in a text by the value given for that name."""
     for name, value in values.items():

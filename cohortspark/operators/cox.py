@@ -203,6 +203,14 @@ def cox_fit(pieces: DataFrame, adjusters: Sequence[object], n_periods: int, clus
     return CoxFit(names, beta, info, variance, robust, float(loglik), it)
 
 
+def coefficients(spark: SparkSession, fit: CoxFit) -> DataFrame:
+    """All coefficients with model-based and robust standard errors."""
+    root = lambda m: np.sqrt(np.clip(np.diag(m), 0, None)) if m is not None else [None] * len(fit.names)
+    rows = [(n, float(b), float(s), None if r is None else float(r))
+            for n, b, s, r in zip(fit.names, fit.coef, root(fit.variance), root(fit.robust))]
+    return spark.createDataFrame(rows, "term string, estimate double, std_error double, robust_se double")
+
+
 def cox_contrasts(spark: SparkSession, fit: CoxFit, cuts: Sequence[int], **tags: str) -> DataFrame:
     """Hazard ratio of treatment per follow-up period with robust limits. The standard error is that of
     the log hazard ratio. A period without any event has no estimate."""

@@ -37,14 +37,16 @@ def matching_pairs(dx: DataFrame, dy: DataFrame, cond: Column, small_side: int =
 
 def predicate_join(x: DataFrame, y: DataFrame, by: Mapping[str, str],
                    match: Callable[..., Column] | Sequence[Callable[[Column, Column], Column]],
-                   how: str = "inner", multi: bool = False, small_side: int = SMALL_SIDE) -> DataFrame:
+                   how: str = "inner", multi: bool = False, distance: tuple[str, Callable[..., Column]] | None = None,
+                   small_side: int = SMALL_SIDE) -> DataFrame:
     """Join on predicates instead of equality, in any of the modes inner, left, right, full, semi, anti.
 
     ``by`` maps left key columns to right key columns. ``match`` is one predicate for all columns, one
     per column (all must hold), or with ``multi`` a single predicate over all left and right keys.
     Predicates are evaluated once per distinct pair of key values; equality joins bring the rows back,
     so repeated (hot) values cost nothing extra in the predicate step. A NULL key matches nothing.
-    Columns present on both sides get the endings ``_x`` and ``_y``.
+    Columns present on both sides get the endings ``_x`` and ``_y``. ``distance`` (name, function of all
+    keys) adds a column computed for each matching pair.
     """
     kx, ky = list(by), list(by.values())
     tx, ty = [f"_kx{i}" for i in range(len(kx))], [f"_ky{i}" for i in range(len(ky))]
@@ -58,6 +60,8 @@ def predicate_join(x: DataFrame, y: DataFrame, by: Mapping[str, str],
             raise ValueError("need one predicate per key column")
         cond = reduce(lambda a, b: a & b, [f(F.col(a), F.col(b)) for f, a, b in zip(fns, tx, ty)])
     pairs = matching_pairs(dx, dy, cond, small_side)
+    if distance:
+        pairs = pairs.withColumn(distance[0], distance[1](*[F.col(c) for c in tx], *[F.col(c) for c in ty]))
 
     on_x = reduce(lambda a, b: a & b, [F.col(c) == F.col(t) for c, t in zip(kx, tx)])
     if how in ("semi", "anti"):
@@ -67,7 +71,7 @@ def predicate_join(x: DataFrame, y: DataFrame, by: Mapping[str, str],
     right = y.select(*[F.col(c).alias(c + "_y" if c in both else c) for c in y.columns])
     name_x = lambda c: c + "_x" if c in both else c
     name_y = lambda c: c + "_y" if c in both else c
-    out_cols = [*left.columns, *right.columns]
+    out_cols = [*left.columns, *right.columns, *([distance[0]] if distance else [])]
     to_x = reduce(lambda a, b: a & b, [F.col(name_x(c)) == F.col(t) for c, t in zip(kx, tx)])
     to_y = reduce(lambda a, b: a & b, [F.col(name_y(c)) == F.col(t) for c, t in zip(ky, ty)])
     if how == "inner":

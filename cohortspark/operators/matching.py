@@ -33,6 +33,7 @@ from cohortspark.session import stable
 
 BLOCK_ROWS = 500_000
 NEVER = 2**31 - 1
+MERGE_AFTER = 16
 
 
 @dataclass(frozen=True)
@@ -204,6 +205,8 @@ def sequential_match(treated: DataFrame, controls: DataFrame, exact: Sequence[st
             pairs = left.groupBy(one).cogroup(right.groupBy(one)).applyInPandas(
                 lambda key, a, b: match((), a, b), schema)
         done.append(stable(pairs))
+        if len(done) >= MERGE_AFTER:
+            done = [stable(reduce(DataFrame.unionByName, done))]  # keeps the plan of the next blocks small
     spark = treated.sparkSession
     out = reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], schema)
     return out.select(

@@ -162,7 +162,7 @@ def match_carryover_anti(spark, sf):
  (SELECT s.status, CAST(d AS DATE) AS date FROM (VALUES ('matched'),('unmatched')) s(status), range(DATE '1997-01-01', DATE '1998-01-01', INTERVAL 1 DAY) r(d)) g
  LEFT JOIN (SELECT t.day AS date, CASE WHEN p.match_id IS NULL THEN 'unmatched' ELSE 'matched' END AS status, count(*) AS n
   FROM t_a t LEFT JOIN pairs_a p ON p.treated_id=t.id GROUP BY ALL) x ON x.status=g.status AND x.date=g.date))""", "pairs_a"))
-def match_coverage(spark, sf):
+def coverage(spark, sf):
     st = match_status(spark, sf).where("treated = 1")
     return matching.coverage(st, CFG.index_date, CFG.end_date, CFG.threshold)
 

@@ -28,6 +28,19 @@ def cox_period_hr(spark, sf):
     return seq.cox_by_period(chain.matched(spark, sf), "postest", CFG, ADJUST, brand=chain.BRAND)
 
 
+@query()
+def cox_robust(spark, sf):
+    """All coefficients of the period model with model-based and person-clustered standard errors."""
+    from cohortspark.operators import cox
+    from cohortspark.operators.design import Number
+    from cohortspark.operators.intervals import split_follow_up
+
+    done = stable(chain.followed(spark, sf).select(
+        "patient_id", "treated", "tte_outcome", "ind_outcome", *[F.col(a).cast("double").alias(a) for a in ADJUST]))
+    fit = cox.cox_fit(split_follow_up(done, "tte_outcome", "ind_outcome", CFG.cuts), [Number(a) for a in ADJUST], len(CFG.cuts) - 1)
+    return cox.coefficients(spark, fit)
+
+
 @query()
 def cox_by_subgroup(spark, sf):
     m = stable(chain.matched(spark, sf))

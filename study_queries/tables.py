@@ -337,6 +337,33 @@ def text_formatting(spark, sf):
         c.truncate_text(F.col("txt"), 8).alias("short"), F.regexp_extract("txt", r"(\d+)-", 1).alias("num"))
 
 
+@query("""SELECT p_partkey, regexp_replace(regexp_replace(p_name || ' ' || p_type || ' ' || p_brand, '(.{1,12})(\\s+|$)', '\\1\n', 'g'), '\n$', '') AS wrapped FROM part""")
+def wrapped_text(spark, sf):
+    text = F.concat_ws(" ", "p_name", "p_type", "p_brand")
+    return fx.load(spark, sf, "part").select("p_partkey", c.wrap_text(text, 12).alias("wrapped"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size < 10 THEN '1-9' WHEN p_size < 25 THEN '10-24' ELSE '25+' END AS closed_left,
+ CASE WHEN p_size <= 10 THEN '(0,10]' WHEN p_size <= 25 THEN '(10,25]' WHEN p_size <= 40 THEN '(25,40]' END AS closed_right,
+ CASE WHEN p_size % 5 = 0 THEN 'Never' WHEN p_size < 20 THEN 'recent' ELSE 'old' END AS with_missing,
+ CASE WHEN p_size % 5 = 0 THEN '31+' WHEN p_size - 10 <= 0 THEN 'pre' WHEN p_size - 10 <= 7 THEN '1-7' WHEN p_size - 10 <= 30 THEN '8-30' ELSE '31+' END AS since FROM part""")
+def cut_bands(spark, sf):
+    x = F.col("p_size")
+    gap = F.when(x % 5 != 0, x)
+    return fx.load(spark, sf, "part").select(
+        "p_partkey", c.cut_band(x, [1, 10, 25, c.INF], ["1-9", "10-24", "25+"]).alias("closed_left"),
+        c.cut_band(x, [0, 10, 25, 40], ["(0,10]", "(10,25]", "(25,40]"], right=True).alias("closed_right"),
+        c.cut_band_missing(gap, [-c.INF, 20, c.INF], ["recent", "old"], "Never").alias("with_missing"),
+        c.timesince_cut(gap - 10, [0, 7, 30]).alias("since"))
+
+
+@query("""SELECT p_partkey, p_size, n_nationkey, n_regionkey, p_size - n_nationkey AS gap FROM part LEFT JOIN nation ON abs(p_size - n_nationkey) <= 1""")
+def fuzzy_join_distance(spark, sf):
+    x = fx.load(spark, sf, "part").select("p_partkey", "p_size")
+    y = fx.load(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    return joins.predicate_join(x, y, {"p_size": "n_nationkey"}, lambda a, b: F.abs(a - b) <= 1, "left", distance=("gap", lambda a, b: a - b))
+
+
 _EST = """SELECT o_orderpriority AS brand, o_orderstatus AS subgroup_level, avg(o_totalprice)/250000 AS coxhazr, stddev_samp(o_totalprice)/sqrt(count(*))/avg(o_totalprice) AS coxhr_se,
  avg(o_totalprice)/250000*0.9 AS coxhr_ll, avg(o_totalprice)/250000*1.1 AS coxhr_ul FROM orders GROUP BY 1, 2"""
 _META = """SELECT brand, sum(ln(coxhazr)/(coxhr_se*coxhr_se))/sum(1/(coxhr_se*coxhr_se)) AS loghr, sqrt(1/sum(1/(coxhr_se*coxhr_se))) AS loghr_se FROM est GROUP BY 1"""
