@@ -38,7 +38,7 @@ def norm(v):
     if isinstance(v, Decimal):
         v = float(v)
     if isinstance(v, float):
-        return None if math.isnan(v) else float(f"{v:.9g}") + 0.0
+        return None if math.isnan(v) else v + 0.0
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     return v
