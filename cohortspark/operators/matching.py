@@ -293,8 +293,9 @@ def recheck_pairs(members: DataFrame, exact: Sequence[str], caliper: Mapping[str
 
 def success_share(before: DataFrame, after: DataFrame) -> DataFrame:
     """Pairs kept, pairs proposed and the percentage kept."""
-    count = lambda df, name: df.agg(F.sum("treated").cast("long").alias(name))
-    return count(after, "kept").join(count(before, "proposed")).withColumn(
+    both = before.select("treated", F.lit(0).alias("_k")).unionByName(after.select("treated", F.lit(1).alias("_k")))
+    pairs = lambda k: F.count(F.when((F.col("treated") == 1) & (F.col("_k") == k), F.lit(1)))
+    return both.agg(pairs(1).alias("kept"), pairs(0).alias("proposed")).withColumn(
         "pct", F.round(100 * F.try_divide(F.col("kept").cast("double"), F.col("proposed").cast("double")), 2))
 
 

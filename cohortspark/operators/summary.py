@@ -95,8 +95,9 @@ def catcat_summary(df: DataFrame, var1: str, var2: str, threshold: int = 5, accu
     long = stack_text(df, [var1], [F.coalesce(F.col(var2).cast("string"), F.lit(MISSING)).alias("level2")])
     counts = long.groupBy("level2", F.coalesce("level", F.lit(MISSING)).alias("level1")).agg(
         F.count(F.lit(1)).alias("n"))
-    l1, l2 = counts.select("level1").distinct(), counts.select("level2").distinct()
-    grid = l1.withColumn("_j", F.lit(1)).join(l2.withColumn("_j", F.lit(1)), "_j").drop("_j")
+    # every combination of the levels that occur, so that empty cells count as zero
+    levels = counts.agg(F.collect_set("level1").alias("_a"), F.collect_set("level2").alias("_b"))
+    grid = levels.select(F.explode("_a").alias("level1"), "_b").select("level1", F.explode("_b").alias("level2"))
     counts = grid.join(counts, ["level1", "level2"], "left").fillna(0, ["n"])
     w = W.partitionBy("level2")
     known = F.when(F.col("level1") != MISSING, F.col("n")).otherwise(F.lit(0))

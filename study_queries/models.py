@@ -155,3 +155,49 @@ def effect_table_from_estimates(spark, sf):
         "or_ll": F.exp(F.col("estimate") - z * F.col("std_error")), "or_ul": F.exp(F.col("estimate") + z * F.col("std_error"))})
     return logistic.effect_table(est, "band", first_level="A").select(
         "subgroup_level", "term", "term_left", "term_right", "term_midpoint", "ve", "ve_ll", "ve_ul", "diff", "diff_se", "z")
+
+
+def _text_sql(e: str) -> str:
+    f = lambda x: f"printf('%.2f', round({x}, 2))"
+    return f"{f(e)} || ' (' || {f(e + '*0.9')} || '-' || {f(e + '*1.1')} || ')'"
+
+
+@query(f"""WITH s AS (SELECT 'Sequential trial' AS approach, o_orderpriority AS brand, CASE o_orderkey%3 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 35 END AS a,
+ CASE o_orderkey%3 WHEN 0 THEN 3 WHEN 1 THEN 7 ELSE 70 END AS b, avg(o_totalprice)/250000 AS e FROM orders GROUP BY ALL
+ UNION ALL SELECT 'Single trial', o_orderpriority, CASE o_orderkey%4 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 35 ELSE 70 END,
+ CASE o_orderkey%4 WHEN 0 THEN 3 WHEN 1 THEN 7 WHEN 2 THEN 70 END, avg(o_totalprice)/260000 FROM orders GROUP BY ALL)
+SELECT 'death' AS outcome, brand, CASE WHEN b IS NOT NULL THEN a::VARCHAR || '-' || b::VARCHAR END AS fup_period, CAST(CASE b WHEN 3 THEN 1 WHEN 7 THEN 2 WHEN 70 THEN 7 END AS INT) AS period_ord,
+ max(CASE WHEN approach='Sequential trial' THEN {_text_sql('e')} END) AS "Sequential trial", max(CASE WHEN approach='Single trial' THEN {_text_sql('e')} END) AS "Single trial" FROM s GROUP BY ALL""")
+def effect_comparison_from_estimates(spark, sf):
+    """The design comparison on estimates taken from plain aggregates, so that SQL can check it."""
+    orders = fx.load(spark, sf, "orders")
+    k3, k4 = F.col("o_orderkey") % 3, F.col("o_orderkey") % 4
+    tags = [F.lit("all").alias("subgroup"), F.lit("all").alias("subgroup_level"), F.lit("death").alias("outcome")]
+    span = lambda lo, mid, hi: F.when(k3 == 0, lo).when(k3 == 1, mid).otherwise(hi)
+    seq_e = orders.groupBy(F.col("o_orderpriority").alias("brand"), span(0, 3, 35).alias("period_start"), span(3, 7, 70).alias("period_end")).agg(
+        (F.avg("o_totalprice") / 250000).alias("coxhazr"))
+    seq_e = seq_e.select("*", *tags, (F.col("coxhazr") * 0.9).alias("coxhr_ll"), (F.col("coxhazr") * 1.1).alias("coxhr_ul"))
+    term = F.when(k4 == 0, "1-3").when(k4 == 1, "4-7").when(k4 == 2, "36-70").otherwise("71+")
+    one_e = orders.groupBy(F.col("o_orderpriority").alias("brand"), term.alias("term")).agg((F.avg("o_totalprice") / 260000).alias("or"))
+    one_e = one_e.select("*", *tags, (F.col("or") * 0.9).alias("or_ll"), (F.col("or") * 1.1).alias("or_ul"))
+    return report.effect_comparison_wide(report.effect_comparison(seq_e, one_e, CFG.cuts))
+
+
+@query(f"""WITH c AS (SELECT l_returnflag AS brand, l_linestatus AS label, l_linestatus='F' AS ref, avg(l_discount)*20 AS e FROM lineitem GROUP BY ALL)
+SELECT 'status' AS variable, label, max(CASE WHEN brand='A' THEN v END) AS "A", max(CASE WHEN brand='N' THEN v END) AS "N", max(CASE WHEN brand='R' THEN v END) AS "R"
+FROM (SELECT *, CASE WHEN ref THEN '1 ' ELSE {_text_sql('e')} END AS v FROM c) GROUP BY 1, 2""")
+def ratio_table_from_estimates(spark, sf):
+    """The wide odds-ratio table on estimates taken from plain aggregates."""
+    est = fx.load(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("brand"), F.col("l_linestatus").alias("label")).agg(
+        (F.avg("l_discount") * 20).alias("or"))
+    est = est.select("*", F.lit("status").alias("variable"), (F.col("label") == "F").alias("reference_row"),
+                     (F.col("or") * 0.9).alias("or_ll"), (F.col("or") * 1.1).alias("or_ul"))
+    return report.ratio_table_wide(est, ["A", "N", "R"])
+
+
+@query("""SELECT CAST(greatest(least(floor((log10(w) + 1)/(2/20.0)), 20), -1) AS INT) AS bin, count(*) AS n,
+ -1.0::DOUBLE + greatest(least(floor((log10(w) + 1)/(2/20.0)), 20), -1)*(2/20.0) AS bin_start FROM (SELECT l_quantity/(l_linenumber*5.3) AS w FROM lineitem) GROUP BY ALL""")
+def weight_histogram_from_values(spark, sf):
+    """The weight histogram on a plain ratio, so that SQL can check it."""
+    w = fx.load(spark, sf, "lineitem").select((F.col("l_quantity") / (F.col("l_linenumber") * 5.3)).alias("w"))
+    return ipw.weight_histogram(w, "w", 20, -1.0, 1.0)

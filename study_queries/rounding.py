@@ -43,4 +43,5 @@ DOUBLES: dict[str, str] = {
     "spline_knots": "prob quantile",
     "meta_analysis": "loghr loghr_se hr statistic conf_low conf_high",
     "effect_table_from_estimates": "term_left term_right term_midpoint ve ve_ll ve_ul diff diff_se z",
+    "weight_histogram_from_values": "bin_start",
 }
