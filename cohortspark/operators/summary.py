@@ -151,16 +151,18 @@ def skim(df: DataFrame, id_suffix: str = "_id", **kw) -> DataFrame:
 
 
 def level_counts(df: DataFrame, cols: Sequence[str], top: int = 10, threshold: int = 6) -> DataFrame:
-    """Rounded counts and percentages of the first levels of each categorical column."""
+    """Rounded counts and percentages of the first levels of each categorical column.
+
+    A text column may have very many levels: totals come from an aggregate and the rank filter cuts each
+    task's levels before the shuffle, so no task sees all levels of a column.
+    """
     counts = stack_text(df, cols).groupBy("variable", "level").agg(F.count(F.lit(1)).alias("n"))
-    out = counts.withColumn("n", roundmid_any(F.col("n"), threshold).cast("long"))
-    total = F.sum("n").over(W.partitionBy("variable"))
+    counts = counts.withColumn("n", roundmid_any(F.col("n"), threshold).cast("long"))
+    totals = counts.groupBy("variable").agg(F.sum("n").alias("_total"), F.count(F.lit(1)).alias("n_levels"))
     place = W.partitionBy("variable").orderBy(F.col("level").asc_nulls_last())
-    out = out.withColumns({
-        "percent": F.round(100 * ratio(F.col("n"), total), 2),
-        "n_levels": F.count(F.lit(1)).over(W.partitionBy("variable")), "place": F.row_number().over(place),
-    })
-    return out.where(F.col("place") <= top)
+    first = counts.withColumn("place", F.row_number().over(place)).where(F.col("place") <= top)
+    out = first.join(totals, "variable")
+    return out.withColumn("percent", F.round(100 * ratio(F.col("n"), F.col("_total")), 2)).drop("_total")
 
 
 def baseline_table(df: DataFrame, by: str, categorical: Sequence[str], continuous: Sequence[str] = (),
