@@ -8,10 +8,10 @@
 3. *Star links.* Texts that agree in a sample are compared with the smallest id of that sample's group, not with each
    other. Comparing is a banded alignment of the words: the pair is similar if the edit distance is at most a fifth of
    the longer text.
-4. *The rest.* Texts of a group that are not similar to its smallest id are compared among themselves, in tasks
-   of bounded size (large groups are cut into a grid of parts that meet in pairs), until the group's components
-   are known; pairs inside a component need no comparison.
-5. *Components* of the links, by alternating stars.
+4. *Components* of the links, by alternating stars.
+5. *The rest.* Texts of a group that are not similar to its smallest id are compared among themselves, in tasks
+   of bounded size (large groups are cut into a grid of parts that meet in pairs), except inside a component: such
+   a pair could only link what is linked. The new links join components.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ from cohortspark.session import stable
 WORDS, SAMPLES, SIMILARITY = 5, 24, 0.8
 #: Texts of a group that one task compares.
 PART = 1000
-#: Dimensions of the word counts that rule out most dissimilar pairs.
-COUNTED = 64
+#: Dimensions of the counts of word pairs that rule out most dissimilar pairs.
+COUNTED = 1024
+#: Links of one task in the rounds that find components.
+ROUND_ROWS = 200_000
 _SEEDS = np.random.default_rng(99).integers(0, 2**63, size=256, dtype=np.uint64)
 
 
@@ -127,6 +129,8 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     distance, shift = most_here, most_here + 1 - width
     level = top >> 1
     down = len(a) - most_here
+    # what the rest of the row can still take off
+    hopeless = most + len(b) - down
     for i, x in enumerate(b.tolist()):
         bits = where.get(x, 0)
         match = (bits >> shift if shift >= 0 else bits << -shift) & full
@@ -138,6 +142,8 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
         else:
             distance += bool(hp & level) - bool(hn & level)
             level >>= 1
+        if distance > hopeless:
+            return most + 1
         half = d0 >> 1
         vp = hn | (full ^ (half | hp))
         vn = half & hp
@@ -152,8 +158,10 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def word_counts(codes: np.ndarray) -> np.ndarray:
-    return np.bincount(codes % COUNTED, minlength=COUNTED)
+def pair_counts(codes: np.ndarray) -> np.ndarray:
+    """Hashed counts of neighbouring words. An edit touches two pairs of either text, so it moves them by four at most."""
+    pair = (codes[:-1] * np.uint32(2654435761)) ^ (codes[1:] * np.uint32(2246822519))
+    return np.minimum(np.bincount((pair >> np.uint32(7)) % np.uint32(COUNTED), minlength=COUNTED), 32_000).astype(np.int16)
 
 
 def _read(data: bytes) -> np.ndarray:
@@ -192,9 +200,13 @@ def _verify(least: float):
     return run
 
 
-def components_of(codes: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Links (i, j) that join the similar ones of a few sequences; a pair inside a component is not compared."""
-    root = list(range(len(codes)))
+def components_of(codes: list[np.ndarray], least: float, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links (i, j) that join the similar ones of a few sequences; a pair inside a component is not compared.
+
+    `known`: for each sequence the component it is already in.
+    """
+    first: dict[int, int] = {}
+    root = [first.setdefault(k, i) for i, k in enumerate(known)] if known is not None else list(range(len(codes)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -204,12 +216,11 @@ def components_of(codes: list[np.ndarray], least: float) -> list[tuple[int, int]
 
     links = []
     size = np.asarray([len(c) for c in codes])
-    bags = np.stack([word_counts(c) for c in codes])
+    bags = np.stack([pair_counts(c) for c in codes])
     for i in range(len(codes) - 1):
         longest = np.maximum(size[i], size[i + 1:])
         most = np.floor((1 - least) * longest + 1e-9)
-        # every edit changes at most two counts by one each
-        near = (np.abs(size[i] - size[i + 1:]) <= most) & (np.abs(bags[i] - bags[i + 1:]).sum(axis=1) <= 2 * most)
+        near = (np.abs(size[i] - size[i + 1:]) <= most) & (np.abs(bags[i] - bags[i + 1:]).sum(axis=1, dtype=np.int64) <= 4 * most)
         for j in (np.flatnonzero(near) + i + 1).tolist():
             if find(i) != find(j) and similar(codes[i], codes[j], least):
                 root[find(j)] = find(i)
@@ -219,9 +230,16 @@ def components_of(codes: list[np.ndarray], least: float) -> list[tuple[int, int]
 
 def _among(least: float):
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_pylist()
-        links = components_of([_read(x) for x in table.column("codes").to_pylist()], least)
-        return pa.table({"a": pa.array([ids[i] for i, _ in links], pa.int64()), "b": pa.array([ids[j] for _, j in links], pa.int64())})
+        """Several whole groups, one after the other."""
+        table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("doc_id", "ascending")])
+        ids = table.column("root").to_pylist()
+        group = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+        cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
+        codes = [_read(x) for x in table.column("codes").to_pylist()]
+        links = []
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
+            links += [(ids[low + i], ids[low + j]) for i, j in components_of(codes[low:high], least, ids[low:high])]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
 
@@ -233,19 +251,20 @@ def connected(edges: DataFrame) -> DataFrame:
     number of rounds grows with the logarithm of the longest path; each is written to the checkpoint folder.
     """
     now = stable(edges.where("a <> b").select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("root")).distinct())
-    state = None
+    parts = max(4, C.n_buckets(now.count(), ROUND_ROWS))
     while True:
+        # done if every id points at one root, and no root points on
+        ends = now.select(F.col("id").alias("x"), F.lit(1).alias("out")).union(now.select("root", F.lit(0)))
+        if not ends.groupBy("x").agg(F.sum("out").alias("out"), F.min("out").alias("low")).where(
+                "out > 1 or (out = 1 and low = 0)").limit(1).count():
+            return now
         both = now.union(now.select("root", "id")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("id"), F.col("m").alias("root")).distinct()
         down = large.groupBy("id").agg(F.min("root").alias("m"))
         small = large.join(down, "id")
         now = stable(small.where("root <> m").select(F.col("root").alias("id"), F.col("m").alias("root")).union(
-            down.select("id", F.col("m").alias("root"))).distinct())
-        found = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("id", "root").cast("decimal(38,0)"))).first())
-        if found == state:
-            return now
-        state = found
+            down.select("id", F.col("m").alias("root"))).distinct().coalesce(parts))
 
 
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, part: int = PART) -> DataFrame:
@@ -277,18 +296,25 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, part: int
     both = pairs.join(codes.toDF("leader", "leader_codes"), "leader").join(codes, "doc_id").select(
         "leader", "doc_id", "leader_codes", "codes")
     linked = stable(both.mapInArrow(_verify(least), "a long, b long"))
-    rest = met.join(linked.toDF("leader", "doc_id"), ["leader", "doc_id"], "left_anti")
-    # groups of the same texts under several keys are compared once
-    groups = rest.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum")).where(
-        "m > 1").groupBy("m", "sum").agg(F.min("key").alias("key"))
+    roots = connected(linked)
+    rest = met.join(linked.toDF("leader", "doc_id"), ["leader", "doc_id"], "left_anti").select("key", "doc_id").join(
+        roots.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    # a group inside one component has nothing to tell; groups of the same texts under several keys tell it once
+    groups = rest.groupBy("key").agg(
+        F.count("*").alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"),
+        F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").groupBy("m", "sum").agg(F.min("key").alias("key"))
     parts = F.ceil(F.col("m") / F.lit(part)).cast("int")
     cell = rest.join(groups.select("key", "m"), "key").withColumn("parts", parts).withColumn(
         "p", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn(
         "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("p <> q or parts = 1").select(
-        "key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "doc_id").distinct()
-    among = cell.join(codes, "doc_id").groupBy("key", "i", "j").applyInArrow(_among(least), "a long, b long")
-    roots = connected(linked.union(among))
-    classes = member.join(roots.toDF("rep", "root"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("class_id"))
+        "key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "doc_id", "root").distinct()
+    cell = stable(cell)
+    tasks = C.n_buckets(cell.count(), 2 * part)
+    bundle = F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).alias("bundle")
+    among = cell.join(codes, "doc_id").groupBy(bundle).applyInArrow(_among(least), "a long, b long")
+    more = connected(among)
+    classes = member.join(roots.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep")).join(
+        more.toDF("root", "top"), "root", "left").groupBy("doc_id").agg(F.min(F.coalesce("top", "root")).alias("class_id"))
     return own.select("doc_id").join(classes, "doc_id", "left")
 
 
