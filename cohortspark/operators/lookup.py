@@ -192,5 +192,6 @@ def registered_throughout(intervals: DataFrame, anchors: DataFrame, begin: Colum
 
 
 def age_on(born: Column, day: Column) -> Column:
-    """Completed years of age."""
-    return F.floor(F.months_between(day, born, False) / 12).cast("int")
+    """Completed years of age; somebody born on 29 February completes a year on 1 March where the day is missing."""
+    before_birthday = F.date_format(day, "MMdd") < F.date_format(born, "MMdd")
+    return (F.year(day) - F.year(born) - before_birthday.cast("int")).cast("int")
