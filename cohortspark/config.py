@@ -35,6 +35,9 @@ class StudyConfig:
     caliper: tuple[tuple[str, int], ...] = (("age", 3),)
     cuts: tuple[int, ...] = (0, 3, 7, 14, 21, 28, 35, 70)
     threshold: int = 6
+    #: People that treatment models are fitted on, and people without the outcome that outcome models see; None: all.
+    ipw_sample: int | None = None
+    nonoutcome_sample: int | None = None
     min_dose_gap: int = 17
     outcomes: tuple[tuple[str, str], ...] = (
         ("postest", "Positive test"),

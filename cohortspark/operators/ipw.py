@@ -38,13 +38,16 @@ def draw_sample(days: DataFrame, event: str, kind: str, amount: float, person: s
 
 
 def treatment_models(days: DataFrame, event: str, at_risk: str, varying: Sequence[object], fixed: Sequence[object],
-                     kind: str, amount: float, person: str = "patient_id") -> tuple[LogisticFit, LogisticFit]:
-    """Models of the event with and without time-varying covariates, on a sample of those at risk.
+                     kind: str, amount: float | None, person: str = "patient_id") -> tuple[LogisticFit, LogisticFit]:
+    """Models of the event with and without time-varying covariates, on those at risk; ``amount``: of a sample, None for all.
 
     The sampled rows are written once, spread over all cores; every pass of both fits reads them.
     """
     risk = days.where(F.col(at_risk))
-    sample = risk.join(draw_sample(risk, event, kind, amount, person), person)
+    if amount is None:
+        sample = risk.withColumn("sample_weight", F.lit(1.0))
+    else:
+        sample = risk.join(draw_sample(risk, event, kind, amount, person), person)
     needed = {c for t in (*varying, *fixed) for c in columns_of(t)}
     cores = days.sparkSession.sparkContext.defaultParallelism
     sample = stable(sample.select(event, "sample_weight", *sorted(needed)).repartition(cores))

@@ -128,23 +128,29 @@ def covariate_terms(cfg: StudyConfig, regions: Sequence[str], adjust: Sequence[s
 
 
 def weighted_days(days: DataFrame, fixed: DataFrame, base: DataFrame, outcome: str, brand: str, cfg: StudyConfig,
-                  terms: Sequence[object], ipw_n: int, nonoutcome_n: int) -> tuple[DataFrame, list]:
-    """At-risk days of one outcome and brand with stabilised weights, and the fitted treatment models."""
+                  terms: Sequence[object]) -> tuple[DataFrame, list]:
+    """At-risk days of one outcome and brand with stabilised weights, and the fitted treatment models.
+
+    Everybody takes part unless the configuration asks for samples.
+    """
     brands = [b.name for b in cfg.brands]
     mine = intervals.select_at_risk_days(days, outcome, brand, fixed, (0, *cfg.cuts[1:]), ("any", *brands))
-    had = base.select("patient_id", F.col(f"tte_{outcome}").isNotNull().alias("had"))
-    sampled = sampling.sample_weights(sampling.sample_nonoutcomes_n(had, nonoutcome_n, "had"), "had")
     varying = [*terms, *[Factor(f"timesince_{h}discharge", HOSPITAL_LEVELS) for h in ("hospinf", "hospnoninf")]]
     weights, models = {}, []
     for b in (["any"] if brand == "any" else brands):
-        pair = ipw.treatment_models(mine, f"vax{b}1", f"vax{b}1_atrisk", varying, terms, "random_n", ipw_n)
+        pair = ipw.treatment_models(mine, f"vax{b}1", f"vax{b}1_atrisk", varying, terms, "random_n", cfg.ipw_sample)
         models.append((b, pair))
     for b, pair in models:
         mine = ipw.with_stabilised_weight(mine, pair, f"vax{b}1", f"vax{b}1_atrisk", f"_w_{b}")
         weights[f"vax{b}1"] = F.col(f"_w_{b}")
-    kept = mine.join(sampled.where("sampled").select("patient_id", "sample_weight"), "patient_id")
+    if cfg.nonoutcome_sample is None:
+        kept = mine.withColumn("sample_weight", F.lit(1.0))
+    else:
+        had = base.select("patient_id", F.col(f"tte_{outcome}").isNotNull().alias("had"))
+        sampled = sampling.sample_weights(sampling.sample_nonoutcomes_n(had, cfg.nonoutcome_sample, "had"), "had")
+        kept = mine.join(sampled.where("sampled").select("patient_id", "sample_weight"), "patient_id")
     out = ipw.add_weights(kept, weights, "sample_weight")
-    # sampled people only; spread over all cores for the many passes of the outcome model
+    # spread over all cores for the many passes of the outcome model
     cores = days.sparkSession.sparkContext.defaultParallelism
     return stable(out.drop(*[f"_w_{b}" for b, _ in models]).repartition(cores)), models
 

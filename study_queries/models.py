@@ -60,7 +60,7 @@ def _weighted(spark, sf, outcome: str, brand: str):
     days = st.person_days(st.counting_process(base, CFG), CFG)
     fixed = chain.people(spark, sf).select("patient_id", "age", "sex", "region", *[F.col(a).cast("int").alias(a) for a in ADJUST])
     terms = st.covariate_terms(CFG, REGIONS, ADJUST, spline_df=3)
-    out, models = st.weighted_days(days, fixed, base, outcome, brand, CFG, terms, ipw_n=3000, nonoutcome_n=1000)
+    out, models = st.weighted_days(days, fixed, base, outcome, brand, CFG, terms)
     return out, models, terms
 
 
