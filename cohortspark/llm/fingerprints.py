@@ -70,11 +70,12 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def followed(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, signature) with `next_text` and `next_signature`, of the next document by doc_id.
+    """docs (doc_id, text) with `signature`, and with `next_text` and `next_signature`, of the next document by doc_id.
 
     Null ids come last, equal ids in the order of their texts, and the first document follows the last. Documents
     are dealt to ranges of ids between quantiles; the first one of a range also visits the range before, so no range
-    needs another one's rows and no task sees more than its ranges.
+    needs another one's rows and no task sees more than its ranges. Only ids and texts are shuffled; signatures are
+    worked out on the other side.
     """
     n, low = docs.agg(F.count("*"), F.min("doc_id")).first()
     ranges = min(RANGES, max(1, n // RANGE_ROWS))
@@ -86,12 +87,14 @@ def followed(docs: DataFrame) -> DataFrame:
     opens = F.array_contains(edges, F.col("doc_id"))
     closes = F.col("doc_id") == F.lit(low) if low is not None else F.lit(True)
     stay = lambda at, guest: F.struct(at.cast("int").alias("range"), F.lit(guest).alias("guest"))
-    dealt = docs.withColumn("_range", place).withColumn("_at", F.explode(F.array_compact(F.array(
+    dealt = docs.withColumn("_range", place).select("doc_id", "text", F.explode(F.array_compact(F.array(
         stay(F.col("_range"), 0), F.when(opens, stay(F.col("_range") - 1, 1)),
-        F.when(closes, stay(F.lit(len(cuts)), 2))))))
-    order = W.partitionBy("_at.range").orderBy("_at.guest", F.col("doc_id").asc_nulls_last(), "text")
+        F.when(closes, stay(F.lit(len(cuts)), 2))))).alias("_at")).select(
+        "doc_id", "text", F.col("_at.range").alias("_range"), F.col("_at.guest").alias("_guest")).repartition("_range").withColumn(
+        "signature", signatures(F.col("text")))
+    order = W.partitionBy("_range").orderBy("_guest", F.col("doc_id").asc_nulls_last(), "text")
     return dealt.withColumn("next_text", F.lead("text").over(order)).withColumn(
-        "next_signature", F.lead("signature").over(order)).where("_at.guest = 0").drop("_range", "_at")
+        "next_signature", F.lead("signature").over(order)).where("_guest = 0").drop("_range", "_guest")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -105,7 +108,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     null doc_id comes last; a single document is its own next. An empty table gives no rows. Other columns are not read.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    pairs = followed(own.withColumn("signature", signatures(F.col("text"))))
+    pairs = followed(own)
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
