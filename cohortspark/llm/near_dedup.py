@@ -9,9 +9,10 @@
    other. Comparing is a banded alignment of the words: the pair is similar if the edit distance is at most a fifth of
    the longer text.
 4. *Components* of the links, by alternating stars.
-5. *The rest.* Texts of a group that are not similar to its smallest id are compared among themselves, in tasks
-   of bounded size (large groups are cut into a grid of parts that meet in pairs), except inside a component: such
-   a pair could only link what is linked. The new links join components.
+5. *The rest.* In groups that hold several components the texts are compared among themselves, in tasks of bounded
+   size (large groups are cut into a grid of parts that meet in pairs), except inside a component: such a pair could
+   only link what is linked. A pair is looked at under the least key that both texts have, and aligned only if counts
+   of its words and of its neighbouring words allow the similarity. The new links join components.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ from cohortspark.session import stable
 WORDS, SAMPLES, SIMILARITY = 5, 24, 0.8
 #: Texts of a group that one task compares.
 PART = 1000
-#: Dimensions of the counts of word pairs that rule out most dissimilar pairs.
+#: Dimensions of the counts of word pairs and of words that rule out most dissimilar pairs.
 COUNTED = 1024
+COUNTED_WORDS = 4096
 #: Links of one task in the rounds that find components.
 ROUND_ROWS = 200_000
 _SEEDS = np.random.default_rng(99).integers(0, 2**63, size=256, dtype=np.uint64)
@@ -164,6 +166,12 @@ def pair_counts(codes: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((pair >> np.uint32(7)) % np.uint32(COUNTED), minlength=COUNTED), 32_000).astype(np.int16)
 
 
+def word_counts(codes: np.ndarray) -> np.ndarray:
+    """Hashed counts of words. The edit distance is at least what one text has beyond the other's counts."""
+    word = codes * np.uint32(2654435761)
+    return np.minimum(np.bincount((word >> np.uint32(7)) % np.uint32(COUNTED_WORDS), minlength=COUNTED_WORDS), 32_000).astype(np.int16)
+
+
 def _read(data: bytes) -> np.ndarray:
     return np.frombuffer(C.unsqueeze(data), dtype="<u4")
 
@@ -200,45 +208,59 @@ def _verify(least: float):
     return run
 
 
-def components_of(codes: list[np.ndarray], least: float, known: list[int] | None = None) -> list[tuple[int, int]]:
+def components_of(codes: list[np.ndarray], least: float, known: list[int] | None = None, part: np.ndarray | None = None,
+                  keys: list[np.ndarray] | None = None, key: int = 0) -> list[tuple[int, int]]:
     """Links (i, j) that join the similar ones of a few sequences; a pair inside a component is not compared.
 
-    `known`: for each sequence the component it is already in.
+    `known`: for each sequence the component it is already in. `part`: only sequences of different parts are compared.
+    `keys`: the keys of each sequence; a pair with a common key below `key` is left to that one.
     """
     first: dict[int, int] = {}
-    root = [first.setdefault(k, i) for i, k in enumerate(known)] if known is not None else list(range(len(codes)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    label = np.asarray([first.setdefault(k, i) for i, k in enumerate(known)] if known is not None else range(len(codes)))
     links = []
     size = np.asarray([len(c) for c in codes])
-    bags = np.stack([pair_counts(c) for c in codes])
+    pairs = np.stack([pair_counts(c) for c in codes])
+    words: dict[int, np.ndarray] = {}
+
+    def counts(i: int) -> np.ndarray:
+        if i not in words:
+            words[i] = word_counts(codes[i])
+        return words[i]
+
     for i in range(len(codes) - 1):
-        longest = np.maximum(size[i], size[i + 1:])
-        most = np.floor((1 - least) * longest + 1e-9)
-        near = (np.abs(size[i] - size[i + 1:]) <= most) & (np.abs(bags[i] - bags[i + 1:]).sum(axis=1, dtype=np.int64) <= 4 * most)
-        for j in (np.flatnonzero(near) + i + 1).tolist():
-            if find(i) != find(j) and similar(codes[i], codes[j], least):
-                root[find(j)] = find(i)
+        most = np.floor((1 - least) * np.maximum(size[i], size) + 1e-9).astype(np.int64)
+        near = (np.abs(size[i] - size) <= most) & (label != label[i])
+        near[:i + 1] = False
+        if part is not None:
+            near &= part != part[i]
+        near = np.flatnonzero(near)
+        near = near[np.abs(pairs[i] - pairs[near]).sum(axis=1, dtype=np.int64) <= 4 * most[near]]
+        for j in near.tolist():
+            if label[i] == label[j] or keys is not None and np.intersect1d(keys[i], keys[j]).min(initial=key) < key:
+                continue
+            more = counts(i) - counts(j)
+            up = int(more[more > 0].sum(dtype=np.int64))
+            if max(up, up - int(more.sum(dtype=np.int64))) <= most[j] and similar(codes[i], codes[j], least):
+                label[label == label[j]] = label[i]
                 links.append((i, j))
     return links
 
 
 def _among(least: float):
     def run(table: pa.Table) -> pa.Table:
-        """Several whole groups, one after the other."""
+        """Several whole cells, one after the other."""
         table = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("doc_id", "ascending")])
-        ids = table.column("root").to_pylist()
-        group = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
-        cuts = np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1
-        codes = [_read(x) for x in table.column("codes").to_pylist()]
+        ids, roots, keys = (table.column(c).to_pylist() for c in ("doc_id", "root", "keys"))
+        part = table.column("p").to_numpy()
+        cell = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+        cuts = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1
+        data = table.column("codes").to_pylist()
         links = []
         for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
-            links += [(ids[low + i], ids[low + j]) for i, j in components_of(codes[low:high], least, ids[low:high])]
+            found = components_of(
+                [_read(x) for x in data[low:high]], least, roots[low:high], part[low:high] if cell[1, low] != cell[2, low] else None,
+                [np.asarray(k) for k in keys[low:high]], int(cell[0, low]))
+            links += [(roots[low + i], roots[low + j]) for i, j in found]
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     return run
@@ -291,15 +313,15 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, part: int
     met = stable(rows.join(leaders, "key").select("key", "doc_id", F.col("l.doc_id").alias("leader"), "n", F.col("l.n").alias("leader_n")))
     lengths = F.least("n", "leader_n") >= F.greatest("n", "leader_n") * least - 1e-6
     pairs = stable(met.where((F.col("doc_id") != F.col("leader")) & lengths).select("leader", "doc_id").distinct())
-    met = met.where("doc_id <> leader").select("key", "doc_id", "leader")
-    involved = met.select("doc_id").union(met.select("leader")).distinct()
-    codes = stable(named.mapInArrow(_encode, "doc_id long, codes binary").dropDuplicates(["doc_id"]).join(involved, "doc_id"))
-    both = pairs.join(codes.toDF("leader", "leader_codes"), "leader").join(codes, "doc_id").select(
+    met = met.select("key", "doc_id")
+    owned = met.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    codes = stable(named.mapInArrow(_encode, "doc_id long, codes binary").dropDuplicates(["doc_id"]).join(owned, "doc_id"))
+    encoded = codes.select("doc_id", "codes")
+    both = pairs.join(encoded.toDF("leader", "leader_codes"), "leader").join(encoded, "doc_id").select(
         "leader", "doc_id", "leader_codes", "codes")
     linked = stable(both.mapInArrow(_verify(least), "a long, b long"))
     roots = connected(linked)
-    rest = met.join(linked.toDF("leader", "doc_id"), ["leader", "doc_id"], "left_anti").select("key", "doc_id").join(
-        roots.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    rest = met.join(roots.toDF("doc_id", "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     # a group inside one component has nothing to tell; groups of the same texts under several keys tell it once
     groups = rest.groupBy("key").agg(
         F.count("*").alias("m"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("sum"),
@@ -307,8 +329,8 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, part: int
     parts = F.ceil(F.col("m") / F.lit(part)).cast("int")
     cell = rest.join(groups.select("key", "m"), "key").withColumn("parts", parts).withColumn(
         "p", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).withColumn(
-        "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("p <> q or parts = 1").select(
-        "key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "doc_id", "root").distinct()
+        "q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "doc_id", "root")
     cell = stable(cell)
     tasks = C.n_buckets(cell.count(), 2 * part)
     bundle = F.pmod(F.xxhash64("key", "i", "j"), F.lit(tasks)).alias("bundle")
