@@ -236,7 +236,7 @@ def components_of(codes: list[np.ndarray], least: float, known: list[int] | None
         near = np.flatnonzero(near)
         near = near[np.abs(pairs[i] - pairs[near]).sum(axis=1, dtype=np.int64) <= 4 * most[near]]
         for j in near.tolist():
-            if label[i] == label[j] or keys is not None and np.intersect1d(keys[i], keys[j]).min(initial=key) < key:
+            if label[i] == label[j] or keys is not None and np.intersect1d(keys[i], keys[j], assume_unique=True).min(initial=key) < key:
                 continue
             more = counts(i) - counts(j)
             up = int(more[more > 0].sum(dtype=np.int64))
@@ -308,7 +308,7 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, part: int
     member = stable(digest.join(copies, "digest").select("doc_id", "rep").distinct())
     alone = member.where("doc_id = rep").select("doc_id").distinct()
     keys = named.mapInArrow(_sketch, "doc_id long, n int, keys array<bigint>").join(alone, "doc_id")
-    rows = keys.where("n > 0").select(F.explode(F.array_distinct("keys")).alias("key"), "doc_id", "n")
+    rows = stable(keys.where("n > 0").select(F.explode(F.array_distinct("keys")).alias("key"), "doc_id", "n"))
     leaders = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("l"), F.count("*").alias("m")).where("m > 1")
     met = stable(rows.join(leaders, "key").select("key", "doc_id", F.col("l.doc_id").alias("leader"), "n", F.col("l.n").alias("leader_n")))
     lengths = F.least("n", "leader_n") >= F.greatest("n", "leader_n") * least - 1e-6
