@@ -4,12 +4,14 @@
 2. *Confirm.* Each block sends the sorted distinct hashes of its 13-word windows to buckets, which are ranges of
    the hash. A bucket answers each block with one bit for each hash: an earlier block has it too. A window that a
    third of all documents share is one entry for each block, whatever the number of copies.
-3. *Compile and stream.* Each block compiles an Aho-Corasick automaton of the windows that are confirmed there
-   (the block is the shard: an automaton holds only what can occur in its documents) and streams all its
-   documents through it, which locates every occurrence. A word is one symbol of the automaton.
+3. *Compile and stream.* Each block compiles an Aho-Corasick automaton of phrases of the windows that are confirmed
+   there (the block is the shard: an automaton holds only what can occur in its documents): of each window the
+   six-word phrase with the least hash, which neighbouring windows mostly share. It streams all its documents
+   through the automaton; the windows around the hits are looked up among the confirmed ones, which locates every
+   occurrence. A word is one symbol of the automaton.
 
 Blocks rise with doc_id, so "an earlier block has it" means "a smaller doc_id has it"; inside a block the
-automaton's own hits tell the first document. Windows of different blocks are compared by 64-bit hashes.
+order of the documents tells the first one. Windows of different blocks are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 from cohortspark.llm import common as C
 from cohortspark.session import stable
 
-#: Words of a window.
+#: Words of a window, and of a phrase of the automaton.
 WINDOW = 13
+PHRASE = 6
 #: Text of one block and windows of one bucket, in bytes of text; both bound the memory of a task.
 BLOCK_BYTES = 3 << 20
 BUCKET_BYTES = 8 << 20
@@ -38,7 +41,7 @@ def _entries(buckets: int, length: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         _, _, texts = C.block_texts(table)
         joined = C.Joined(texts)
-        keys = np.unique(joined.windows(joined.word_hashes(), length)[0])
+        keys = C.distinct(joined.windows(joined.word_hashes(), length)[0])
         edges = C.by_bucket(keys, buckets)
         full = np.flatnonzero(np.diff(edges))
         return pa.table({
@@ -72,7 +75,7 @@ def first_block_flags(entries: DataFrame) -> DataFrame:
 
 def _symbols(hashes: np.ndarray, wanted: np.ndarray) -> str:
     """One character for each word: equal words of the wanted ones get equal characters, all others the first one."""
-    kinds = np.unique(hashes[wanted])
+    kinds = C.distinct(hashes[wanted])
     if len(kinds) > 0x10F000:
         raise ValueError("a block has more distinct recurring words than there are characters; use smaller blocks")
     code = np.arange(2, len(kinds) + 2, dtype=np.uint32)
@@ -82,10 +85,26 @@ def _symbols(hashes: np.ndarray, wanted: np.ndarray) -> str:
     return ids.astype("<u4").tobytes().decode("utf-32-le")
 
 
-def covered_words(joined: C.Joined, ids: np.ndarray, seen_before: set | np.ndarray, length: int = WINDOW) -> np.ndarray:
+def anchors(phrases: np.ndarray, windows: np.ndarray, room: int) -> np.ndarray:
+    """For each window (the word it starts at), the word at which its least phrase starts.
+
+    `phrases`: hashes of the phrases by the word they start at; a window has `room` of them. Overlapping windows mostly
+    share their least phrase, so a passage has few.
+    """
+    best, where = phrases[windows], windows.copy()
+    for k in range(1, room):
+        value = phrases[windows + k]
+        less = value < best
+        best[less], where[less] = value[less], windows[less] + k
+    return where
+
+
+def covered_words(joined: C.Joined, ids: np.ndarray, seen_before: np.ndarray, length: int = WINDOW) -> np.ndarray:
     """For each word of the block, whether a window covers it that also starts in a document with a smaller id.
 
     `ids`: of the documents, ascending. `seen_before`: sorted hashes of the windows that an earlier block holds.
+    The automaton holds the least phrase of each confirmed window; every occurrence of the window holds that phrase, so
+    the windows around the hits are all there are.
     """
     hashes = joined.word_hashes()
     keys, at = joined.windows(hashes, length)
@@ -98,31 +117,29 @@ def covered_words(joined: C.Joined, ids: np.ndarray, seen_before: set | np.ndarr
     first_id = ids[joined.doc[at[first]]]
     many = np.zeros(len(kinds), dtype=bool)
     many[inverse[ids[joined.doc[at]] > first_id[inverse]]] = True
-    confirmed = np.flatnonzero(earlier | many)
-    if not len(confirmed):
+    confirmed = earlier | many
+    if not confirmed.any():
         return cover[:-1] > 0
-    inside = np.zeros(len(hashes) + 1, dtype=np.int32)
-    np.add.at(inside, at[first[confirmed]], 1)
-    np.add.at(inside, at[first[confirmed]] + length, -1)
-    text = _symbols(hashes, np.flatnonzero(np.cumsum(inside[:-1]) > 0))
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for k in confirmed.tolist():
-        start = int(at[first[k]])
-        automaton.add_word(text[start:start + length], k)
+    phrase = min(PHRASE, length)
+    room = length - phrase + 1
+    starts = np.arange(len(hashes) - phrase + 1)
+    phrases = C.range_hash(C.prefix_sums(hashes, C.WORD_BASE), starts, starts + phrase, C.WORD_BASE)
+    held = C.distinct(anchors(phrases, at[first[confirmed]], room))
+    held = held[np.unique(phrases[held], return_index=True)[1]]
+    text = _symbols(hashes, (held[:, None] + np.arange(phrase)).ravel())
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for start in held.tolist():
+        automaton.add_word(text[start:start + phrase])
     automaton.make_automaton()
-    for d in range(len(joined.texts)):
-        low, high = int(joined.word_begin[d]), int(joined.word_begin[d + 1])
-        if high - low < length:
-            continue
-        hits = [(end, k) for end, k in automaton.iter(text, low, high)]
-        if not hits:
-            continue
-        found = np.asarray(hits, dtype=np.int64)
-        found = found[found[:, 0] - length + 1 >= low]
-        gone = earlier[found[:, 1]] | (ids[d] > first_id[found[:, 1]])
-        ends = found[gone, 0]
-        np.add.at(cover, ends - length + 1, 1)
-        np.add.at(cover, ends + 1, -1)
+    hits = np.fromiter((end for end, _ in automaton.iter(text)), dtype=np.int64) - phrase + 1
+    near = np.zeros(len(hashes) + room, dtype=np.int32)
+    np.add.at(near, np.maximum(hits - room + 1, 0), 1)
+    np.add.at(near, hits + 1, -1)
+    met = np.flatnonzero(np.cumsum(near)[at] > 0)  # windows that hold a phrase of the automaton
+    kind = inverse[met]
+    gone = at[met[earlier[kind] | (many[kind] & (ids[joined.doc[at[met]]] > first_id[kind]))]]
+    np.add.at(cover, gone, 1)
+    np.add.at(cover, gone + length, -1)
     return np.cumsum(cover[:-1]) > 0
 
 
@@ -130,7 +147,7 @@ def _clean(buckets: int, length: int):
     def run(key: tuple, table: pa.Table, flags: pa.Table) -> pa.Table:
         ids, known, texts = C.block_texts(table)
         joined = C.Joined(texts)
-        keys = np.unique(joined.windows(joined.word_hashes(), length)[0])
+        keys = C.distinct(joined.windows(joined.word_hashes(), length)[0])
         edges = C.by_bucket(keys, buckets)
         before = []
         for bucket, bits in zip(flags.column("bucket").to_pylist(), flags.column("flags").to_pylist()):

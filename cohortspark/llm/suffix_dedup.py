@@ -159,7 +159,7 @@ def _tied(table: pa.Table, flags: pa.Table, buckets: int, length: int, gram: int
 def _last_pass(buckets: int, length: int, gram: int):
     def run(key: tuple, table: pa.Table, flags: pa.Table) -> pa.Table:
         _, _, runs, _, chosen = _tied(table, flags, buckets, length, gram)
-        keys = np.unique(runs.suffixes(chosen)[1])
+        keys = C.distinct(runs.suffixes(chosen)[1])
         edges = C.by_bucket(keys, buckets)
         full = np.flatnonzero(np.diff(edges))
         return pa.table({
