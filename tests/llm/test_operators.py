@@ -279,3 +279,28 @@ def test_pipeline(spark, docs, tmp_path):
     count = {r.doc_id: r["n"] for r in data.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert {r.doc_id: r["n"] for r in final.where("piece = 0").groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == count
     assert not set(count) & {130, 131, 132, 125, 126, 111}
+
+
+def test_search_whole_texts(spark, rows, docs):
+    """Queries of all their terms (up to 70 here, where 24 give other scores), in several shards and blocks of queries."""
+    some = [*rows, (None, rows[40][1], "en", "s"), (None, rows[40][1], "en", "s")]
+    asked = docs.where("doc_id % 20 = 0")
+    data = table(spark, some)
+    got, cut = {}, {}
+    for out, terms in ((got, None), (cut, 24)):
+        for r in topk_search.search(data, asked, 5, terms, 4000, 500).orderBy("query_id", "rank").collect():
+            out.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    bags = [(i, Counter(topk_search.terms(t))) for i, t, *_ in some]
+    df = Counter(t for _, b in bags for t in b)
+    n, mean = len(bags), sum(sum(b.values()) for _, b in bags) / len(bags)
+    for q, own in bags:
+        if q is None or q % 20:
+            continue
+        own = [t for t in own if df[t] > 1]
+        found = []
+        for i, b in bags:
+            s = sum(topk_search.idf(n, df[t]) * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for t in own if b[t])
+            if s > 0 and i != q:
+                found.append((i, round(s, 6)))
+        assert got.get(q, []) == sorted(found, key=lambda x: (-x[1], x[0] is None, x[0] or 0))[:5]
+    assert got[40][0][0] is None and got != cut
