@@ -342,6 +342,19 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, part: int
 
 
 def first_of_each_class(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The documents that are the first of their class; documents without an id stay."""
-    classes = near_duplicate_classes(docs, least).distinct().where("doc_id <> class_id").select("doc_id")
-    return docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class: that of the smallest id, and of rows with that id the least one (by text, then the rest).
+
+    Documents without an id take part under keys above all ids, so they go where a document with an id is like them.
+    """
+    top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0
+    # the keys are stored: they would differ if the rows were read again
+    nameless = stable(docs.where("doc_id is null").withColumn("_key", F.monotonically_increasing_id() + F.lit(top + 1)))
+    keyed = docs.where("doc_id is not null").withColumn("_key", F.col("doc_id").cast("long")).unionByName(nameless)
+    later = near_duplicate_classes(keyed.select(F.col("_key").alias("doc_id"), "text"), least).distinct().where(
+        "doc_id <> class_id").select(F.col("doc_id").alias("_key"))
+    kept = keyed.join(later, "_key", "left_anti")
+    again = stable(kept.groupBy("_key").count().where("count > 1").select("_key"))
+    columns = ["text", *(c for c in docs.columns if c != "text")]
+    one = kept.join(again, "_key").groupBy("_key").agg(F.min(F.struct(*columns)).alias("_row")).select(
+        *[F.col("_row")[c].alias(c) for c in docs.columns])
+    return kept.join(again, "_key", "left_anti").select(*docs.columns).unionByName(one)

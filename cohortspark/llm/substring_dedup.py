@@ -166,11 +166,23 @@ def _clean(buckets: int, length: int):
             "doc_id": pa.array(np.where(known, ids, 0), pa.int64(), mask=~known),
             "n_words": pa.array(np.diff(joined.word_begin), pa.int64()), "n_removed": pa.array(removed, pa.int64()),
             "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
-            "kept": pa.array([C.squeeze(k) if r else None for k, r in zip(kept, removed)], pa.binary())})
+            "kept": pa.array([C.squeeze(k) if r else None for k, r in zip(kept, removed)], pa.binary()),
+            "text_sha256": pa.array([hashlib.sha256(t).hexdigest() if r else None for t, r in zip(texts, removed)], pa.string())})
 
     return run
 
 
+def _removals(docs: DataFrame, length: int, block_bytes: int, bucket_bytes: int) -> DataFrame:
+    """remove_repeated_passages with text_sha256, the input text's digest where words were removed."""
+    total = C.text_bytes(docs)
+    buckets = C.n_buckets(total, bucket_bytes)
+    blocks = C.range_blocks(docs, C.n_buckets(total, block_bytes))
+    entries = blocks.groupBy("block").applyInArrow(_entries(buckets, length), "bucket int, block int, data binary")
+    flags = stable(first_block_flags(entries))
+    return blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(
+        _clean(buckets, length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary, text_sha256 string")
+
+
 def remove_repeated_passages(docs: DataFrame, length: int = WINDOW, block_bytes: int = BLOCK_BYTES,
                              bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept): documents without words that an earlier document's window covers.
@@ -184,29 +196,28 @@ def remove_repeated_passages(docs: DataFrame, length: int = WINDOW, block_bytes:
     with equal doc_id are no smaller than each other, so they don't remove each other's words; a null doc_id
     counts as the largest. An empty table gives no rows. Other columns are not read.
     """
-    total = C.text_bytes(docs)
-    buckets = C.n_buckets(total, bucket_bytes)
-    blocks = C.range_blocks(docs, C.n_buckets(total, block_bytes))
-    entries = blocks.groupBy("block").applyInArrow(_entries(buckets, length), "bucket int, block int, data binary")
-    flags = stable(first_block_flags(entries))
-    return blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(
-        _clean(buckets, length), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
+    return _removals(docs, length, block_bytes, bucket_bytes).drop("text_sha256")
 
 
 def remaining_documents(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     """The documents with repeated passages removed; a document that loses all its words goes.
 
-    Changed texts are the kept words joined by a space, n_chars follows the text; all else stays. doc_id must
-    be unique where texts repeat.
+    Changed texts are the kept words joined by a space, n_chars follows the text; all else stays. Rows with equal or null
+    doc_id are judged as by remove_repeated_passages, each on its own: rows with one doc_id and one text fare alike, so
+    results are joined by both.
     """
 
     @F.pandas_udf("string")
     def text_of(data: pd.Series) -> pd.Series:
         return data.map(lambda x: None if x is None else C.unsqueeze(bytes(x)).decode())
 
-    changed = remove_repeated_passages(docs, length).where("n_removed > 0").select(
-        F.col("doc_id").alias("_id"), F.col("n_words").alias("_words"), F.col("n_removed").alias("_removed"), "kept")
-    out = docs.join(changed, docs["doc_id"].eqNullSafe(changed["_id"]), "left").where(
+    # text_sha256 names the text that the result belongs to: rows of one id and one text have one result
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    changed = _removals(docs, length, BLOCK_BYTES, BUCKET_BYTES).where("n_removed > 0").select(
+        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_words").alias("_words"),
+        F.col("n_removed").alias("_removed"), "kept").dropDuplicates(["_id", "_sha"])
+    out = docs.withColumn("_digest", digest).join(
+        changed, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left").where(
         "_removed is null or _removed < _words")
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(text_of("kept"))
     new = {"text": text}

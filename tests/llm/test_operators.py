@@ -304,3 +304,20 @@ def test_search_whole_texts(spark, rows, docs):
                 found.append((i, round(s, 6)))
         assert got.get(q, []) == sorted(found, key=lambda x: (-x[1], x[0] is None, x[0] or 0))[:5]
     assert got[40][0][0] is None and got != cut
+
+
+def test_stages_with_missing_and_repeated_ids(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(900)]
+    passage, other, clean, more = (words(rng, 40, vocabulary) for _ in range(4))
+    # a null-id row and a row of a repeated id lose all words, others nothing or a part
+    some = table(spark, [(i, t, "en", "s") for i, t in [
+        (1, passage), (None, passage), (None, clean), (None, f"{more} {passage}"), (5, passage), (5, other)]])
+    out = substring_dedup.remaining_documents(some).collect()
+    assert sorted((r.doc_id or 0, r.text, r.n_chars) for r in out) == sorted(
+        (i, t, len(t)) for i, t in [(1, passage), (0, clean), (0, more), (5, other)])
+    near = table(spark, [(i, t, "en", "s") for i, t in [
+        (1, passage), (1, passage), (None, passage), (None, clean), (None, clean), (None, f"{clean} end"), (7, other), (7, more)]])
+    out = sorted((r.doc_id or 0, r.text.split()[0]) for r in near_dedup.first_of_each_class(near).collect())
+    first = clean.split()[0]
+    assert out == sorted([(0, first), (1, passage.split()[0]), (7, min(other, more).split()[0])])
