@@ -1,7 +1,7 @@
 """Nearest neighbours by largest inner product with randomly rotated one-bit codes.
 
-*Codes.* A vector is the centre of its list plus a rest. The rest's direction is rotated by one random orthogonal matrix
-and only the signs are kept, packed eight to a byte, with two correction scalars: with them the sign vector estimates the
+*Codes.* A vector is the centre of its list plus a rest. The rest's direction, padded with zeros, is rotated by one random
+orthogonal matrix and only the signs are kept, packed eight to a byte, with two correction scalars: with them the sign vector estimates the
 inner product of any query with the rest without bias, and its error has a known spread (ERROR_WIDTH of its standard
 deviations are taken as the bound).
 
@@ -30,10 +30,13 @@ from cohortspark.session import stable
 FIT_ROWS, FIT_QUERIES = 20_000, 300
 #: Rows for each list, lists at most, and the share of true neighbours that the probed lists must hold.
 LIST_ROWS, MAX_LISTS, PROBE_RECALL = 4096, 1024, 0.99
-#: Standard deviations of the estimate's error that its bound allows.
-ERROR_WIDTH = 4.0
+#: Bits for each component of a vector (vectors are padded with zeros before the rotation; the error falls with the
+#: square root), and standard deviations of the estimate's error that its bound allows.
+BITS, ERROR_WIDTH = 4, 3.0
 #: Bytes of vectors and number of queries in one block, and bytes of blocks that a task holds back.
 BLOCK_BYTES, BLOCK_QUERIES, HELD_BYTES = 2 << 20, 512, 48 << 20
+#: Answers that a task gathers before it gives them out.
+HELD_ANSWERS = 2_000_000
 #: Parts over which the lists are spread; a list has parts in proportion to its share of the rows.
 PARTS = 256
 SEED = 20240713
@@ -72,11 +75,11 @@ class Model:
         return np.packbits(turned > 0, axis=1), factor, error + 1e-5 * length
 
 
-def inner_products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Row by row, added up from the first component to the last, so that equal vectors get equal scores."""
-    out = np.zeros(len(v))
-    for j in range(v.shape[1]):
-        out += v[:, j] * q[:, j]
+def inner_products(v: np.ndarray, vi: np.ndarray, q: np.ndarray, qi: np.ndarray) -> np.ndarray:
+    """Of chosen columns, added up from the first component to the last, so that equal vectors get equal scores."""
+    out = np.zeros(len(vi))
+    for j in range(len(v)):
+        out += v[j, vi] * q[j, qi]
     return out
 
 
@@ -96,7 +99,7 @@ def fit(rows: np.ndarray, n_rows: int, k: int) -> Model:
     """A model from a bounded sample of a table of `n_rows` rows."""
     rng = np.random.default_rng(SEED)
     d = rows.shape[1]
-    size = max(8, -(-d // 8) * 8)
+    size = max(64, -(-BITS * d // 8) * 8)
     rotation = np.linalg.qr(rng.normal(size=(size, size)))[0][:, :d]
     lists = int(np.clip(n_rows // LIST_ROWS, 1, min(MAX_LISTS, max(1, len(rows) // 16))))
     centres = centres_of(rows, lists, rng)
@@ -224,47 +227,89 @@ def query_blocks(asked: DataFrame, model: Model, d: int, first: int, last: int)
         run, "list int, part int, queries binary, floors binary, q binary")
 
 
+class _Answers:
+    """The k + 1 best so far for each query of one block of queries."""
+
+    def __init__(self, row: dict, model: Model, d: int, k: int):
+        self.k, self.model = k, model
+        self.about = np.frombuffer(row["queries"], np.int64).reshape(-1, 3)  # qkey, id, copies
+        self.floor = np.frombuffer(row["floors"]).copy()
+        self.q = np.frombuffer(row["q"]).reshape(-1, d)
+        self.length = np.sqrt((self.q * self.q).sum(axis=1))
+        self.turned = ((self.q / self.length[:, None]) @ model.rotation.T).astype(np.float32)
+        self.centred = self.q @ model.centres[row["list"]]
+        self.columns = np.ascontiguousarray(self.q.T)
+        none = np.zeros(0, dtype=np.int64)
+        self.best = (none, none, none.astype(bool), none.astype(float), none.astype(bool))  # query, id, known, score, same
+
+    def add(self, block: Block) -> None:
+        k, n = self.k, len(block.ids)
+        estimate = self.turned @ block.signs * block.factor
+        estimate *= self.length[:, None]
+        estimate += self.centred[:, None]
+        bound = self.length[:, None] * block.error
+        if n > k + 1 and np.isinf(self.floor).any():  # enough of the block lie surely above this
+            self.floor = np.maximum(self.floor, np.partition(estimate - bound, n - k - 1, axis=1)[:, n - k - 1])
+        estimate += bound
+        qi, vi = np.nonzero(~(estimate < self.floor[:, None]))
+        if not len(qi):
+            return
+        score = inner_products(block.columns, vi, self.columns, qi)
+        keep = ~(score < self.floor[qi])
+        qi, vi, score = qi[keep], vi[keep], score[keep]
+        ids, known, about = block.ids[vi], block.known[vi], self.about[qi]
+        same = (known == (about[:, 2] > 0)) & (~known | (ids == about[:, 1]))
+        at = np.flatnonzero(same)
+        same[at] = (block.columns[:, vi[at]] == self.columns[:, qi[at]]).all(axis=0)
+        every = [np.concatenate(x) for x in zip(self.best, (qi, ids, known, score, same))]
+        order = np.lexsort((every[1], ~every[2], -every[3], every[0]))
+        query = every[0][order]
+        begin = np.searchsorted(query, np.arange(len(self.q) + 1))
+        order = order[np.arange(len(order)) - begin[query] <= k]
+        self.best = tuple(x[order] for x in every)
+        full = np.flatnonzero(np.diff(begin) > k)
+        last = np.searchsorted(self.best[0], full) + k
+        self.floor[full] = np.maximum(self.floor[full], self.best[3][last])
+
+    def out(self) -> pa.RecordBatch:
+        qi, ids, known, score, same = self.best
+        about = self.about[qi]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(about[:, 0]), pa.array(about[:, 1]), pa.array(about[:, 2]), pa.array(ids, mask=~known), pa.array(score), pa.array(same)],
+            ["qkey", "query_id", "copies", "vec_id", "score", "same"])
+
+
+class Block:
+    """A stored block of vectors."""
+
+    def __init__(self, row: dict, d: int, size: int, kind: str):
+        self.ids, self.known = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["known"], bool)
+        self.columns = np.ascontiguousarray(np.frombuffer(row["vectors"], kind).reshape(-1, d).T.astype(float))
+        bits = np.frombuffer(row["bits"], np.uint8).reshape(len(self.ids), -1)
+        self.signs = np.unpackbits(bits, axis=1, count=size).T.astype(np.float32) * 2 - 1
+        self.factor, self.error = np.frombuffer(row["factor"]), np.frombuffer(row["error"])
+
+
 def scan(blocks: DataFrame, queries: DataFrame, model: Model, d: int, k: int, kind: str) -> DataFrame:
-    """The k + 1 best of each block for each query that reach the query's floor, by exact score."""
+    """For each query the k + 1 best of the blocks of its lists that one task sees, if they reach its floor, by exact score."""
     size = model.rotation.shape[0]
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[tuple[int, bytes], _Answers] = {}
+        block, of = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], np.int64)
-                known = np.frombuffer(row["known"], bool)
-                v = np.frombuffer(row["vectors"], kind).reshape(-1, d)
-                signs = np.unpackbits(np.frombuffer(row["bits"], np.uint8).reshape(len(ids), -1), axis=1, count=size)
-                factor, error = np.frombuffer(row["factor"]), np.frombuffer(row["error"])
-                about = np.frombuffer(row["queries"], np.int64).reshape(-1, 3)
-                floors = np.frombuffer(row["floors"])
-                q = np.frombuffer(row["q"]).reshape(-1, d)
-                length = np.sqrt((q * q).sum(axis=1))
-                turned = (q / length[:, None]) @ model.rotation.T
-                product = turned.astype(np.float32) @ (signs.astype(np.float32).T * 2 - 1)
-                estimate = (q @ model.centres[row["list"]])[:, None] + length[:, None] * (product * factor)
-                bound = length[:, None] * error
-                if len(ids) > k + 1 and np.isinf(floors).any():  # enough of the block lie surely above this
-                    floors = np.maximum(floors, np.partition(estimate - bound, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1])
-                qi, vi = np.nonzero(~(estimate + bound < floors[:, None]))
-                if not len(qi):
-                    continue
-                score = np.concatenate([
-                    inner_products(v[vi[a:a + 65536]].astype(float), q[qi[a:a + 65536]]) for a in range(0, len(qi), 65536)])
-                keep = ~(score < floors[qi])
-                qi, vi, score = qi[keep], vi[keep], score[keep]
-                order = np.lexsort((ids[vi], ~known[vi], -score, qi))
-                qi, vi, score = qi[order], vi[order], score[order]
-                begin = np.searchsorted(qi, np.arange(len(q)))
-                keep = np.arange(len(qi)) - begin[qi] <= k
-                qi, vi, score = qi[keep], vi[keep], score[keep]
-                same = (known[vi] == (about[qi, 2] > 0)) & (~known[vi] | (ids[vi] == about[qi, 1]))
-                at = np.flatnonzero(same)
-                same[at] = (v[vi[at]] == q[qi[at]]).all(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(about[qi, 0]), pa.array(about[qi, 1]), pa.array(about[qi, 2]),
-                     pa.array(ids[vi], mask=~known[vi]), pa.array(score), pa.array(same)],
-                    ["qkey", "query_id", "copies", "vec_id", "score", "same"])
+            for i in range(batch.num_rows):
+                row = {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+                if of != row["bits"]:
+                    block, of = Block(row, d, size, kind), row["bits"]
+                key = row["list"], row["queries"]
+                if key not in asked:
+                    if sum(len(x.q) for x in asked.values()) * (k + 1) > HELD_ANSWERS:
+                        yield from (x.out() for x in asked.values())
+                        asked = {}
+                    asked[key] = _Answers(row, model, d, k)
+                asked[key].add(block)
+        yield from (x.out() for x in asked.values())
 
     return blocks.join(queries, ["list", "part"]).mapInArrow(answer, RESULT)
 
