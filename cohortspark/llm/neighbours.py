@@ -248,10 +248,11 @@ class _Answers:
         estimate *= self.length[:, None]
         estimate += self.centred[:, None]
         bound = self.length[:, None] * block.error
-        if n > k + 1 and np.isinf(self.floor).any():  # enough of the block lie surely above this
-            self.floor = np.maximum(self.floor, np.partition(estimate - bound, n - k - 1, axis=1)[:, n - k - 1])
+        least = self.floor
+        if n > k + 1 and np.isinf(least).any():  # k + 1 vectors of the block, which are reranked, should lie above this
+            least = np.maximum(least, np.partition(estimate - bound, n - k - 1, axis=1)[:, n - k - 1])
         estimate += bound
-        qi, vi = np.nonzero(~(estimate < self.floor[:, None]))
+        qi, vi = np.nonzero(~(estimate < least[:, None]))
         if not len(qi):
             return
         score = inner_products(block.columns, vi, self.columns, qi)
@@ -300,8 +301,8 @@ def scan(blocks: DataFrame, queries: DataFrame, model: Model, d: int, k: int, ki
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}
-                if of != row["bits"]:
-                    block, of = Block(row, d, size, kind), row["bits"]
+                if of != (row["ids"], row["vectors"]):
+                    block, of = Block(row, d, size, kind), (row["ids"], row["vectors"])
                 key = row["list"], row["queries"]
                 if key not in asked:
                     if sum(len(x.q) for x in asked.values()) * (k + 1) > HELD_ANSWERS:
