@@ -88,4 +88,4 @@ def test_bounds_hold():
     length = np.sqrt((q * q).sum(axis=1))[:, None]
     estimate = q @ model.centres[0][:, None] + length * ((q / length @ model.rotation.T) @ signs.T * factor)
     off = np.abs(estimate - q @ v.T) / (length * error)
-    assert (off > 1).mean() < 2e-4 and 0.8 < np.sqrt((off * off).mean()) * neighbours.ERROR_WIDTH < 1.2
+    assert (off > 1).mean() < 4e-3 and 0.8 < np.sqrt((off * off).mean()) * neighbours.ERROR_WIDTH < 1.2
