@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortspark.llm import (
-    alignment, fingerprints, language_id, mixing, near_dedup, neighbours, packing, quality, substring_dedup, suffix_dedup, token_counts,
-    topk_search)
+    alignment, fingerprints, language_id, mixing, near_dedup, neighbours, packing, periodic_runs, quality, substring_dedup,
+    suffix_dedup, token_counts, topk_search)
 from cohortspark.llm.common import documents
 
 
@@ -60,6 +60,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all texts, a tenth of which repeat a stretch of theirs by a rule on their id."""
+    found = periodic_runs.find_runs(documents(spark, sf_dir), periodic_runs.repeated_from_id, kept=False)
+    return periodic_runs.longest_run(found)
+
+
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir))
 
@@ -77,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_topk_search, op2_topk_search_whole, op3_suffix_array_dedup, op4_substring_dedup, op5_source_mixing, op6_token_counts,
-    op7_quality_classifier, op8_best_fit_packing, op9_minhash_near_dedup, op10_fingerprints, op12_tokenizer_alignment, op13_nearest_neighbours,
+    op7_quality_classifier, op8_best_fit_packing, op9_minhash_near_dedup, op10_fingerprints, op11_periodic_runs, op12_tokenizer_alignment, op13_nearest_neighbours,
     pipeline)}
 
 _SUBSTRING_SQL = r"""
