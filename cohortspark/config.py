@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from datetime import date
+from datetime import date, timedelta
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,9 @@ class StudyConfig:
     ipw_sample: int | None = None
     nonoutcome_sample: int | None = None
     min_dose_gap: int = 17
+    #: Matching rounds of a brand and days between the dates at which their controls are taken.
+    n_rounds: int = 2
+    round_gap: int = 14
     outcomes: tuple[tuple[str, str], ...] = (
         ("postest", "Positive test"),
         ("admitted", "Hospital admission"),
@@ -61,5 +64,9 @@ class StudyConfig:
     def study_days(self) -> int:
         return (self.end_date - self.index_date).days + 1
 
+    def round_date(self, brand: str, number: int) -> date:
+        """The day as of which the controls of a brand's matching round are taken; rounds count from 1."""
+        return self.brand(brand).start + timedelta((number - 1) * self.round_gap)
+
     def brand(self, name: str) -> Brand:
         return next(b for b in self.brands if b.name == name)

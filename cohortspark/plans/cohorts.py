@@ -64,6 +64,21 @@ def control_cohort(people: DataFrame, events: DataFrame, spells: DataFrame, cfg:
         **eligibility.common_criteria(in_hospital=True)})
 
 
+def controls_as_of(people: DataFrame, events: DataFrame, spells: DataFrame, anchors: DataFrame, cfg: StudyConfig) -> DataFrame:
+    """Criteria of untreated people at any number of dates each.
+
+    anchors: patient_id, anchor_date and further columns, which are kept. History, infection, hospital stay and
+    treatment status are those of the anchor date; people dead or deregistered by then have no row.
+    """
+    known = history_before(events, spells, anchors.select("patient_id", "anchor_date").distinct())
+    df = anchors.join(known, ["patient_id", "anchor_date"]).join(people, "patient_id")
+    df = df.where(F.col("death_0_date").isNull() & F.col("dereg_0_date").isNull())
+    df = recode.add_history(df, F.col("anchor_date"), ["postest_0_date"], tests="n_tests")
+    return eligibility.apply_criteria(df, {
+        **eligibility.untreated_criteria(cfg, F.col("anchor_date"), strict=True),
+        **eligibility.common_criteria(in_hospital=True)})
+
+
 def single_cohort(people: DataFrame, events: DataFrame, spells: DataFrame, cfg: StudyConfig) -> DataFrame:
     """The single-trial cohort: eligible at the index date, treated on or after it or never."""
     df = with_history(people, events, spells, F.lit(cfg.index_date))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -21,32 +22,65 @@ def match_round(treated: DataFrame, controls: DataFrame, cfg: StudyConfig, **kw)
     return matching.number_pairs(pairs)
 
 
-def match_rounds(treated: DataFrame, people: DataFrame, events: DataFrame, spells: DataFrame, cfg: StudyConfig,
-                 n_rounds: int, gap_days: int, **kw) -> DataFrame:
-    """Several rounds: controls are taken again as of each round's date, people already matched in a
-    role are left out, and pairs are rechecked with covariates as of the trial date."""
-    done: DataFrame | None = None
-    for r in range(n_rounds):
-        start = F.date_add(F.lit(cfg.index_date), r * gap_days)
-        pool = cohorts.with_history(people, events, spells, start)
-        pool = pool.where(F.col("vax1_date").isNull() | (F.col("vax1_date") > F.col("anchor_date")))
-        pool = pool.where(~F.col("prior_infection"))
+@dataclass(frozen=True)
+class Round:
+    """What one matching round proposed, and what of it still held on the trial dates; two rows for each pair."""
+
+    number: int
+    proposed: DataFrame
+    kept: DataFrame
+
+
+def run_rounds(treated: DataFrame, people: DataFrame, events: DataFrame, spells: DataFrame, cfg: StudyConfig, brand: str,
+               **kw) -> list[Round]:
+    """The matching rounds of one brand, each with the state of those before it.
+
+    treated: eligible treated people of the brand. A round's controls meet all criteria as of the round's own date
+    (the brand's start, then every ``cfg.round_gap`` days) and met them in the rounds before. Nobody is proposed in a role in
+    which an earlier pair was kept; who was proposed and not kept is free again. A pair is kept if the control still
+    meets all criteria on the trial date and both still agree, with the control's values taken then.
+    """
+    values = [*cfg.exact, *dict(cfg.caliper)]
+    # every round reads both again; written once, nothing upstream is computed again
+    people, treated = matching.stable(people), matching.stable(treated.select("patient_id", "vax1_date", *values))
+    rounds: list[Round] = []
+    ever: DataFrame | None = None  # eligible in all rounds so far
+    for number in range(1, cfg.n_rounds + 1):
+        on_day = people.select("patient_id", F.lit(cfg.round_date(brand, number)).alias("anchor_date"))
+        if ever is not None:
+            on_day = on_day.join(ever, "patient_id", "left_semi")
+        pool = cohorts.controls_as_of(people, events, spells, on_day, cfg).where("include")
+        pool = matching.stable(pool.select("patient_id", "vax1_date", *values))
+        ever = pool.select("patient_id")
         now = treated
-        if done is not None:
-            roles = lambda df, role: df.withColumn("treated", F.lit(role))
-            now = matching.drop_already_matched(roles(treated, 1), done).drop("treated")
-            pool = matching.drop_already_matched(roles(pool, 0), done).drop("treated")
-        members = matching.pair_members(match_round(now, pool, cfg, **kw))
-        seen = members.join(people.drop("vax1_date", "vax2_date"), "patient_id")
-        dated = cohorts.history_before(
-            events, spells, members.select("patient_id", F.col("trial_date").alias("anchor_date")).distinct())
-        seen = seen.join(dated.withColumnRenamed("anchor_date", "trial_date"), ["patient_id", "trial_date"])
-        still = F.col("postest_0_date").isNull() & F.col("death_0_date").isNull() & F.col("dereg_0_date").isNull()
-        kept = matching.recheck_pairs(seen.withColumn("_fit", still), cfg.exact, dict(cfg.caliper), "_fit")
-        done = matching.stable(matching.add_round(kept, r + 1, done))
+        if rounds:
+            done = reduce(DataFrame.unionByName, [r.kept.select("patient_id", "treated") for r in rounds])
+            now = matching.drop_already_matched(treated.withColumn("treated", F.lit(1)), done).drop("treated")
+            pool = matching.drop_already_matched(pool.withColumn("treated", F.lit(0)), done).drop("treated")
+        proposed = matching.stable(matching.pair_members(match_round(now, pool, cfg, **kw)))
+        trial = proposed.where("treated = 0").withColumn("anchor_date", F.col("trial_date"))
+        still = cohorts.controls_as_of(people, events, spells, trial, cfg).where("include").select(*proposed.columns, *values)
+        mine = proposed.where("treated = 1").join(treated.select("patient_id", *values), "patient_id")
+        kept = matching.recheck_pairs(still.unionByName(mine), cfg.exact, dict(cfg.caliper))
+        rounds.append(Round(number, proposed, matching.stable(kept.select(*proposed.columns))))
+    return rounds
+
+
+def match_rounds(treated: DataFrame, people: DataFrame, events: DataFrame, spells: DataFrame, cfg: StudyConfig, brand: str,
+                 **kw) -> DataFrame:
+    """Match status of all rounds of one brand: both members of every kept pair with their round."""
+    done: DataFrame | None = None
+    for r in run_rounds(treated, people, events, spells, cfg, brand, **kw):
+        done = matching.add_round(r.kept, r.number, done)
     return done
 
 
+def round_success(rounds: Sequence[Round]) -> DataFrame:
+    """Pairs proposed, kept and the percentage kept, for each round."""
+    return reduce(DataFrame.unionByName, [
+        matching.success_share(r.proposed, r.kept).withColumn("matching_round", F.lit(r.number)) for r in rounds])
+
+
 def matched_table(members: DataFrame, people: DataFrame, events: DataFrame) -> DataFrame:
     """Matched people with their covariates, second dose and outcomes as of the trial date. A person may
     appear once in each role, so nothing is keyed on the person alone."""

@@ -33,6 +33,11 @@ def pairs(spark: SparkSession, sf: str, brand: str = BRAND) -> DataFrame:
     return seq.match_round(mine, controls(spark, sf).where("include"), CFG)
 
 
+def rounds(spark: SparkSession, sf: str, brand: str = BRAND) -> list[seq.Round]:
+    mine = treated(spark, sf).where(F.col("include") & (F.col("vax1_type") == brand))
+    return seq.run_rounds(mine, people(spark, sf), fx.events(spark, sf), fx.spells(spark, sf), CFG, brand)
+
+
 def matched(spark: SparkSession, sf: str, brand: str = BRAND) -> DataFrame:
     from cohortspark.operators.matching import pair_members
 
@@ -100,11 +105,11 @@ _cohort("control", "true", "DATE '1997-01-01'", "true", "(vax1_date IS NULL OR v
 _cohort("single", "true", "DATE '1997-01-01'", "true", "(vax1_date IS NULL OR vax1_date >= anchor_date) AND {phase}", False)
 
 
-def _pairs(tag: str, brand: str) -> None:
-    """Greedy matching as a recursion over the treated people of each stratum."""
+def _pairs(tag: str, brand: str, pool: str = "control", free: str = "") -> None:
+    """Greedy matching as a recursion over the treated people of each stratum. free: a condition with the column name {id}."""
     PARTS[f"t_{tag}"] = f"""SELECT region, sex, patient_id AS id, age, vax1_date AS day,
- row_number() OVER (PARTITION BY region, sex ORDER BY vax1_date, patient_id) AS k FROM treated WHERE include AND vax1_type='{brand}'"""
-    PARTS[f"u_{tag}"] = "SELECT region, sex, patient_id AS id, age, vax1_date AS until FROM control WHERE include"
+ row_number() OVER (PARTITION BY region, sex ORDER BY vax1_date, patient_id) AS k FROM treated WHERE include AND vax1_type='{brand}'{free.format(id='treated_id')}"""
+    PARTS[f"u_{tag}"] = f"SELECT region, sex, patient_id AS id, age, vax1_date AS until FROM {pool} WHERE include{free.format(id='control_id')}"
     PARTS[f"m_{tag}"] = f"""SELECT DISTINCT region, sex, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS treated_id, CAST(NULL AS BIGINT) AS control_id,
  CAST(NULL AS DATE) AS trial_date, CAST([] AS BIGINT[]) AS used FROM t_{tag}
  UNION ALL SELECT m.region, m.sex, t.k, t.id, x.cid, t.day, CASE WHEN x.cid IS NULL THEN m.used ELSE list_append(m.used, x.cid) END
@@ -120,6 +125,36 @@ def _pairs(tag: str, brand: str) -> None:
 
 _pairs("a", "pfizer")
 _pairs("b", "az")
+
+
+def _rounds(tag: str, brand: str, n: int) -> None:
+    """Matching rounds: pools as of the round's date, pairs, the controls' criteria on the trial date, pairs kept."""
+    c1 = "(vax1_date IS NULL OR vax1_date > anchor_date) AND {phase}"
+    for r in range(1, n + 1):
+        pool, pairs, check, free, before = f"pool_{tag}{r}", f"{tag}{r}", f"check_{tag}{r}", "", ""
+        if r > 1:
+            before = f" AND patient_id IN (SELECT patient_id FROM pool_{tag}{r - 1} WHERE include)"
+            free = " AND patient_id NOT IN (" + " UNION ALL ".join(f"SELECT {{id}} FROM kept_{tag}{i}" for i in range(1, r)) + ")"
+        _cohort(pool, "true" + before, f"DATE '{CFG.round_date(brand, r)}'", "true", c1, True)
+        _pairs(pairs, brand, pool, free)
+        _cohort(check, f"patient_id IN (SELECT control_id FROM pairs_{pairs})",
+                f"(SELECT trial_date FROM pairs_{pairs} WHERE control_id=patient_id)", "true", c1, True)
+        PARTS[f"kept_{pairs}"] = f"""SELECT x.* FROM pairs_{pairs} x JOIN {check} c ON c.patient_id=x.control_id JOIN treated t ON t.patient_id=x.treated_id
+ WHERE c.include AND c.region=t.region AND c.sex=t.sex AND abs(c.age-t.age)<=3"""
+        for cohort in (pool, check):
+            ROUND_NEEDS[cohort] = [f"b_{cohort}", f"h_{cohort}", f"s_{cohort}", "people"]
+            ROUND_NEEDS.update({f"{x}_{cohort}": [f"b_{cohort}"] for x in "hs"})
+        ROUND_NEEDS[f"b_{pool}"] = ["people"] + ([f"pool_{tag}{r - 1}"] if r > 1 else [])
+        ROUND_NEEDS[f"b_{check}"] = ["people", f"pairs_{pairs}"]
+        ROUND_NEEDS[f"kept_{pairs}"] = [f"pairs_{pairs}", check, "treated"]
+        ROUND_NEEDS[f"pairs_{pairs}"] = [f"m_{pairs}", f"u_{pairs}"]
+        ROUND_NEEDS[f"m_{pairs}"] = [f"t_{pairs}", f"u_{pairs}"]
+        ROUND_NEEDS[f"t_{pairs}"] = ["treated"] + [f"kept_{tag}{i}" for i in range(1, r)]
+        ROUND_NEEDS[f"u_{pairs}"] = [pool] + [f"kept_{tag}{i}" for i in range(1, r)]
+
+
+ROUND_NEEDS: dict[str, list[str]] = {}
+_rounds("r", BRAND, CFG.n_rounds)
 PARTS["matched"] = """SELECT m.*, p.* EXCLUDE (patient_id), CASE WHEN m.treated=1 THEN p.vax2_date END AS dose2_date,
  o.postest_date, o.admitted_date, o.death_date, o.dereg_date FROM members_a m JOIN people p USING (patient_id) JOIN (
  SELECT m.patient_id, m.trial_date, min(date) FILTER (kind='postest') AS postest_date, min(date) FILTER (kind='admission') AS admitted_date,
@@ -179,7 +214,7 @@ NEEDS = {"kmc": ["fu"], "km1": ["kmc"], "km6": ["kmc"], "fu": ["matched"], "matc
          **{f"m_{t}": [f"t_{t}", f"u_{t}"] for t in "ab"}, **{f"t_{t}": ["treated"] for t in "ab"}, **{f"u_{t}": ["control"] for t in "ab"},
          **{c: [f"b_{c}", f"h_{c}", f"s_{c}", "people"] for c in ("treated", "control", "single")},
          **{f"{x}_{c}": [f"b_{c}"] for x in "hs" for c in ("treated", "control", "single")},
-         **{f"b_{c}": ["people"] for c in ("treated", "control", "single")}}
+         **{f"b_{c}": ["people"] for c in ("treated", "control", "single")}, **ROUND_NEEDS}
 
 
 def sql(body: str, *parts: str, **extra: str) -> str:

@@ -167,10 +167,20 @@ def coverage(spark, sf):
     return matching.coverage(st, CFG.index_date, CFG.end_date, CFG.threshold)
 
 
-@query()
+ROUNDS = range(1, CFG.n_rounds + 1)
+
+
+@query(sql(" UNION ALL ".join(f"""SELECT {side}_id AS patient_id, match_id, trial_date, {r} AS matching_round, {role} AS treated, controlistreated_date
+ FROM kept_r{r}""" for r in ROUNDS for side, role in (("treated", 1), ("control", 0))), *[f"kept_r{r}" for r in ROUNDS]))
 def matching_rounds(spark, sf):
     mine = chain.treated(spark, sf).where(F.col("include") & (F.col("vax1_type") == chain.BRAND))
-    return seq.match_rounds(mine, chain.people(spark, sf), fx.events(spark, sf), fx.spells(spark, sf), CFG, 2, 14)
+    return seq.match_rounds(mine, chain.people(spark, sf), fx.events(spark, sf), fx.spells(spark, sf), CFG, chain.BRAND)
+
+
+@query(sql(" UNION ALL ".join(f"""SELECT {r} AS matching_round, p AS proposed, k AS kept, round(100.0*k/nullif(p, 0), 2)::DOUBLE AS pct
+ FROM (SELECT count(*) AS p FROM pairs_r{r}), (SELECT count(*) AS k FROM kept_r{r})""" for r in ROUNDS), *[f"kept_r{r}" for r in ROUNDS]))
+def matching_rounds_success(spark, sf):
+    return seq.round_success(chain.rounds(spark, sf))
 
 
 # -- match flow -----------------------------------------------------------------------------------

@@ -109,22 +109,104 @@ def test_pack():
     assert matching.pack([(1, 3), (2, 4), (3, 9), (4, 1)], 8) == [(1, 2), (3, 3), (4, 4)]
 
 
-def test_rounds_keep_every_rule(spark):
-    """Two rounds on the driver's tables: nobody serves twice in a role and every pair is valid."""
-    from cohortspark import fixture as fx
-    from cohortspark.plans import sequential_trial as seq
-    from study_queries import chain
-
-    sf = "/root/testdata/sf0.001"
-    people = chain.people(spark, sf)
-    mine = chain.treated(spark, sf).where(F.col("include") & (F.col("vax1_type") == "pfizer"))
-    out = seq.match_rounds(mine, people, fx.events(spark, sf), fx.spells(spark, sf), chain.CFG, 2, 14)
-    rows = out.join(people.select("patient_id", "age", "sex", "region", "vax1_date"), "patient_id").collect()
-    assert rows and len({(r["patient_id"], r["treated"]) for r in rows}) == len(rows)
-    pairs = {}
-    for r in rows:
-        pairs.setdefault((r["matching_round"], r["trial_date"], r["match_id"]), {})[r["treated"]] = r
-    for pair in pairs.values():
-        t, c = pair[1], pair[0]
-        assert (t["sex"], t["region"]) == (c["sex"], c["region"]) and abs(t["age"] - c["age"]) <= 3
-        assert t["vax1_date"] == t["trial_date"] and (c["vax1_date"] is None or c["vax1_date"] > t["trial_date"])
+FIRST = dt.date(1997, 1, 1)
+PEOPLE = ("patient_id long, age int, sex string, region string, ethnicity_combined string, imd_quintile string, ageband2 string, hscworker boolean,"
+          "care_home boolean, housebound boolean, endoflife boolean, has_follow_up_previous_year boolean, vax1_date date, vax1_type string, vax2_date date")
+
+
+def study_population(seed, n):
+    """People, dated events and hospital stays of the first weeks; every criterion fails for some."""
+    rnd = random.Random(seed)
+    day = lambda lo, hi: FIRST + dt.timedelta(rnd.randint(lo, hi))
+    people, events, spells = [], [], []
+    for i in range(1, n + 1):
+        odd = lambda p=0.04: rnd.random() < p
+        vax = day(-3, 40) if rnd.random() < 0.45 else None
+        people.append((
+            i, rnd.randint(78, 84), None if odd() else rnd.choice("FM"), "north", None if odd() else "White", "Unknown" if odd() else "2", "80+", odd(), odd(),
+            odd(), odd(), not odd(), vax, None if vax is None else rnd.choice(["pfizer", "pfizer", "az"]), None))
+        for kind, p in (("postest", 0.25), ("death", 0.08), ("dereg", 0.05)):
+            if rnd.random() < p:
+                events.append((i, day(-20, 45), len(events), 1.0, kind))
+        if rnd.random() < 0.35:
+            start = day(-15, 40)
+            spells.append((i, len(spells), start, None if odd(0.2) else start + dt.timedelta(rnd.randint(0, 12)), False))
+    return people, events, spells
+
+
+def plain_rounds(people, events, spells, treated_ids, n_rounds, gap, width):
+    """(round, treated id, control id, trial date, kept) of every proposed pair, person by person."""
+    by_id = {p[0]: dict(zip([c.split()[0] for c in PEOPLE.split(",")], p)) for p in people}
+
+    def fit(i, on):
+        p = by_id[i]
+        kinds = {k for j, d, _, _, k in events if j == i and d < on}
+        stays = sorted(((a, z or dt.date.max) for j, _, a, z, _ in spells if j == i and a < on), reverse=True)
+        return not (
+            kinds & {"postest", "death", "dereg"} or p["vax1_date"] and p["vax1_date"] <= on or p["hscworker"] or p["care_home"] or p["housebound"]
+            or p["endoflife"] or not p["has_follow_up_previous_year"] or p["sex"] is None or p["ethnicity_combined"] is None
+            or p["imd_quintile"] == "Unknown" or stays and stays[0][1] >= on)
+
+    out, done, ever = [], set(), set(by_id)
+    for r in range(1, n_rounds + 1):
+        ever = {i for i in ever if fit(i, FIRST + dt.timedelta((r - 1) * gap))}
+        used = set()
+        for t in sorted((i for i in treated_ids if (i, 1) not in done), key=lambda i: (by_id[i]["vax1_date"], i)):
+            a = by_id[t]
+            free = [c for c in ever - used if (c, 0) not in done and by_id[c]["sex"] == a["sex"] and abs(by_id[c]["age"] - a["age"]) <= width
+                    and (by_id[c]["vax1_date"] is None or by_id[c]["vax1_date"] > a["vax1_date"])]
+            if free:
+                used.add(min(free))
+                out.append((r, t, min(free), a["vax1_date"], fit(min(free), a["vax1_date"])))
+        done |= {x for q, t, c, _, ok in out if q == r and ok for x in ((t, 1), (c, 0))}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_rounds_like_a_plain_loop(spark, seed):
+    """Rounds take eligible controls only, re-check them on the trial date, and later rounds find further pairs."""
+    from dataclasses import replace
+
+    from cohortspark.config import StudyConfig
+    from cohortspark.plans import cohorts, sequential_trial as seq
+
+    cfg = replace(StudyConfig(), n_rounds=3, round_gap=9)
+    people, events, spells = study_population(seed, 160)
+    who = spark.createDataFrame(people, PEOPLE)
+    happened = spark.createDataFrame(events, "patient_id long, date date, event_id long, value double, kind string")
+    stays = spark.createDataFrame(spells, "patient_id long, event_id long, admitted_date date, discharged_date date, infectious boolean")
+    mine = cohorts.treated_cohort(who, happened, stays, cfg).where("include and vax1_type = 'pfizer'")
+    ids = [r.patient_id for r in mine.collect()]
+    want = plain_rounds(people, events, spells, ids, 3, 9, 3)
+    rounds = seq.run_rounds(mine, who, happened, stays, cfg, "pfizer")
+    got = []
+    for r in rounds:
+        kept = {(x.trial_date, x.match_id) for x in r.kept.collect()}
+        pairs = {}
+        for x in r.proposed.collect():
+            pairs.setdefault((x.trial_date, x.match_id), {})[x.treated] = x.patient_id
+        got += [(r.number, p[1], p[0], key[0], key in kept) for key, p in pairs.items()]
+    assert sorted(got) == want
+    assert any(r > 1 and ok for r, *_, ok in want) and not all(ok for *_, ok in want)  # round 2 finds pairs, some fail
+    success = {x.matching_round: (x.proposed, x.kept) for x in seq.round_success(rounds).collect()}
+    assert success == {k: (sum(r == k for r, *_ in want), sum(r == k and ok for r, *_, ok in want)) for k in (1, 2, 3)}
+
+
+def test_criteria_at_several_dates_of_a_person(spark):
+    from cohortspark.config import StudyConfig
+    from cohortspark.plans import cohorts
+
+    people, events, spells = study_population(5, 40)
+    anchors = [(i, FIRST + dt.timedelta(d), d) for i in range(1, 41) for d in (0, 9, 18) if i != 7] + [(99, FIRST, 0)]
+    out = cohorts.controls_as_of(
+        spark.createDataFrame(people, PEOPLE), spark.createDataFrame(events, "patient_id long, date date, event_id long, value double, kind string"),
+        spark.createDataFrame(spells, "patient_id long, event_id long, admitted_date date, discharged_date date, infectious boolean"),
+        spark.createDataFrame(anchors, "patient_id long, anchor_date date, k int"), StudyConfig()).where("include").collect()
+    got = {(r.patient_id, r.k) for r in out}
+    assert len(got) == len(out) and not any(i in (7, 99) for i, _ in got)
+    for k in (0, 9, 18):  # the same people as with one date for everybody
+        one = cohorts.controls_as_of(
+            spark.createDataFrame(people, PEOPLE), spark.createDataFrame(events, "patient_id long, date date, event_id long, value double, kind string"),
+            spark.createDataFrame(spells, "patient_id long, event_id long, admitted_date date, discharged_date date, infectious boolean"),
+            spark.createDataFrame([a for a in anchors if a[2] == k], "patient_id long, anchor_date date, k int"), StudyConfig())
+        assert {r.patient_id for r in one.where("include").collect()} == {i for i, x in got if x == k}
