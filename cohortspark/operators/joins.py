@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import operator
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -35,33 +38,162 @@ def matching_pairs(dx: DataFrame, dy: DataFrame, cond: Column, small_side: int =
     return gx.join(gy, same_cell & cond).drop("_gr", "_gc", "_hr", "_hc")
 
 
-def predicate_join(x: DataFrame, y: DataFrame, by: Mapping[str, str],
-                   match: Callable[..., Column] | Sequence[Callable[[Column, Column], Column]],
+@dataclass(frozen=True)
+class Band:
+    """A predicate on numbers, dates or timestamps: lo <= left - right <= hi (in days or seconds for times).
+
+    ``closed`` tells which ends belong to the band: both, left, right or neither.
+    """
+
+    lo: float
+    hi: float
+    closed: str = "both"
+
+    def __post_init__(self) -> None:
+        if not (math.isfinite(self.lo) and math.isfinite(self.hi) and self.closed in CLOSED):
+            raise ValueError("a band has two finite ends, closed on both, left, right or neither")
+
+    def __call__(self, a: Column, b: Column) -> Column:
+        return inside(a - b, F.lit(self.lo), F.lit(self.hi), self.closed)
+
+
+@dataclass(frozen=True)
+class Between:
+    """A predicate on a left key and two right keys: low <= left <= high, ends as in :class:`Band`."""
+
+    closed: str = "both"
+
+    def __call__(self, a: Column, low: Column, high: Column) -> Column:
+        return inside(a, low, high, self.closed)
+
+
+CLOSED = ("both", "left", "right", "neither")
+
+
+def number_of(df: DataFrame, c: str) -> Column:
+    """A key as a double: dates as days, timestamps as seconds since 1970."""
+    kind = dict(df.dtypes)[c]
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    return F.col(c).cast("double")
+
+
+def inside(x: Column, low: Column, high: Column, closed: str) -> Column:
+    from_low = x >= low if closed in ("both", "left") else x > low
+    to_high = x <= high if closed in ("both", "right") else x < high
+    return from_low & to_high
+
+
+def _numbered(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Each key beside itself as a finite double; rows without one cannot match."""
+    out = df.withColumns({f"_n{c}": number_of(df, c) for c in names})
+    return out.where(reduce(lambda a, b: a & b, [F.abs(f"_n{c}") < float("inf") for c in names]))
+
+
+def interval_pairs(dx: DataFrame, dy: DataFrame, point: str, ends: Sequence[str], test: Band | Between, cond: Column) -> DataFrame:
+    """All pairs whose point lies in the interval of the other side, by an equality join on buckets.
+
+    A band is as wide for every row: buckets have its width, so it touches two or three of them. Intervals of their own
+    length touch at most two buckets of the power of two next above their length; a point is looked for once on each such
+    level (few: one for each doubling of the length). What a join candidate costs is thus bounded by the pairs found; no two
+    sides are compared as a whole. A crowded bucket is split by adaptive execution.
+    """
+    x, y = _numbered(dx, [point]), _numbered(dy, ends)
+    a = F.col(f"_n{point}")
+    if isinstance(test, Band):
+        if test.lo > test.hi:
+            return dx.join(dy, F.lit(False))
+        step = (test.hi - test.lo) or 1.0
+        low, high = F.col(f"_n{ends[0]}") + test.lo, F.col(f"_n{ends[0]}") + test.hi
+    else:
+        low, high = F.col(f"_n{ends[0]}"), F.col(f"_n{ends[1]}")
+        y = y.where(low <= high)
+        least, most = y.agg(F.min(F.when(high > low, high - low)), F.max(F.greatest(F.abs(low), F.abs(high)))).first()
+        step = max(least or 1.0, (most or 0.0) / 2.0**50)
+    slack = lambda v: F.lit(1e-9) + F.abs(v / step) * 1e-12  # noqa: E731  what rounding may move a bucket's edge
+    first, last = F.floor(low / step - slack(low)).cast("long"), F.floor(high / step + slack(high)).cast("long")
+    if isinstance(test, Band):
+        x = x.withColumn("_level", F.lit(0)).withColumn("_bucket", F.floor(a / step).cast("long"))
+        y = y.withColumn("_level", F.lit(0)).withColumn("_bucket", F.explode(F.sequence(first, last)))
+    else:
+        y = y.withColumn("_level", F.ceil(F.log2((last - first + 1).cast("double"))).cast("int"))
+        levels = sorted(r[0] for r in y.select("_level").distinct().collect())  # at most one for each doubling
+        y = y.withColumn("_bucket", F.explode(F.sequence(_shift(first, F.col("_level")), _shift(last, F.col("_level")))))
+        x = x.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
+        x = x.withColumn("_bucket", _shift(F.floor(a / step).cast("long"), F.col("_level")))
+    return x.join(y, ["_level", "_bucket"]).where(cond).select(*dx.columns, *dy.columns)
+
+
+def _shift(bucket: Column, level: Column) -> Column:
+    """The bucket of a higher level that holds a bucket."""
+    return F.floor(bucket / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def _keys(x: DataFrame, y: DataFrame, by) -> dict[str, tuple[str, ...]]:
+    """Left key -> right keys. Without ``by`` the columns that both sides have; a list names such columns."""
+    if by is None:
+        by = [c for c in x.columns if c in y.columns]
+        if not by:
+            raise ValueError("the sides have no column in common; name the keys")
+    if not isinstance(by, Mapping):
+        by = {c: c for c in by}
+    return {a: (b,) if isinstance(b, str) else tuple(b) for a, b in by.items()}
+
+
+def predicate_join(x: DataFrame, y: DataFrame, by: Mapping[str, str | tuple[str, str]] | Sequence[str] | None = None,
+                   match: Callable[..., Column] | Sequence[Callable[..., Column]] | None = None,
                    how: str = "inner", multi: bool = False, distance: tuple[str, Callable[..., Column]] | None = None,
-                   small_side: int = SMALL_SIDE) -> DataFrame:
+                   small_side: int = SMALL_SIDE, index: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
     """Join on predicates instead of equality, in any of the modes inner, left, right, full, semi, anti.
 
-    ``by`` maps left key columns to right key columns. ``match`` is one predicate for all columns, one
+    ``by`` maps left key columns to right key columns (to a pair of them for :class:`Between`); a list names keys that both
+    sides have, and without it these are all common columns. ``match`` is one predicate for all columns, one
     per column (all must hold), or with ``multi`` a single predicate over all left and right keys.
     Predicates are evaluated once per distinct pair of key values; equality joins bring the rows back,
     so repeated (hot) values cost nothing extra in the predicate step. A NULL key matches nothing.
+    If a predicate is a :class:`Band` or :class:`Between`, or the plain equality ``operator.eq``, candidates come from an equality
+    join and the other predicates are tested on them; only other predicates compare all distinct values.
+    ``index`` takes the place of ``match``: it gets both tables of distinct keys, under their own names (the right ones with
+    ``_y`` where both sides have the name), and returns the pairs, with further columns if it likes.
     Columns present on both sides get the endings ``_x`` and ``_y``. ``distance`` (name, function of all
     keys) adds a column computed for each matching pair.
     """
-    kx, ky = list(by), list(by.values())
+    keys = _keys(x, y, by)
+    kx, ky = list(keys), [c for group in keys.values() for c in group]
     tx, ty = [f"_kx{i}" for i in range(len(kx))], [f"_ky{i}" for i in range(len(ky))]
     dx = x.select(*[F.col(c).alias(t) for c, t in zip(kx, tx)]).dropna().distinct()
     dy = y.select(*[F.col(c).alias(t) for c, t in zip(ky, ty)]).dropna().distinct()
-    if multi:
-        cond = match(*[F.col(c) for c in tx], *[F.col(c) for c in ty])
+    extra: list[str] = []
+    if index is not None:
+        own = [c + "_y" if c in kx else c for c in ky]
+        pairs = index(dx.toDF(*kx), dy.toDF(*own))
+        extra = [c for c in pairs.columns if c not in (*kx, *own)]
+        pairs = pairs.select(*[F.col(c).alias(t) for c, t in zip((*kx, *own), (*tx, *ty))], *extra).dropna(subset=[*tx, *ty]).distinct()
+    elif multi:
+        pairs = matching_pairs(dx, dy, match(*[F.col(c) for c in tx], *[F.col(c) for c in ty]), small_side)
     else:
-        fns = [match] * len(kx) if callable(match) else list(match)
+        fns = [match] * len(kx) if callable(match) else list(match or ())
         if len(fns) != len(kx):
             raise ValueError("need one predicate per key column")
-        cond = reduce(lambda a, b: a & b, [f(F.col(a), F.col(b)) for f, a, b in zip(fns, tx, ty)])
-    pairs = matching_pairs(dx, dy, cond, small_side)
+        at = [0, *itertools.accumulate(len(g) for g in keys.values())]
+        right = [ty[i:j] for i, j in itertools.pairwise(at)]
+        value = lambda f, df, c: number_of(df, c) if isinstance(f, Band | Between) else F.col(c)
+        cond = reduce(lambda a, b: a & b, [f(value(f, dx, a), *[value(f, dy, c) for c in b]) for f, a, b in zip(fns, tx, right)])
+        plain = [i for i, f in enumerate(fns) if f is operator.eq]
+        ranged = [i for i, f in enumerate(fns) if isinstance(f, Band | Between)]
+        if plain:
+            same = reduce(lambda a, b: a & b, [F.col(tx[i]) == F.col(right[i][0]) for i in plain])
+            pairs = dx.join(dy, same & cond)
+        elif ranged:
+            i = ranged[0]
+            pairs = interval_pairs(dx, dy, tx[i], right[i], fns[i], cond)
+        else:
+            pairs = matching_pairs(dx, dy, cond, small_side)
     if distance:
         pairs = pairs.withColumn(distance[0], distance[1](*[F.col(c) for c in tx], *[F.col(c) for c in ty]))
+        extra = [*extra, distance[0]]
 
     on_x = reduce(lambda a, b: a & b, [F.col(c) == F.col(t) for c, t in zip(kx, tx)])
     if how in ("semi", "anti"):
@@ -71,7 +203,7 @@ def predicate_join(x: DataFrame, y: DataFrame, by: Mapping[str, str],
     right = y.select(*[F.col(c).alias(c + "_y" if c in both else c) for c in y.columns])
     name_x = lambda c: c + "_x" if c in both else c
     name_y = lambda c: c + "_y" if c in both else c
-    out_cols = [*left.columns, *right.columns, *([distance[0]] if distance else [])]
+    out_cols = [*left.columns, *right.columns, *extra]
     to_x = reduce(lambda a, b: a & b, [F.col(name_x(c)) == F.col(t) for c, t in zip(kx, tx)])
     to_y = reduce(lambda a, b: a & b, [F.col(name_y(c)) == F.col(t) for c, t in zip(ky, ty)])
     if how == "inner":

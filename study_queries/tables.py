@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import operator
+
 from pyspark.sql import functions as F
 
 from cohortspark import fixture as fx
@@ -39,6 +41,58 @@ def fuzzy_join_multi(spark, sf):
     return joins.predicate_join(x, y, {"p_size": "s_nationkey"}, lambda a, b: (a > b * 2) & (a <= b * 2 + 2), multi=True)
 
 
+_NEAR = "SELECT o_orderkey, o_totalprice, c_custkey, c_acctbal FROM orders {how} JOIN customer ON o_totalprice - c_acctbal BETWEEN -20 AND 5"
+
+
+def _near(how: str):
+    def run(spark, sf):
+        x = fx.load(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+        y = fx.load(spark, sf, "customer").select("c_custkey", "c_acctbal")
+        return joins.predicate_join(x, y, {"o_totalprice": "c_acctbal"}, joins.Band(-20, 5), how)
+    return run
+
+
+for _how in ("inner", "left", "full"):
+    query(_NEAR.format(how=_how), name=f"band_join_{_how}")(_near(_how))
+
+
+@query(fx.with_sql("ev", "spell") + """SELECT patient_id, date, event_id, event_id_1 AS event_id_y, admitted_date, discharged_date FROM (
+ SELECT e.patient_id, e.date, e.event_id, s.event_id AS event_id_1, s.admitted_date, s.discharged_date FROM ev e JOIN spell s
+ ON e.patient_id=s.patient_id AND e.date > s.admitted_date AND e.date <= s.discharged_date WHERE e.kind='postest')""")
+def between_join_positive_in_hospital(spark, sf):
+    x = fx.events(spark, sf).where("kind = 'postest'").select("patient_id", "date", "event_id")
+    y = fx.spells(spark, sf).select("patient_id", "event_id", "admitted_date", "discharged_date")
+    out = joins.predicate_join(
+        x, y, {"patient_id": "patient_id", "date": ("admitted_date", "discharged_date")}, [operator.eq, joins.Between("right")])
+    return out.select(F.col("patient_id_x").alias("patient_id"), "date", F.col("event_id_x").alias("event_id"),
+                      F.col("event_id_y"), "admitted_date", "discharged_date")
+
+
+_RANGES = "SELECT s_suppkey, s_acctbal AS low, s_acctbal + 1 + s_suppkey % 7 * 40 AS high FROM supplier"
+
+
+@query(f"SELECT p_partkey, p_retailprice, s_suppkey, low, high FROM part JOIN ({_RANGES}) ON p_retailprice >= low AND p_retailprice < high")
+def between_join_price_ranges(spark, sf):
+    x = fx.load(spark, sf, "part").select("p_partkey", "p_retailprice")
+    y = fx.load(spark, sf, "supplier").select(
+        "s_suppkey", F.col("s_acctbal").alias("low"), (F.col("s_acctbal") + 1 + F.col("s_suppkey") % 7 * 40).alias("high"))
+    return joins.predicate_join(x, y, {"p_retailprice": ("low", "high")}, joins.Between("left"))
+
+
+@query("""SELECT p_partkey, p.n AS n_x, y.n AS n_y, n_name, abs(p.n - y.n) AS gap FROM (SELECT p_partkey, p_size AS n FROM part) p
+ LEFT JOIN (SELECT n_nationkey AS n, n_name FROM nation) y ON abs(p.n - y.n) <= 1""")
+def fuzzy_join_index(spark, sf):
+    """Pairs of the common key `n` given by a function of both tables of distinct keys."""
+    x = fx.load(spark, sf, "part").select("p_partkey", F.col("p_size").alias("n"))
+    y = fx.load(spark, sf, "nation").select(F.col("n_nationkey").alias("n"), "n_name")
+
+    def near(a, b):
+        steps = b.withColumn("n", F.explode(F.array(*[F.col("n_y") + k for k in (-1, 0, 1)])))
+        return a.join(steps, "n").withColumn("gap", F.abs(F.col("n") - F.col("n_y")))
+
+    return joins.predicate_join(x, y, how="left", index=near)
+
+
 @query(sql("""SELECT t.trial_date, t.match_id, t.patient_id, t.age, t.region, c.patient_id AS patient_id_y, c.age AS age_y FROM
  (SELECT m.*, age, region FROM members_a m JOIN people USING (patient_id) WHERE treated=1) t JOIN
  (SELECT m.*, age, region FROM members_a m JOIN people USING (patient_id) WHERE treated=0) c

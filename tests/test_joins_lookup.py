@@ -1,6 +1,8 @@
 """Predicate joins in every mode and on both paths; lookups on hand-made cases."""
 
 import datetime as dt
+import operator
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +46,96 @@ def test_predicate_join_several_columns(spark):
         joins.predicate_join(x, y, {"n": "m", "s": "t"}, [lambda a, b: a >= b])
 
 
+MODES = ("inner", "left", "right", "full", "semi", "anti")
+
+
+def plain_join(xs, ys, ok, how):
+    hits = [(*a, *b) for a in xs for b in ys if ok(a, b)]
+    lone_x = [(*a, *[None] * len(ys[0])) for a in xs if not any(ok(a, b) for b in ys)]
+    lone_y = [(*[None] * len(xs[0]), *b) for b in ys if not any(ok(a, b) for a in xs)]
+    out = {"inner": hits, "left": hits + lone_x, "right": hits + lone_y, "full": hits + lone_x + lone_y,
+           "semi": [a for a in xs if any(ok(a, b) for b in ys)], "anti": [a for a in xs if not any(ok(a, b) for b in ys)]}[how]
+    return sorted(out, key=str)
+
+
+def no_pairwise_plan(df):
+    plan = df._jdf.queryExecution().toString()
+    return "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("lo, hi, closed", [(-1.5, 1.5, "both"), (0.0, 0.0, "both"), (-3.0, -0.5, "left"), (2.0, 1.0, "both"), (0.1, 0.3, "right"), (-1.0, 1.0, "neither")])
+def test_band_join(spark, lo, hi, closed):
+    rng = random.Random(1)
+    xs = [(i, rng.choice([None, float("nan"), float("inf"), 1e15, 0.1 * rng.randint(-60, 60)])) for i in range(60)] + [(60, 0.3), (61, 0.3)]
+    ys = [(i, rng.choice([None, -float("inf"), 1e15, 0.1 * rng.randint(-60, 60), float(rng.randint(-5, 5))])) for i in range(50)]
+    x, y = spark.createDataFrame(xs, "id int, v double"), spark.createDataFrame(ys, "id int, w double")
+    low = {"both": "le", "left": "le", "right": "lt", "neither": "lt"}[closed]
+    high = {"both": "le", "right": "le", "left": "lt", "neither": "lt"}[closed]
+
+    def ok(a, b):
+        v, w = a[1], b[1]
+        return v is not None and w is not None and abs(v) < 1e300 and abs(w) < 1e300 and getattr(operator, low)(lo, v - w) and getattr(operator, high)(v - w, hi)
+
+    for how in MODES if lo == -1.5 else ("full",):
+        out = joins.predicate_join(x, y, {"v": "w"}, joins.Band(lo, hi, closed), how)
+        assert str(rows(out)) == str(plain_join(xs, ys, ok, how))  # as text, for not-a-number
+        assert no_pairwise_plan(out)
+
+
+@pytest.mark.parametrize("closed", ["both", "right"])
+def test_between_join_with_intervals_of_any_length(spark, closed):
+    """Lengths from nothing to a billion, empty and missing ends, one crowded region."""
+    rng = random.Random(2)
+    xs = [(i, rng.choice([None, rng.randint(0, 40), rng.randint(0, 10**9), 7])) for i in range(120)]
+    ys = []
+    for i in range(80):
+        a = rng.choice([None, rng.randint(0, 40), rng.randint(0, 10**9)])
+        ys.append((i, a, None if a is None or i % 11 == 0 else a + rng.choice([-1, 0, 1, 5, 1000, 10**9])))
+    x, y = spark.createDataFrame(xs, "id int, v long"), spark.createDataFrame(ys, "id int, lo long, hi long")
+    ok = lambda a, b: None not in (a[1], b[1], b[2]) and (b[1] <= a[1] if closed == "both" else b[1] < a[1]) and a[1] <= b[2]
+    for how in MODES if closed == "both" else ("full",):
+        out = joins.predicate_join(x, y, {"v": ("lo", "hi")}, joins.Between(closed), how)
+        assert rows(out) == plain_join(xs, ys, ok, how)
+        assert no_pairwise_plan(out)
+    none = joins.predicate_join(x, y.where("id < 0"), {"v": ("lo", "hi")}, joins.Between(closed), "left")
+    assert rows(none) == sorted([(*a, None, None, None) for a in xs], key=str)
+
+
+def test_band_with_further_predicates_and_dates(spark):
+    xs = [(i, "ab"[i % 2], D(2020, 1, 1 + i)) for i in range(20)]
+    ys = [(i, "abc"[i % 3], D(2020, 1, 1 + 2 * i)) for i in range(10)]
+    x, y = spark.createDataFrame(xs, "id int, g string, d date"), spark.createDataFrame(ys, "id int, h string, e date")
+    out = joins.predicate_join(x, y, {"g": "h", "d": "e"}, [lambda a, b: a < b, joins.Band(-2, 2)])
+    assert rows(out) == plain_join(xs, ys, lambda a, b: a[1] < b[1] and abs((a[2] - b[2]).days) <= 2, "inner") and no_pairwise_plan(out)
+    out = joins.predicate_join(x, y, {"g": "h", "d": "e"}, [operator.eq, joins.Band(-2, 0)], "anti")
+    assert rows(out) == plain_join(xs, ys, lambda a, b: a[1] == b[1] and -2 <= (a[2] - b[2]).days <= 0, "anti")
+
+
+def test_band_join_of_many_values_stays_small(spark):
+    """A hundred thousand distinct values on each side, where all pairs would be ten billion."""
+    x = spark.range(100_000).select((F.col("id") * 3).alias("v"))
+    y = spark.range(100_000).select((F.col("id") * 3 + 1).alias("w"))
+    assert joins.predicate_join(x, y, {"v": "w"}, joins.Band(-1, 1)).count() == 100_000
+    assert joins.predicate_join(x, y.withColumn("z", F.col("w") + 3), {"v": ("w", "z")}, joins.Between()).count() == 99_999
+
+
+def test_default_keys_and_index_function(spark):
+    xs, ys = [(1, 5), (2, 6), (3, None), (4, 5)], [(1, 5), (9, 7)]
+    x, y = spark.createDataFrame(xs, "a int, k int"), spark.createDataFrame(ys, "b int, k int")
+    out = joins.predicate_join(x, y, match=lambda a, b: a >= b - 1)
+    assert out.columns == ["a", "k_x", "b", "k_y"] and rows(out) == [(1, 5, 1, 5), (2, 6, 1, 5), (2, 6, 9, 7), (4, 5, 1, 5)]
+    assert rows(joins.predicate_join(x, y, ["k"], operator.eq)) == [(1, 5, 1, 5), (4, 5, 1, 5)]
+    pairs = lambda a, b: a.join(b, F.col("k") + 2 == F.col("k_y")).withColumn("why", F.lit("two more"))
+    out = joins.predicate_join(x, y, how="full", index=pairs)
+    assert out.columns == ["a", "k_x", "b", "k_y", "why"]
+    assert rows(out) == sorted([(1, 5, 9, 7, "two more"), (4, 5, 9, 7, "two more"), (2, 6, None, None, None), (3, None, None, None, None),
+                                (None, None, 1, 5, None)], key=str)
+    with pytest.raises(ValueError):
+        joins.predicate_join(x.drop("k"), y, match=operator.eq)
+    with pytest.raises(ValueError):
+        joins.Band(0, float("inf"))
+
+
 def test_caliper_join(spark):
     x = spark.createDataFrame([(1, 70, "a"), (2, 80, "b")], "pair int, age int, who string")
     y = spark.createDataFrame([(1, 73, "c"), (2, 84, "d")], "pair int, age int, who string")
