@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortspark.functions.columns import cut_band, satisfied, timesince_cut
+from cohortspark.functions.columns import cut_band, satisfied
 
 
 def status_changes(changes: DataFrame, time: str, value: str, order: Sequence[str], last: str,
@@ -163,35 +163,6 @@ def without_spells(spells: DataFrame, other: DataFrame, person: str = "patient_i
     return spells.join(o, [spells[k].eqNullSafe(o["_o_" + k]) for k in keys], "left_anti")
 
 
-def select_at_risk_days(days: DataFrame, outcome: str, brand: str, fixed: DataFrame, cuts: Sequence[int],
-                        brands: Sequence[str] = ("any", "pfizer", "az"), infection: str = "postest",
-                        person: str = "patient_id") -> DataFrame:
-    """Person-days of the single-trial analysis of one outcome and brand.
-
-    Follow-up ends the day after the outcome, a competing brand or a second dose, and starts when the
-    brand is in use. People whose infection comes before treatment count as never treated.
-    """
-    kept = days.where(
-        (F.col(f"{outcome}_status") == 0)
-        & (F.col("vaxany1_status") == F.col(f"vax{brand}1_status"))
-        & (F.col("vaxany2_status") == 0)
-        & (F.col(f"vax{brand}_atrisk") == 1)
-    ).join(fixed, person)
-    infected = kept.where((F.col("vaxany_status") == 0) & (F.col(f"{infection}_status") == 1)).select(person).distinct()
-    out = kept.join(infected.withColumn("_inf", F.lit(True)), person, "left").withColumn(
-        "infected_untreated", F.coalesce("_inf", F.lit(False))).drop("_inf")
-    clean = (F.col("vaxany1_status") == 0) & (F.col(f"{infection}_status") == 0)
-    out = out.withColumns({f"vax{b}1_atrisk": clean & (F.col(f"vax{b}_atrisk") == 1) for b in brands})
-    out = out.withColumn("death_atrisk", F.col("death_status") == 0)
-    frozen = [c for b in brands for c in (f"vax{b}1", f"vax{b}1_status", f"vax{b}_status", f"vax{b}1_timesince")
-              if c in out.columns]
-    out = out.withColumns({c: F.when(F.col("infected_untreated"), F.lit(0)).otherwise(F.col(c)) for c in frozen})
-    return out.withColumns({
-        "timesincevax_pw": timesince_cut(F.col("vaxany1_timesince"), cuts, "pre-vax"),
-        "outcome": F.col(outcome), "vax": F.col(f"vax{brand}1"), "vax_atrisk": F.col(f"vax{brand}1_atrisk"),
-    })
-
-
 def check(df: DataFrame, violation: Column, message: str) -> DataFrame:
     """Raise when any row violates an invariant; otherwise hand the table on."""
     if not df.where(violation).isEmpty():

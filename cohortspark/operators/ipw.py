@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortspark.operators import sampling
 from cohortspark.operators.design import columns_of
-from cohortspark.operators.logistic import LogisticFit, fit_logistic
+from cohortspark.operators.logistic import LogisticFit, fit_logistic, robust_logistic
 from cohortspark.operators.summary import numeric_summary
 from cohortspark.operators.windows import running
 from cohortspark.session import stable
@@ -38,10 +38,11 @@ def draw_sample(days: DataFrame, event: str, kind: str, amount: float, person: s
 
 
 def treatment_models(days: DataFrame, event: str, at_risk: str, varying: Sequence[object], fixed: Sequence[object],
-                     kind: str, amount: float | None, person: str = "patient_id") -> tuple[LogisticFit, LogisticFit]:
+                     kind: str, amount: float | None, person: str = "patient_id", robust: bool = False) -> tuple[LogisticFit, LogisticFit]:
     """Models of the event with and without time-varying covariates, on those at risk; ``amount``: of a sample, None for all.
 
-    The sampled rows are written once, spread over all cores; every pass of both fits reads them.
+    The sampled rows are written once, spread over all cores; every pass of both fits reads them. ``robust``: the first
+    model carries its person-clustered variance, from the rows that it was fitted on.
     """
     risk = days.where(F.col(at_risk))
     if amount is None:
@@ -50,8 +51,11 @@ def treatment_models(days: DataFrame, event: str, at_risk: str, varying: Sequenc
         sample = risk.join(draw_sample(risk, event, kind, amount, person), person)
     needed = {c for t in (*varying, *fixed) for c in columns_of(t)}
     cores = days.sparkSession.sparkContext.defaultParallelism
-    sample = stable(sample.select(event, "sample_weight", *sorted(needed)).repartition(cores))
-    return (fit_logistic(sample, varying, event, "sample_weight"), fit_logistic(sample, fixed, event, "sample_weight"))
+    sample = stable(sample.select(person, event, "sample_weight", *sorted(needed - {person})).repartition(cores))
+    first = fit_logistic(sample, varying, event, "sample_weight")
+    if robust:
+        first = robust_logistic(sample, first, event, person, "sample_weight")
+    return first, fit_logistic(sample, fixed, event, "sample_weight")
 
 
 def realised(probability: Column, event: str) -> Column:

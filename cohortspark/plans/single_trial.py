@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from cohortspark.config import StudyConfig
-from cohortspark.functions.columns import timesince_labels, tte
+from cohortspark.functions.columns import timesince_cut, timesince_labels, tte
 from cohortspark.operators import intervals, ipw, logistic, sampling
 from cohortspark.operators.design import Factor, Number, Powers, Product, Spline
 from cohortspark.plans import cohorts
@@ -76,14 +77,14 @@ def with_hospital_changes(base: DataFrame, spells: DataFrame, cfg: StudyConfig)
         **{f"{h}_status_changes": kept(F.col(f"{h}_status_changes")) for h in ("hospinf", "hospnoninf")}})
 
 
-def counting_process(base: DataFrame, cfg: StudyConfig) -> DataFrame:
-    """Intervals with all statuses and event flags, and the columns person-days are derived from."""
+def counting_process(base: DataFrame, cfg: StudyConfig, carry: Sequence[str] = ()) -> DataFrame:
+    """Intervals with all statuses and event flags, and the columns person-days are derived from; ``carry``: more to keep."""
     brands = [b.name for b in cfg.brands]
     doses = ["vaxany1", "vaxany2", *[f"vax{b}{k}" for b in brands for k in (1, 2)]]
     marks = [*doses, "postest", "admitted", "death", "dereg"]
     steps = {"vaxany_atrisk": "start_any", **{f"vax{b}_atrisk": f"start_{b}" for b in brands},
              **{f"{m}_status": f"tte_{m}" for m in marks}}
-    keep = ["patient_id", "hospinf_out", "hospnoninf_out", *[f"tte_{d}" for d in doses]]
+    keep = ["patient_id", "hospinf_out", "hospnoninf_out", *[f"tte_{d}" for d in doses], *carry]
     out = intervals.to_intervals(
         base, "tte_lastfup", steps, {**{m: f"tte_{m}" for m in marks}, "lastfup": "tte_lastfup"},
         ["hospinf_status_changes", "hospnoninf_status_changes"], keep)
@@ -119,6 +120,60 @@ def person_day_table(cohort: DataFrame, events: DataFrame, spells: DataFrame, cf
     return person_days(counting_process(base, cfg), cfg)
 
 
+def risk_window(base: DataFrame, outcome: str, brand: str) -> DataFrame:
+    """Decide on the person's row which days belong to the analysis of one outcome and brand.
+
+    Adds ``risk_from`` and ``risk_to``: days that start from the one on and before the other count. They begin when the
+    brand is in use and end the day after the outcome, a competing brand or a second dose. All these statuses begin
+    once and never end, so a day's statuses follow from the times alone. ``infected_untreated``: some counted
+    day is after the infection and before any dose. People without a counted day go.
+    """
+    from_brand, from_any = F.col(f"start_{brand}"), F.col("start_any")
+    competing = F.when(F.col(f"tte_vax{brand}1").isNull(), F.col("tte_vaxany1")) if brand != "any" else F.lit(None).cast("int")
+    out = base.where(from_brand.isNotNull() & from_any.isNotNull()).withColumns({
+        "risk_from": F.greatest(from_brand, from_any, F.lit(0)),
+        "risk_to": F.least("tte_lastfup", f"tte_{outcome}", competing, "tte_vaxany2")}).where("risk_from < risk_to")
+    infected = F.greatest("risk_from", "tte_postest")
+    untreated = F.col("tte_vaxany1").isNull() | (F.col("tte_vaxany1") > infected)
+    return out.withColumn("infected_untreated", F.coalesce(
+        F.col("tte_postest").isNotNull() & (infected < F.col("risk_to")) & untreated, F.lit(False)))
+
+
+#: Columns that each use of the at-risk days takes besides ids, times, outcome, treatment and covariates.
+STAGES = {"msm": ("death_atrisk",), "preflight": ("death", "dereg")}
+
+
+def at_risk_days(base: DataFrame, fixed: DataFrame, outcome: str, brand: str, cfg: StudyConfig, stage: str = "msm",
+                 subgroup: str | None = None, level: str | None = None) -> DataFrame:
+    """Person-days of the single-trial analysis of one outcome and brand (or ``any``), with covariates.
+
+    ``base``: one row per person from :func:`with_hospital_changes`. ``fixed``: one row per person with covariates. Window,
+    subgroup and covariates are settled on the person's row; what is left is expanded to days once. People whose infection
+    comes before treatment count as never treated. ``stage``: which columns are returned (:data:`STAGES`).
+    """
+    more = [c for c in fixed.columns if c not in base.columns]
+    people = risk_window(base, outcome, brand).join(fixed.select("patient_id", *more), "patient_id")
+    if subgroup is not None:
+        people = people.where(F.col(subgroup) == level)
+    group = [subgroup] if subgroup in base.columns else []
+    spans = counting_process(people, cfg, [*more, *group, "risk_from", "risk_to", "infected_untreated"])
+    spans = spans.where((F.col("tstart") >= F.col("risk_from")) & (F.col("tstart") < F.col("risk_to"))).drop("risk_from", "risk_to")
+    days = person_days(spans, cfg)
+    brands = ["any", *[b.name for b in cfg.brands]]
+    clean = (F.col("vaxany1_status") == 0) & (F.col("postest_status") == 0)
+    days = days.withColumns({
+        **{f"vax{b}1_atrisk": clean & (F.col(f"vax{b}_atrisk") == 1) for b in brands}, "death_atrisk": F.col("death_status") == 0})
+    never = lambda c: F.when(F.col("infected_untreated"), F.lit(0)).otherwise(F.col(c))
+    days = days.withColumns({c: never(c) for b in brands for c in (f"vax{b}1", f"vax{b}1_status", f"vax{b}1_timesince")})
+    days = days.withColumns({
+        "timesincevax_pw": timesince_cut(F.col("vaxany1_timesince"), (0, *cfg.cuts[1:]), "pre-vax"),
+        "outcome": F.col(outcome), "vax": F.col(f"vax{brand}1"), "vax_atrisk": F.col(f"vax{brand}1_atrisk")})
+    own = [c for b in brands for c in (f"vax{b}1", f"vax{b}1_status", f"vax{b}1_atrisk")]
+    return days.select(
+        "patient_id", "tstart", "tstop", "outcome", "timesincevax_pw", "vax", "vax_atrisk", "infected_untreated", *own,
+        "timesince_hospinfdischarge", "timesince_hospnoninfdischarge", *STAGES[stage], *more, *group)
+
+
 def covariate_terms(cfg: StudyConfig, regions: Sequence[str], adjust: Sequence[str], spline_df: int = 5,
                     skip: Sequence[str] = ()) -> list[object]:
     """Baseline covariates and a regional secular trend; a subgroup variable can be left out."""
@@ -127,19 +182,23 @@ def covariate_terms(cfg: StudyConfig, regions: Sequence[str], adjust: Sequence[s
     return [*terms, Spline("tstop", spline_df), region, Product(Spline("tstop", spline_df), region)]
 
 
-def weighted_days(days: DataFrame, fixed: DataFrame, base: DataFrame, outcome: str, brand: str, cfg: StudyConfig,
-                  terms: Sequence[object]) -> tuple[DataFrame, list]:
+def weighted_days(base: DataFrame, fixed: DataFrame, outcome: str, brand: str, cfg: StudyConfig, terms: Sequence[object],
+                  subgroup: str | None = None, level: str | None = None, robust: bool = False) -> tuple[DataFrame, list]:
     """At-risk days of one outcome and brand with stabilised weights, and the fitted treatment models.
 
-    Everybody takes part unless the configuration asks for samples.
+    Treatment is any brand for ``any``, otherwise each brand has its own models. Everybody takes part unless the
+    configuration asks for samples. With ``robust`` the treatment models carry their person-clustered variance.
+    The days are expanded and written once; all models read what is written.
     """
-    brands = [b.name for b in cfg.brands]
-    mine = intervals.select_at_risk_days(days, outcome, brand, fixed, (0, *cfg.cuts[1:]), ("any", *brands))
+    brands = ["any"] if brand == "any" else [b.name for b in cfg.brands]
     varying = [*terms, *[Factor(f"timesince_{h}discharge", HOSPITAL_LEVELS) for h in ("hospinf", "hospnoninf")]]
-    weights, models = {}, []
-    for b in (["any"] if brand == "any" else brands):
-        pair = ipw.treatment_models(mine, f"vax{b}1", f"vax{b}1_atrisk", varying, terms, "random_n", cfg.ipw_sample)
-        models.append((b, pair))
+    # spread over all cores for the many passes of the models
+    cores = base.sparkSession.sparkContext.defaultParallelism
+    mine = at_risk_days(base, fixed, outcome, brand, cfg, "msm", subgroup, level)
+    mine = stable(mine.repartition(cores, "patient_id"))
+    models = [(b, ipw.treatment_models(mine, f"vax{b}1", f"vax{b}1_atrisk", varying, terms, "random_n", cfg.ipw_sample, robust=robust))
+              for b in brands]
+    weights = {}
     for b, pair in models:
         mine = ipw.with_stabilised_weight(mine, pair, f"vax{b}1", f"vax{b}1_atrisk", f"_w_{b}")
         weights[f"vax{b}1"] = F.col(f"_w_{b}")
@@ -150,9 +209,7 @@ def weighted_days(days: DataFrame, fixed: DataFrame, base: DataFrame, outcome: s
         sampled = sampling.sample_weights(sampling.sample_nonoutcomes_n(had, cfg.nonoutcome_sample, "had"), "had")
         kept = mine.join(sampled.where("sampled").select("patient_id", "sample_weight"), "patient_id")
     out = ipw.add_weights(kept, weights, "sample_weight")
-    # spread over all cores for the many passes of the outcome model
-    cores = days.sparkSession.sparkContext.defaultParallelism
-    return stable(out.drop(*[f"_w_{b}" for b, _ in models]).repartition(cores)), models
+    return stable(out.drop(*[f"_w_{b}" for b, _ in models])), models
 
 
 def msm(weighted: DataFrame, cfg: StudyConfig, terms: Sequence[object]) -> logistic.LogisticFit:
@@ -161,3 +218,15 @@ def msm(weighted: DataFrame, cfg: StudyConfig, terms: Sequence[object]) -> logis
     full = [Factor("timesincevax_pw", labels), *terms]
     fit = logistic.fit_logistic(weighted, full, "outcome", "cmlipweight_sample")
     return logistic.robust_logistic(weighted, fit, "outcome", "patient_id", "cmlipweight_sample")
+
+
+def msm_by_subgroup(base: DataFrame, fixed: DataFrame, outcome: str, brand: str, cfg: StudyConfig, terms: Sequence[object],
+                    subgroup: str, levels: Sequence[str]) -> DataFrame:
+    """Coefficients of the marginal structural model fitted apart on each level of a subgroup; ``terms`` must not hold it."""
+    tables = []
+    for level in levels:
+        days, _ = weighted_days(base, fixed, outcome, brand, cfg, terms, subgroup, level)
+        table = logistic.coefficient_table(base.sparkSession, msm(days, cfg, terms))
+        tables.append(table.withColumns({
+            "brand": F.lit(brand), "subgroup": F.lit(subgroup), "subgroup_level": F.lit(level), "outcome": F.lit(outcome)}))
+    return reduce(DataFrame.unionByName, tables)

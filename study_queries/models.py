@@ -5,8 +5,6 @@ Iterative fits have no SQL form; the tests compare them with an independent smal
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from cohortspark import fixture as fx
@@ -14,9 +12,9 @@ from cohortspark.operators import ipw, logistic, report
 from cohortspark.plans import sequential_trial as seq, single_trial as st
 from cohortspark.session import stable
 from study_queries import chain
-from study_queries.chain import CFG
+from study_queries.chain import CFG, sql
 from study_queries.registry import query
-from study_queries.shaping import single_base
+from study_queries.shaping import _sets, single_base
 
 ADJUST = ("flu_vaccine", "diabetes", "chronic_heart_disease")
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
@@ -53,14 +51,16 @@ def cox_meta_analysis(spark, sf):
     return report.meta_analysis(cox_by_subgroup(spark, sf), ["brand", "outcome", "period_start", "period_end"])
 
 
-@lru_cache(maxsize=4)
-def _weighted(spark, sf, outcome: str, brand: str):
-    """Weighted at-risk days, written once: the models read them several times."""
-    base = stable(single_base(spark, sf))
-    days = st.person_days(st.counting_process(base, CFG), CFG)
+def _inputs(spark, sf):
+    """People's times and covariates, and the model terms."""
     fixed = chain.people(spark, sf).select("patient_id", "age", "sex", "region", *[F.col(a).cast("int").alias(a) for a in ADJUST])
-    terms = st.covariate_terms(CFG, REGIONS, ADJUST, spline_df=3)
-    out, models = st.weighted_days(days, fixed, base, outcome, brand, CFG, terms)
+    return stable(single_base(spark, sf)), fixed, st.covariate_terms(CFG, REGIONS, ADJUST, spline_df=3)
+
+
+def _weighted(spark, sf, outcome: str, brand: str, robust: bool = False):
+    """Weighted at-risk days, written once: the models read them several times."""
+    base, fixed, terms = _inputs(spark, sf)
+    out, models = st.weighted_days(base, fixed, outcome, brand, CFG, terms, robust=robust)
     return out, models, terms
 
 
@@ -86,11 +86,9 @@ def weight_histogram(spark, sf):
 @query()
 def treatment_model_table(spark, sf):
     """Odds ratios of the treatment model with robust limits; splines left out, reference rows added."""
-    days, models, _ = _weighted(spark, sf, "postest", "pfizer")
+    _, models, _ = _weighted(spark, sf, "postest", "pfizer", robust=True)
     tables = []
-    for brand, (varying, _fixed) in models:
-        risk = days.where(F.col(f"vax{brand}1_atrisk"))
-        fit = logistic.robust_logistic(risk, varying, f"vax{brand}1", "patient_id")
+    for brand, (fit, _fixed) in models:
         tables.append(logistic.coefficient_table(spark, fit, exclude=("spline(",), reference_rows=True).withColumn("brand", F.lit(brand)))
     return tables[0].unionByName(tables[1])
 
@@ -117,6 +115,42 @@ def msm_effects(spark, sf):
     return _msm(spark, sf)
 
 
+@query()
+def msm_any_by_ageband(spark, sf):
+    """Treatment with any brand, fitted apart in each age band."""
+    base, fixed, terms = _inputs(spark, sf)
+    return st.msm_by_subgroup(base, fixed, "postest", "any", CFG, terms, "ageband2", CFG.subgroups["ageband2"])
+
+
+# A saturated model has a closed form: log odds against the first band, and its clustered variance.
+_SATURATED = sql("""SELECT band AS label, ln(p/(1-p)) - CASE WHEN ord=0 THEN 0 ELSE first_value(ln(p/(1-p))) OVER (ORDER BY ord) END AS estimate,
+ sqrt(CASE WHEN ord=0 THEN var ELSE var + first_value(var) OVER (ORDER BY ord) - 2*cov END) AS std_error FROM (
+ SELECT a.band, a.ord, p, sum(m.u*m.u)/pow(max(a.info),2) AS var, sum(m.u*coalesce(m0.u,0))/max(a.info)/max(z.info) AS cov
+ FROM (SELECT band, CASE WHEN band='pre-vax' THEN 0 ELSE CAST(regexp_extract(band,'[0-9]+') AS INT) END AS ord, avg(outcome) AS p, count(*)*avg(outcome)*(1-avg(outcome)) AS info FROM sd GROUP BY 1) a
+ JOIN (SELECT patient_id, s.band, sum(outcome - p) AS u FROM sd s JOIN (SELECT band, avg(outcome) AS p FROM sd GROUP BY 1) USING (band) GROUP BY 1, 2) m ON m.band=a.band
+ LEFT JOIN (SELECT patient_id, sum(outcome - (SELECT avg(outcome) FROM sd WHERE band='pre-vax')) AS u FROM sd WHERE band='pre-vax' GROUP BY 1) m0 ON m0.patient_id=m.patient_id
+ CROSS JOIN (SELECT count(*)*avg(outcome)*(1-avg(outcome)) AS info FROM sd WHERE band='pre-vax') z WHERE p > 0 GROUP BY ALL) q""", "single", **_sets("days"), sd="""
+ SELECT d.patient_id, death AS outcome, CASE WHEN bool_or(vaxany_status=0 AND postest_status=1) OVER (PARTITION BY d.patient_id) OR vaxany1_timesince<=0 THEN 'pre-vax'
+  WHEN vaxany1_timesince<=14 THEN '1-14' ELSE '15+' END AS band FROM days d WHERE death_status=0 AND vaxany2_status=0 AND vaxany_atrisk=1""")
+
+
+@query(_SATURATED)
+def msm_saturated(spark, sf):
+    """The unweighted pooled model of death on coarse bands since any dose; a saturated model, so that SQL can check the fit
+    and its person-clustered standard errors."""
+    from cohortspark.operators.design import Factor
+
+    base, fixed, _ = _inputs(spark, sf)
+    days = st.at_risk_days(base, fixed, "death", "any", CFG, "preflight")
+    since = F.col("timesincevax_pw")
+    band = F.when(since == "pre-vax", "pre-vax").when(since.isin("1-3", "4-7", "8-14"), "1-14").otherwise("15+")
+    days = stable(days.select("patient_id", "outcome", band.alias("band")))
+    fit = logistic.fit_logistic(days, [Factor("band", ("pre-vax", "1-14", "15+"))], "outcome")
+    fit = logistic.robust_logistic(days, fit, "outcome", "patient_id")
+    return logistic.coefficient_table(spark, fit).select(
+        F.when(F.col("label") == logistic.INTERCEPT, "pre-vax").otherwise(F.col("label")).alias("label"), "estimate", "std_error")
+
+
 @query()
 def ve_table(spark, sf):
     """Effectiveness by time since treatment."""

@@ -4,6 +4,8 @@ sums are added up does not show."""
 DIGITS = 6
 
 DOUBLES: dict[str, str] = {
+    "msm_saturated": "estimate std_error",
+    "matching_rounds_success": "pct",
     "latest_value": "last_value",
     "cleaned_measurement": "bmi",
     "flowchart": "pct_exclude pct_all pct_step",

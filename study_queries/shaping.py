@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from cohortspark import fixture as fx
 from cohortspark.functions import columns as c
 from cohortspark.operators import intervals, ipw, report, summary
 from cohortspark.plans import single_trial as st
+from cohortspark.session import stable
 from study_queries import chain
 from study_queries.chain import CFG, sql
 from study_queries.registry import query
@@ -113,12 +116,34 @@ _ATRISK = """SELECT d.*, f.region, bool_or(inf) OVER (PARTITION BY d.patient_id)
  FROM ar GROUP BY ALL""", "single", **_sets("days"), ar=_ATRISK))
 def at_risk_days(spark, sf):
     fixed = chain.people(spark, sf).select("patient_id", "region")
-    days = intervals.select_at_risk_days(single_days(spark, sf), "death", "pfizer", fixed, CFG.cuts)
+    days = st.at_risk_days(single_base(spark, sf), fixed, "death", "pfizer", CFG)
     return days.groupBy("region", "timesincevax_pw").agg(
         F.count(F.lit(1)).alias("n"), F.sum("outcome").alias("outcome"), F.sum("vax").alias("vax"),
         F.count(F.when(F.col("vax_atrisk"), F.lit(1))).alias("vax_atrisk"))
 
 
+_SUB = """SELECT d.*, f.region, bool_or(vaxany_status=0 AND postest_status=1) OVER (PARTITION BY d.patient_id) AS z FROM days d JOIN people f USING (patient_id)
+ WHERE {outcome}_status=0 AND vaxany1_status=vax{brand}1_status AND vaxany2_status=0 AND vax{brand}_atrisk=1 AND f.ageband2='{level}'"""
+_GRID = [(o, b, lv) for o in ("postest", "admitted") for b in ("any", "az") for lv in ("80+", "70-79")]
+
+
+@query(sql(" UNION ALL ".join(f"""SELECT '{o}' AS analysed, '{b}' AS brand, '{lv}' AS subgroup_level, tstop, count(*) AS n, count(DISTINCT patient_id) AS people,
+ CAST(sum({o}) AS BIGINT) AS outcome, CAST(sum(CASE WHEN z THEN 0 ELSE vax{b}1 END) AS BIGINT) AS vax, CAST(sum(death) AS BIGINT) AS death, CAST(sum(dereg) AS BIGINT) AS dereg,
+ count(*) FILTER (z) AS infected FROM ({_SUB.format(outcome=o, brand=b, level=lv)}) GROUP BY tstop""" for o, b, lv in _GRID), "single", **_sets("days")))
+def at_risk_days_subgroups(spark, sf):
+    """At-risk days before modelling, for outcomes, brands and age bands."""
+    base = stable(single_base(spark, sf))
+    fixed = chain.people(spark, sf).select("patient_id", "region")
+    parts = []
+    for outcome, brand, level in _GRID:
+        days = st.at_risk_days(base, fixed, outcome, brand, CFG, "preflight", "ageband2", level)
+        parts.append(days.groupBy("tstop").agg(
+            F.count(F.lit(1)).alias("n"), F.count_distinct("patient_id").alias("people"), F.sum("outcome").alias("outcome"), F.sum("vax").alias("vax"),
+            F.sum("death").alias("death"), F.sum("dereg").alias("dereg"), F.count(F.when(F.col("infected_untreated"), F.lit(1))).alias("infected"),
+        ).select(F.lit(outcome).alias("analysed"), F.lit(brand).alias("brand"), F.lit(level).alias("subgroup_level"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(sql("""SELECT date, status, n, n/sum(n) OVER (PARTITION BY date)::DOUBLE*10000 AS n_per_10000 FROM (
  SELECT DATE '1997-01-01' + tstart AS date, CASE WHEN vaxpfizer_status=0 AND vaxaz_status=0 THEN 'Not vaccinated' WHEN vaxpfizer_status=1 THEN 'BNT162b2 dose 1'
   WHEN vaxpfizer_status=2 THEN 'BNT162b2 dose 2' WHEN vaxaz_status=1 THEN 'ChAdOx1 dose 1' WHEN vaxaz_status=2 THEN 'ChAdOx1 dose 2' END AS status,
