@@ -41,17 +41,16 @@ def treatment_models(days: DataFrame, event: str, at_risk: str, varying: Sequenc
                      kind: str, amount: float | None, person: str = "patient_id", robust: bool = False) -> tuple[LogisticFit, LogisticFit]:
     """Models of the event with and without time-varying covariates, on those at risk; ``amount``: of a sample, None for all.
 
-    The sampled rows are written once, spread over all cores; every pass of both fits reads them. ``robust``: the first
-    model carries its person-clustered variance, from the rows that it was fitted on.
+    Sampled rows are written once. ``robust``: the first model carries its person-clustered
+    variance, from the rows that it was fitted on.
     """
     risk = days.where(F.col(at_risk))
     if amount is None:
         sample = risk.withColumn("sample_weight", F.lit(1.0))
     else:
         sample = risk.join(draw_sample(risk, event, kind, amount, person), person)
-    needed = {c for t in (*varying, *fixed) for c in columns_of(t)}
-    cores = days.sparkSession.sparkContext.defaultParallelism
-    sample = stable(sample.select(person, event, "sample_weight", *sorted(needed - {person})).repartition(cores))
+        needed = {c for t in (*varying, *fixed) for c in columns_of(t)}
+        sample = stable(sample.select(person, event, "sample_weight", *sorted(needed - {person})))
     first = fit_logistic(sample, varying, event, "sample_weight")
     if robust:
         first = robust_logistic(sample, first, event, person, "sample_weight")

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from cohortspark.functions.stats import Z975, two_sided_p
-from cohortspark.operators.design import Design, Factor, fit_design, gram, independent
+from cohortspark.operators.design import Design, Factor, columns_of, fit_design, gram, independent
+from cohortspark.session import stable
 
 INTERCEPT = "(Intercept)"
+#: Relative change of the deviance at which the steps end, and the last step of a coefficient that has no finite estimate.
+TOLERANCE, SEPARATED = 1e-11, 0.05
 
 
 @dataclass(frozen=True)
@@ -25,6 +28,10 @@ class LogisticFit:
     coef: tuple[float, ...]
     dropped: tuple[str, ...]
     variance: np.ndarray | None = None
+    converged: bool = True
+    iterations: int = 0
+    #: Coefficients that still moved when the likelihood stood still: their column separates the outcomes.
+    diverging: tuple[str, ...] = ()
 
     @property
     def names(self) -> list[str]:
@@ -38,30 +45,85 @@ class LogisticFit:
         return 1 / (1 + F.exp(-(F.lit(self.coef[0]) + self.design.linear(self.coef[1:]))))
 
 
+def patterns(df: DataFrame, columns: Sequence[str], weight: Column) -> DataFrame:
+    """Equal rows as one, with their weights added up as ``_w``; rows without weight go.
+
+    The likelihood of a pooled model depends on these sums only. How many patterns there are is bounded by the values of
+    the covariates, not by the number of people; Spark adds up inside each task first, so a frequent pattern is no hot key.
+    """
+    return df.select(*columns, weight.alias("_w")).where("_w > 0").groupBy(*columns).agg(F.sum("_w").alias("_w"))
+
+
 def fit_logistic(df: DataFrame, terms: Sequence[object], label: str, weight: str | None = None,
                  max_iter: int = 40) -> LogisticFit:
-    """Maximum-likelihood fit by Spark's iteratively reweighted least squares.
+    """Maximum-likelihood fit by Newton steps, each one pass over the data.
 
-    Columns that depend linearly on earlier ones are dropped first (their coefficient is undefined).
+    Columns that depend linearly on earlier ones are dropped first (their coefficient is undefined). Knots and levels are
+    read from all rows; every iteration then runs over the distinct rows with their weights added up.
     """
     design = fit_design(df, terms)
-    df = design.prepare(df)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    rows = df.select(F.col(label).cast("double").alias("_y"), w.alias("_w"), design.array().alias("_x")).where("_w > 0")
-    with_one = rows.select(F.concat(F.array(F.lit(1.0)), F.col("_x")).alias("_x"))
+    columns = sorted({c for t in terms for c in columns_of(t)} | {label})
+    df = design.prepare(stable(patterns(df, columns, w)))
+    with_one = df.select(F.concat(F.array(F.lit(1.0)), design.array()).alias("_x"))
     kept = [design.names[j - 1] for j in independent(gram(with_one, "_x")) if j > 0]
     dropped = tuple(n for n in design.names if n not in set(kept))
     design = design.keep(kept)
-    data = df.select(F.col(label).cast("double").alias("_y"), w.alias("_w"), design.vector().alias("_v")).where("_w > 0")
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    data = df.select(F.col(label).cast("double").alias("_y"), "_w", F.concat(F.array(F.lit(1.0)), design.array()).alias("_x"))
+    data = data.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = GeneralizedLinearRegression(
-            family="binomial", link="logit", featuresCol="_v", labelCol="_y", weightCol="_w",
-            maxIter=max_iter, regParam=0.0, tol=1e-7,
-        ).fit(data)
+        coef, converged, iterations, last = newton(data, len(kept) + 1, max_iter)
     finally:
         data.unpersist()
-    return LogisticFit(design, (float(model.intercept), *[float(c) for c in model.coefficients]), dropped)
+    names = [INTERCEPT, *kept]
+    moving = tuple(n for n, step in zip(names, last) if abs(step) > SEPARATED)
+    return LogisticFit(design, tuple(coef), dropped, converged=converged, iterations=iterations, diverging=moving)
+
+
+def newton(data: DataFrame, p: int, max_iter: int) -> tuple[list[float], bool, int, np.ndarray]:
+    """Newton steps for the logistic likelihood of rows (_y, _w, _x): coefficients, convergence, steps, the last step.
+
+    Each step is one pass that adds up the score and the information in every task. A step that lowers the likelihood
+    is halved. The steps have converged when the deviance changes by less than TOLERANCE of itself.
+    """
+    beta, step, before = np.zeros(p), np.zeros(p), -np.inf
+    for i in range(max_iter + 1):
+        score, information, likelihood = newton_sums(data, beta, p)
+        halvings = 0
+        while likelihood < before - 1e-9 * abs(before) and halvings < 20:
+            step = step / 2
+            beta, halvings = beta - step, halvings + 1
+            score, information, likelihood = newton_sums(data, beta, p)
+        if i and abs(likelihood - before) <= TOLERANCE * (abs(likelihood) + 0.05):
+            return beta.tolist(), True, i, step
+        if i == max_iter:
+            break
+        before = likelihood
+        step = np.linalg.lstsq(information, score, rcond=None)[0]
+        beta = beta + step
+    return beta.tolist(), False, max_iter, step
+
+
+def newton_sums(data: DataFrame, beta: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Score, information and log likelihood at some coefficients."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(p + p * p + 1)
+        for batch in batches:
+            y, w = (batch.column(i).to_numpy() for i in (0, 1))
+            x = batch.column(2).flatten().to_numpy().reshape(-1, p)
+            eta = x @ beta
+            prob = 1 / (1 + np.exp(-eta))
+            total += np.concatenate([
+                x.T @ (w * (y - prob)), (x.T @ (x * (w * prob * (1 - prob))[:, None])).ravel(), [w @ (y * eta - np.logaddexp(0, eta))]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
+
+    sums = data.mapInArrow(partial, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    flat = np.zeros(p + p * p + 1)
+    for r in sums:
+        flat[r["k"]] = r["v"]
+    return flat[:p], flat[p:-1].reshape(p, p), float(flat[-1])
 
 
 def score_sums(rows: DataFrame, cluster: str, p: int, score) -> DataFrame:
@@ -98,19 +160,22 @@ def sandwich(bread: np.ndarray, sums: DataFrame, p: int, small_sample: bool = Fa
 
 def robust_logistic(df: DataFrame, fit: LogisticFit, label: str, cluster: str, weight: str | None = None,
                     small_sample: bool = False) -> LogisticFit:
-    """Add the cluster-robust (HC0) variance to a fit."""
-    coef, p = np.array(fit.coef), len(fit.coef)
+    """Add the cluster-robust (HC0) variance to a fit.
+
+    The information comes from the distinct rows; scores are added up per cluster as plain column sums.
+    """
+    p = len(fit.coef)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    df = fit.prepare(df).withColumns({"_wt": w, "_p": fit.probability()}).where("_wt > 0")
-    prob = F.col("_p")
-    rows = df.select(
-        cluster, F.concat(F.array(F.lit(1.0)), fit.design.array()).alias("_x"),
-        (F.col("_wt") * (F.col(label).cast("double") - prob)).alias("_r"), (F.col("_wt") * prob * (1 - prob)).alias("_h"),
-    )
-    bread = gram(rows, "_x", "_h")
-    sums = score_sums(rows.select(cluster, "_x", "_r"), cluster, p,
-                      lambda b: np.stack(b["_x"].to_numpy()) * b["_r"].to_numpy()[:, None])
-    return LogisticFit(fit.design, tuple(coef), fit.dropped, sandwich(bread, sums, p, small_sample))
+    columns = sorted({c for t in fit.design.terms for c in columns_of(t)})
+    kinds = fit.prepare(patterns(df, columns, w)).withColumn("_p", fit.probability())
+    bread = gram(kinds.select(
+        F.concat(F.array(F.lit(1.0)), fit.design.array()).alias("_x"), (F.col("_w") * F.col("_p") * (1 - F.col("_p"))).alias("_h")), "_x", "_h")
+    rows = fit.prepare(df.select(cluster, *[c for c in {*columns, label} if c != cluster], w.alias("_w")).where("_w > 0"))
+    rest = F.col("_w") * (F.col(label).cast("double") - fit.probability())
+    rows = rows.withColumn("_r", rest)
+    scores = [F.sum("_r"), *[F.sum(F.col("_r") * e.expr.cast("double")) for e in fit.design.entries]]
+    sums = rows.groupBy(cluster).agg(*[x.alias(f"u{j}") for j, x in enumerate(scores)])
+    return replace(fit, variance=sandwich(bread, sums, p, small_sample))
 
 
 def coefficient_table(spark: SparkSession, fit: LogisticFit, exclude: Sequence[str] = (),

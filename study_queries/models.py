@@ -151,6 +151,30 @@ def msm_saturated(spark, sf):
         F.when(F.col("label") == logistic.INTERCEPT, "pre-vax").otherwise(F.col("label")).alias("label"), "estimate", "std_error")
 
 
+_WEIGHTS = sql("""SELECT tstop, count(*) AS n, avg(ip) AS ipweight, avg(cml) AS cmlipweight, max(cml) AS largest FROM (
+ SELECT *, exp(sum(ln(ip)) OVER (PARTITION BY patient_id ORDER BY tstop)) AS cml FROM (
+ SELECT patient_id, tstop, CASE WHEN NOT risk THEN 1 WHEN vax=1 THEN f.p/v.p ELSE (1-f.p)/(1-v.p) END AS ip FROM wd
+ JOIN (SELECT sex, avg(vax) FILTER (risk) AS p FROM wd GROUP BY 1) f USING (sex) JOIN (SELECT region, avg(vax) FILTER (risk) AS p FROM wd GROUP BY 1) v USING (region))) GROUP BY 1""",
+ "single", **_sets("days"), wd="""SELECT d.patient_id, tstop, f.sex, f.region, vaxany1_status=0 AND postest_status=0 AND vaxany_atrisk=1 AS risk,
+ CASE WHEN bool_or(vaxany_status=0 AND postest_status=1) OVER (PARTITION BY d.patient_id) THEN 0 ELSE vaxany1 END AS vax
+ FROM days d JOIN people f USING (patient_id) WHERE death_status=0 AND vaxany2_status=0 AND vaxany_atrisk=1""")
+
+
+@query(_WEIGHTS)
+def ipw_weights_saturated(spark, sf):
+    """Stabilised weights from one-factor treatment models, whose probabilities are plain shares, so that SQL can check them."""
+    from cohortspark.operators.design import Factor
+
+    base, fixed, _ = _inputs(spark, sf)
+    days = stable(st.at_risk_days(base, fixed, "death", "any", CFG).withColumn("sample_weight", F.lit(1.0)))
+    pair = ipw.treatment_models(days, "vaxany1", "vaxany1_atrisk", [Factor("region", REGIONS)], [Factor("sex", ("Female", "Male"))], "random_n", None)
+    days = ipw.with_stabilised_weight(days, pair, "vaxany1", "vaxany1_atrisk", "_w")
+    w = ipw.add_weights(days, {"vaxany1": F.col("_w")}, "sample_weight")
+    return w.groupBy("tstop").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("ipweight").alias("ipweight"), F.avg("cmlipweight").alias("cmlipweight"),
+        F.max("cmlipweight_sample").alias("largest"))
+
+
 @query()
 def ve_table(spark, sf):
     """Effectiveness by time since treatment."""

@@ -5,6 +5,7 @@ DIGITS = 6
 
 DOUBLES: dict[str, str] = {
     "msm_saturated": "estimate std_error",
+    "ipw_weights_saturated": "ipweight cmlipweight largest",
     "matching_rounds_success": "pct",
     "latest_value": "last_value",
     "cleaned_measurement": "bmi",

@@ -51,6 +51,27 @@ def test_logistic_and_robust_variance(panel):
     assert np.allclose(got, p, atol=1e-6)
 
 
+def test_convergence_and_separation(spark, panel):
+    rows, df = panel
+    fit = lg.fit_logistic(df, [Number("age"), Factor("g")], "y")
+    assert fit.converged and fit.iterations < 10 and not fit.diverging
+    assert not lg.fit_logistic(df, [Number("age"), Factor("g")], "y", max_iter=1).converged
+    # nobody with g = z has the event: its coefficient has no finite estimate, the others are as without these rows
+    more = df.unionByName(df.limit(40).withColumns({"g": F.lit("z"), "y": F.lit(0)}))
+    apart = lg.fit_logistic(more, [Factor("g")], "y")
+    alone = lg.fit_logistic(df, [Factor("g")], "y")
+    assert apart.diverging == ("gz",) and np.allclose(apart.coef[:3], alone.coef, atol=1e-5) and apart.coef[3] < -8
+
+
+def test_equal_rows_count_with_their_weights(panel):
+    """A row many times over, or once with that weight: the same fit, however large the weights are."""
+    _, df = panel
+    terms = [Factor("g"), Number("t")]
+    one = lg.fit_logistic(df.withColumn("m", F.lit(100_000.0)), terms, "y", "m")
+    assert np.allclose(one.coef, lg.fit_logistic(df, terms, "y").coef, atol=1e-8) and one.converged
+    assert lg.patterns(df.unionByName(df), ["g", "t", "y"], F.lit(1.0)).agg(F.sum("_w")).first()[0] == 2 * df.count()
+
+
 def test_coefficient_and_forest_tables(spark, panel):
     _, df = panel
     fit = lg.robust_logistic(df, lg.fit_logistic(df, [Number("age"), Factor("g")], "y"), "y", "patient_id")
