@@ -228,24 +228,6 @@ def test_quality(spark, rows):
     assert 0 <= got[200].score <= 1
 
 
-def test_search(rows, docs):
-    asked = docs.where("doc_id % 20 = 0")
-    got = {}
-    for r in topk_search.search(docs, asked, k=5).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
-    bags = {i: Counter(topk_search.terms(t)) for i, t, *_ in rows}
-    df = Counter(t for b in bags.values() for t in b)
-    n, mean = len(bags), sum(sum(b.values()) for b in bags.values()) / len(bags)
-    for q in (i for i in bags if i % 20 == 0):
-        own = sorted((t for t in bags[q] if df[t] > 1), key=lambda t: (-round(bags[q][t] * topk_search.idf(n, df[t]), 6), t))[:24]
-        found = []
-        for i, b in bags.items():
-            s = sum(topk_search.idf(n, df[t]) * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for t in own if b[t])
-            if s > 0 and i != q:
-                found.append((i, round(s, 6)))
-        assert got.get(q, []) == sorted(found, key=lambda x: (-x[1], x[0]))[:5]
-
-
 def test_empty_tables_and_missing_ids(spark):
     empty = table(spark, [])
     odd = table(spark, [(None, "a b c", "en", None), (None, None, None, None), (7, "a b c", "en", "s"), (7, "a b c", "en", "s")])
@@ -281,20 +263,14 @@ def test_pipeline(spark, docs, tmp_path):
     assert not set(count) & {130, 131, 132, 125, 126, 111}
 
 
-def test_search_whole_texts(spark, rows, docs):
-    """Queries of all their terms (up to 70 here, where 24 give other scores), in several shards and blocks of queries."""
-    some = [*rows, (None, rows[40][1], "en", "s"), (None, rows[40][1], "en", "s")]
-    asked = docs.where("doc_id % 20 = 0")
-    data = table(spark, some)
-    got, cut = {}, {}
-    for out, terms in ((got, None), (cut, 24)):
-        for r in topk_search.search(data, asked, 5, terms, 4000, 500).orderBy("query_id", "rank").collect():
-            out.setdefault(r.query_id, []).append((r.doc_id, r.score))
+def plain_search(some, asks, k):
+    """Scores of all documents for each query with all its terms."""
     bags = [(i, Counter(topk_search.terms(t))) for i, t, *_ in some]
     df = Counter(t for _, b in bags for t in b)
     n, mean = len(bags), sum(sum(b.values()) for _, b in bags) / len(bags)
+    out = {}
     for q, own in bags:
-        if q is None or q % 20:
+        if q is None or not asks(q):
             continue
         own = [t for t in own if df[t] > 1]
         found = []
@@ -302,8 +278,61 @@ def test_search_whole_texts(spark, rows, docs):
             s = sum(topk_search.idf(n, df[t]) * b[t] * 2.2 / (b[t] + 1.2 * (0.25 + 0.75 * sum(b.values()) / mean)) for t in own if b[t])
             if s > 0 and i != q:
                 found.append((i, round(s, 6)))
-        assert got.get(q, []) == sorted(found, key=lambda x: (-x[1], x[0] is None, x[0] or 0))[:5]
-    assert got[40][0][0] is None and got != cut
+        out[q] = sorted(found, key=lambda x: (-x[1], x[0] is None, x[0] or 0))[:k]
+    return {q: x for q, x in out.items() if x}
+
+
+def searched(df):
+    got = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    return got
+
+
+def test_search_whole_texts(spark, rows, docs):
+    """Queries of all their terms, in several shards and blocks of queries."""
+    some = [*rows, (None, rows[40][1], "en", "s"), (None, rows[40][1], "en", "s")]
+    got = searched(topk_search.search(table(spark, some), docs.where("doc_id % 20 = 0"), 5, 4000, 500))
+    assert got == plain_search(some, lambda i: i % 20 == 0, 5) and got[40][0][0] is None
+
+
+def test_search_prunes_exactly(spark, monkeypatch):
+    """Many common terms, copies and near copies in one shard: blocks are skipped and nothing is lost."""
+    rng = random.Random(8)
+    weights = [1 / (k + 2) for k in range(800)]
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(800)], weights, k=rng.randint(5, 120))) for _ in range(700)]
+    texts += [" ".join(t.split()[:-1 - c]) for t in texts[:60] for c in range(8)] + texts[:30]
+    some = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    scored = []
+    plain = topk_search.Shard.whole
+    monkeypatch.setattr(topk_search, "SHARDS", 1)
+    data = table(spark, some)
+    got = searched(topk_search.search(data, data.where("doc_id % 10 = 0"), 5))
+    assert got == plain_search(some, lambda i: i % 10 == 0, 5)
+    # the same shard by hand, to count the documents that are scored
+    bags = [Counter(topk_search.terms(t)) for t in texts]
+    kinds = sorted({t for b in bags for t in b})
+    df = Counter(t for b in bags for t in b)
+    shard = object.__new__(topk_search.Shard)
+    shard.ids, shard.known = np.arange(len(texts)), np.ones(len(texts), dtype=bool)
+    lists = {t: [i for i, b in enumerate(bags) if t in b] for t in kinds}
+    shard.begin = np.cumsum([0] + [len(lists[t]) for t in kinds])[:-1]
+    shard.end = shard.begin + [len(lists[t]) for t in kinds]
+    shard.doc = np.concatenate([lists[t] for t in kinds])
+    mean = sum(sum(b.values()) for b in bags) / len(bags)
+    shard.score = np.array([topk_search.idf(len(texts), df[t]) * bags[i][t] * 2.2 / (bags[i][t] + 1.2 * (0.25 + 0.75 * sum(bags[i].values()) / mean))
+                            for t in kinds for i in lists[t]])
+
+    def counted(total, dense, chosen, found):
+        scored.append(len(found))
+        return plain(total, dense, chosen, found)
+
+    monkeypatch.setattr(topk_search.Shard, "whole", staticmethod(counted))
+    asked = [i for i in range(60) if len(texts[i].split()) > 40][:20]
+    own = [np.array([kinds.index(t) for t in sorted(bags[q]) if df[t] > 1]) for q in asked]
+    for q, (found, score) in zip(asked, shard.search(own, np.array(asked), 5)):
+        assert [(int(i), float(s)) for i, s in zip(found, score)] == plain_search(some, lambda i: i == q, 5)[q]
+    assert sum(scored) < 0.5 * len(asked) * len(texts)
 
 
 def test_stages_with_missing_and_repeated_ids(spark):
