@@ -140,6 +140,12 @@ def chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    size = end - begin
+    return np.repeat(end - np.cumsum(size), size) + np.arange(size.sum())
+
+
 def squeeze(data: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(data)
 
