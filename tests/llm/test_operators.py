@@ -263,6 +263,15 @@ def test_pipeline(spark, docs, tmp_path):
     assert not set(count) & {130, 131, 132, 125, 126, 111}
 
 
+def test_terms():
+    rng = random.Random(1)
+    parts = ["A", "b", "É", "ß", "İ", "ΑΣ", "Σ", "1", "²", "Ⅷ", "½", "日本", "_", "-", " ", "\n", "\u00a0", "\u0307", "😀", "क्षि", "a\u0301", "\u1680", "x"]
+    for _ in range(2000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert topk_search.terms(t) == bpe.regex.findall(r"[\p{L}\p{N}]+", t.lower())
+    assert topk_search.terms(None) == []
+
+
 def plain_search(some, asks, k):
     """Scores of all documents for each query with all its terms."""
     bags = [(i, Counter(topk_search.terms(t))) for i, t, *_ in some]
