@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The words of the contracts: runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -21,6 +21,9 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: A null doc_id counts as the largest one.
 NULL_ID = np.iinfo(np.int64).max
 
+#: A value of more than this share of all rows is hot; its rows are spread over so many keys.
+HOT_VALUES, HOT_SALTS = 1000, 64
+
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[np.frombuffer(SPACES, dtype=np.uint8)] = True
 _TABLE = np.random.default_rng(20240229).integers(0, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -32,6 +35,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns in one struct `_row`, so that helper columns beside it clash with none of them."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in docs.columns]).alias("_row")
+
+
+def columns_of(rows: DataFrame, docs: DataFrame, new: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of `docs` out of `_row`, those in `new` by their new values."""
+    return rows.select(*[(new or {}).get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, by: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with groups (`key`, `_m`, values) on `key`, a value that many rows have in many tasks.
+
+    `groups`: one row for each value with the number `_m` of its rows. Values of more than 1/1000 of the `total` rows, so
+    at most 1000, are hot: they are broadcast, and their rows spread by a hash of `by`.
+    """
+    hot = F.col("_m") > max(total // HOT_VALUES, 100)
+    groups = groups.withColumn("_hot", hot)
+    names = F.broadcast(groups.where("_hot").select(F.col(key).alias("_hot_key")))  # at most HOT_VALUES rows
+    salted = rows.join(names, F.col(key) == F.col("_hot_key"), "left").withColumn(
+        "_salt", F.when(F.col("_hot_key").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.lit(HOT_SALTS))).cast("int")).drop("_hot_key")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = groups.withColumn("_salt", F.explode(salts)).drop("_hot", "_m")
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that no model may learn from: crc32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -16,7 +16,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cohortspark.llm.common import WORD_PATTERN
+from cohortspark.llm.common import WORD_PATTERN, columns_of, whole_row
 from cohortspark.session import stable
 
 #: Weights of the sources in the order of their names, repeated as often as needed.
@@ -50,20 +50,21 @@ def water_fill(sizes: list[int], weights: list[float], total: float, max_epochs:
 
 
 def draw(seed: int) -> Column:
-    """The place of a document in its source's seeded order: 32 hexadecimal digits."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    """The place of a document in its source's seeded order, from its id and its text: 32 hexadecimal digits."""
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), text).cast("binary"))
 
 
 def measured(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """docs with `_size` (words of the text, null: 0) and `_draw`."""
-    return docs.withColumns({
-        "_size": F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long"), "_draw": draw(seed)})
+    """source, `_size` (words of the text, null: 0), `_draw` and `_row`, the whole row."""
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    return docs.select(F.col("source").cast("string").alias("source"), size.alias("_size"), draw(seed).alias("_draw"), whole_row(docs))
 
 
 def mixture_plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """One row for each source: its size, target, whole repetitions and the (_draw, _size) up to which one more is due.
 
-    `sized`: source, _draw, _size; read twice.
+    `sized`: source, _draw, _size; read three times.
     """
     spark = sized.sparkSession
     sizes = sized.groupBy("source").agg(F.sum("_size").alias("n")).orderBy(F.col("source").asc_nulls_last()).limit(
@@ -79,25 +80,56 @@ def mixture_plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epo
         rows.append((r.source, r.n, float(target), whole, float(target) - whole * r.n))
     plan = F.broadcast(spark.createDataFrame(rows, "source string, source_size long, target double, whole int, _rest double"))
     part = F.substring("_draw", 1, 3)
+    # rows of equal id and text are one unit of the order, whose rows are equally good
+    units = sized.groupBy("source", "_draw", "_size").agg(F.count("*").alias("_m")).withColumn("_n", F.col("_m") * F.col("_size"))
     ranges = sized.groupBy("source", part.alias("_part")).agg(F.sum("_size").alias("_n"))
     before = ranges.select("source", "_part", (F.sum("_n").over(W.partitionBy("source").orderBy("_part")) - F.col("_n")).alias("_before"))
     inside = W.partitionBy("source", "_part").orderBy("_draw", "_size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    d = sized.withColumn("_part", part).withColumn("_cum", F.sum("_size").over(inside) - F.col("_size"))
+    d = units.withColumn("_part", part).withColumn("_cum", F.sum("_n").over(inside) - F.col("_n"))
     d = d.alias("d").join(before.alias("b"), F.expr("d.source <=> b.source and d._part = b._part"))
-    d = d.select("d.source", "_draw", "_size", (F.col("_before") + F.col("_cum")).alias("_cum"))
+    d = d.select("d.source", "_draw", "_size", "_m", (F.col("_before") + F.col("_cum")).alias("_cum"))
     d = d.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source"))
     # a document comes once more if that brings the sum nearer to the target than leaving it out
     due = d.where("2 * _cum + _size <= 2 * p._rest and p._rest > 0")
-    cuts = due.groupBy("d.source").agg(F.max(F.struct("_draw", "_size")).alias("cut"))
+    fits = F.when(F.col("_size") == 0, F.col("_m")).otherwise(F.least(
+        F.col("_m"), F.floor((2 * F.col("p._rest") - 2 * F.col("_cum") - F.col("_size")) / (2 * F.col("_size"))) + 1)).cast("long")
+    last = F.max(F.struct("_draw", "_size", fits.alias("fits"), F.col("_m").alias("m")))
+    cuts = due.groupBy("d.source").agg(last.alias("cut"))
     return plan.alias("p").join(cuts.alias("c"), F.expr("p.source <=> c.source"), "left").select(
         "p.source", "source_size", "target", "whole", "cut")
 
 
+def numbered(rows: DataFrame, by: str) -> DataFrame:
+    """`rows` with `_number`, counted from 1 for each value of `by` (null-safe), with no value in one task.
+
+    Rows are counted by stored partition, so a task sorts at most one partition's rows.
+    """
+    rows = stable(rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    counts = rows.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    before = counts.select(
+        F.col(by).alias("_by"), F.col("_part").alias("_of"),
+        (F.sum("_n").over(W.partitionBy(by).orderBy("_part")) - F.col("_n")).alias("_before"))
+    here = F.row_number().over(W.partitionBy(by, "_part").orderBy("_at"))
+    return rows.withColumn("_here", here).join(before, F.expr(f"`{by}` <=> _by and _part = _of")).withColumn(
+        "_number", F.col("_before") + F.col("_here")).drop("_part", "_at", "_by", "_of", "_before", "_here")
+
+
 def with_repeats(sized: DataFrame, plan: DataFrame) -> DataFrame:
     """`sized` with source_size, target and `_repeats`: how often the mixture takes each document."""
+    plan = stable(plan)
+    split = plan.where("cut.fits < cut.m").limit(1).count() > 0
     plan = F.broadcast(plan.withColumnRenamed("source", "_source"))  # at most MAX_SOURCES rows
-    more = F.coalesce(F.struct("_draw", "_size") <= F.col("cut"), F.lit(False)).cast("int")
-    return sized.join(plan, F.expr("source <=> _source")).withColumn("_repeats", F.col("whole") + more).drop("_source", "cut")
+    rows = sized.join(plan, F.expr("source <=> _source"))
+    here, last = F.struct("_draw", "_size"), F.struct("cut._draw", "cut._size")
+    more = F.coalesce(here <= last, F.lit(False))
+    if not split:
+        return rows.withColumn("_repeats", F.col("whole") + more.cast("int")).drop("_source", "cut")
+    # of the rows at the cut only the first `fits` come once more
+    at_cut = F.coalesce((here == last) & F.expr("cut.fits < cut.m"), F.lit(False))
+    first = numbered(rows.where(at_cut), "source")
+    return rows.where(~at_cut).withColumn("_repeats", F.col("whole") + more.cast("int")).drop("_source", "cut").unionByName(
+        first.withColumn("_repeats", F.col("whole") + (F.col("_number") <= F.col("cut.fits")).cast("int")).drop(
+            "_source", "cut", "_number"))
 
 
 def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
@@ -107,18 +139,26 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: i
     max_epochs times its source's size. A document is taken whole or not at all in each repetition, so a source's
     sum is within half a document of its target.
 
-    One row for each input row. Null or empty text: size 0, taken 0. Rows with equal doc_id have equal places in
-    the order; the shorter one comes first, and equal rows are taken alike. A null doc_id has a place of its own. An
-    empty table gives no rows. Other columns are not read.
+    One row for each input row. Null or empty text: size 0, taken 0. The place in the order comes from id and text, so rows
+    with a null or repeated doc_id are drawn one by one by their texts. Of rows with equal id, source and text the mixture may
+    take some once more and others not; which ones is open, their number is not. An empty table gives no rows.
+    Other columns are not read.
     """
-    sized = stable(measured(docs.select("doc_id", "text", F.col("source").cast("string").alias("source")), seed).drop("text"))
+    own = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))
+    sized = stable(measured(own, seed).select("source", "_size", "_draw", F.col("_row.doc_id").alias("doc_id")))
     return with_repeats(sized, mixture_plan(sized, weights, max_epochs)).select(
         "doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_repeats")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
-    """The documents of the mixture, each as often as it is taken, with their own columns."""
-    keyed = docs.withColumn("source", F.col("source").cast("string"))
-    plan = mixture_plan(stable(measured(keyed.select("doc_id", "text", "source"), seed).drop("text")), weights, max_epochs)
-    taken = with_repeats(measured(keyed, seed), plan).where("_repeats > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*docs.columns)
+    """The documents of the mixture, each as often as it is taken, with their own columns.
+
+    The documents are those that `mixture` takes, so a document without words comes `whole` times, and once more if its
+    place in the order is below the cut. Null and repeated ids, ties and empty tables are treated as there. Other columns may
+    have any names and types.
+    """
+    sized = measured(docs, seed)
+    plan = mixture_plan(stable(sized.drop("_row")), weights, max_epochs)
+    taken = with_repeats(sized, plan).where("_repeats > 0")
+    copies = taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_repeats"))))
+    return columns_of(copies, docs)

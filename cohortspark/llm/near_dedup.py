@@ -3,7 +3,8 @@
 1. *Copies.* Equal texts are one class before anything else; only one of them goes on.
 2. *Sketches.* A k-mer is five neighbouring words (letters and digits, without regard to case), labelled with its
    occurrence in the text. For each of `SAMPLES` random orders a text's two smallest labelled k-mers are kept *in
-   text order*. Texts of high edit similarity agree in such a sample far more often than texts that share a
+   text order*. With one word in five changed few or no k-mers of five words stay whole, so `SHORT_SAMPLES` orders of
+   three-word k-mers (two-word ones in short texts) are sketched likewise. Texts of high edit similarity agree in such a sample far more often than texts that share a
    passage or the same words in another order.
 3. *Star links.* Texts that agree in a sample are compared with the smallest id of that sample's group, not with each
    other. Comparing is a banded alignment of the words: the pair is similar if the edit distance is at most a fifth of
@@ -28,7 +29,10 @@ from pyspark.sql import DataFrame, functions as F
 from cohortspark.llm import bpe, common as C
 from cohortspark.session import stable
 
-WORDS, SAMPLES, SIMILARITY = 5, 24, 0.8
+WORDS, SAMPLES, SIMILARITY = 5, 16, 0.8
+#: Random orders of the shorter k-mers, which find what is similar though few runs of five words are left whole, and
+#: the number of words from which they have three words and not two.
+SHORT_SAMPLES, LONG = 48, 48
 #: Texts of a group that one task compares.
 PART = 1000
 #: Dimensions of the counts of word pairs and of words that rule out most dissimilar pairs.
@@ -37,6 +41,7 @@ COUNTED_WORDS = 4096
 #: Links of one task in the rounds that find components.
 ROUND_ROWS = 200_000
 _SEEDS = np.random.default_rng(99).integers(0, 2**63, size=256, dtype=np.uint64)
+_FACTORS = np.random.default_rng(100).integers(0, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Words:
@@ -59,11 +64,11 @@ class Words:
         low = (self.hash & np.uint64(0xFFFFFFFF)).astype("<u4")
         return [C.squeeze(low[a:b].tobytes()) for a, b in zip(self.begin[:-1], self.begin[1:])]
 
-    def sketches(self, samples: int, words: int) -> np.ndarray:
-        """One row of sample keys for each text; texts without words have zeros, which stand for nothing."""
+    def sketches(self, samples: int, words: int, which: np.ndarray | None = None) -> np.ndarray:
+        """One row of sample keys for each text; texts without words, or not in `which`, have zeros, which stand for nothing."""
         n = np.diff(self.begin)
         out = np.zeros((len(n), samples), dtype=np.uint64)
-        some = np.flatnonzero(n)
+        some = np.flatnonzero(n > 0 if which is None else which & (n > 0))
         if not len(some):
             return out
         # a text of fewer words than a k-mer is one k-mer
@@ -81,7 +86,10 @@ class Words:
         labelled = C.mix(gram + label * np.uint64(0x9E3779B97F4A7C15))
         most = np.uint64(2**64 - 1)
         for j in range(samples):
-            value = C.mix(labelled ^ _SEEDS[j])
+            # already mixed values in another order: two multiplications are enough
+            value = (labelled ^ _SEEDS[j]) * _FACTORS[j]
+            value ^= value >> np.uint64(32)
+            value *= _FACTORS[j]
             least = np.minimum.reduceat(value, first[:-1])
             one = np.flatnonzero(value == least[doc])
             value[one] = most
@@ -93,9 +101,20 @@ class Words:
             q[doc[two]] = two
             low, high = np.minimum(p, q), np.maximum(p, q)
             left = np.where(low < 0, np.uint64(0), gram[low])
-            out[some, j] = C.mix(C.mix(left + np.uint64(1)) * np.uint64(3) + gram[high] + _SEEDS[j]) | np.uint64(1)
+            out[some, j] = C.mix(C.mix(left + np.uint64(words)) * np.uint64(3) + gram[high] + _SEEDS[j]) | np.uint64(1)
         return out
 
+    def keys(self) -> list[np.ndarray]:
+        """All keys of each text: SAMPLES of five-word k-mers, and SHORT_SAMPLES of shorter ones by the text's length.
+
+        Texts of LONG words and more have keys of three-word k-mers, texts up to LONG / 0.8 words keys of two words; those between have
+        both, so two texts whose lengths allow a similarity of 0.8 always have a kind in common.
+        """
+        n = np.diff(self.begin)
+        sets = [self.sketches(SAMPLES, WORDS), self.sketches(SHORT_SAMPLES, 3, n >= LONG),
+                self.sketches(SHORT_SAMPLES, 2, n <= LONG / SIMILARITY)]
+        return [C.distinct(row[row > 0]).view(np.int64) for row in np.concatenate(sets, axis=1)]
+
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two sequences if it is at most `most`, else most + 1.
@@ -181,9 +200,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t or "" for t in batch.column(1).to_pylist()]
         for a, b in C.chunks([len(t) for t in texts], bpe.BATCH_CHARS):
             words = Words(texts[a:b])
-            keys = words.sketches(SAMPLES, WORDS).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(np.diff(words.begin).astype(np.int32)), pa.array(list(keys), pa.list_(pa.int64()))],
+                [batch.column(0).slice(a, b - a), pa.array(np.diff(words.begin).astype(np.int32)), pa.array(words.keys(), pa.list_(pa.int64()))],
                 ["doc_id", "n", "keys"])
 
 
@@ -294,8 +312,8 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, part: int
 
     Two texts are linked if their word sequences (letters and digits, lower case) have an edit similarity of `least`
     or more, 1 - distance / longer length; classes are the components of the links. Pairs are found if they agree in one
-    of 24 sketches. By the usual estimate for scattered edits of single words (share of k-mers that both have, squared) a pair of similarity 0.95 fails to do so in 5 of a million cases, one of 0.9 in 1 of 100, and one of 0.8 in
-    about 4 of 10; classes still join through other members.
+    sketch. By measurement on random words with replaced words at random or evenly spaced places, at least 0.95 of the pairs of
+    similarity 0.9 and 0.9 of those of 0.8 do, with 5 to 300 words; classes still join through other members.
 
     One row for each input row with a doc_id. Texts without words (null, empty, signs only) are in one class only with
     equal texts. Rows with equal doc_id have one class. Rows with a null doc_id can't be named: class null, and no part
@@ -303,14 +321,14 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, part: int
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     named = own.where("doc_id is not null")
-    digest = named.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
-    copies = digest.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = stable(digest.join(copies, "digest").select("doc_id", "rep").distinct())
+    digest = stable(named.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest")))
+    copies = digest.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_m"))
+    member = stable(C.spread_join(digest, copies, "digest", "doc_id", digest.count()).select("doc_id", "rep").distinct())
     alone = member.where("doc_id = rep").select("doc_id").distinct()
     keys = named.mapInArrow(_sketch, "doc_id long, n int, keys array<bigint>").join(alone, "doc_id")
-    rows = stable(keys.where("n > 0").select(F.explode(F.array_distinct("keys")).alias("key"), "doc_id", "n"))
-    leaders = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("l"), F.count("*").alias("m")).where("m > 1")
-    met = stable(rows.join(leaders, "key").select("key", "doc_id", F.col("l.doc_id").alias("leader"), "n", F.col("l.n").alias("leader_n")))
+    rows = stable(keys.where("n > 0").select(F.explode("keys").alias("key"), "doc_id", "n"))
+    leaders = rows.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("l"), F.count("*").alias("_m")).where("_m > 1")
+    met = stable(C.spread_join(rows, stable(leaders), "key", "doc_id", rows.count()).select("key", "doc_id", F.col("l.doc_id").alias("leader"), "n", F.col("l.n").alias("leader_n")))
     lengths = F.least("n", "leader_n") >= F.greatest("n", "leader_n") * least - 1e-6
     pairs = stable(met.where((F.col("doc_id") != F.col("leader")) & lengths).select("leader", "doc_id").distinct())
     met = met.select("key", "doc_id")
@@ -344,17 +362,18 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, part: int
 def first_of_each_class(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One document of each class: that of the smallest id, and of rows with that id the least one (by text, then the rest).
 
-    Documents without an id take part under keys above all ids, so they go where a document with an id is like them.
+    Documents without an id take part under keys above all ids, so they go where a document with an id is like them. Null and
+    empty texts are alike, so one of all of them stays. An empty table gives no rows. Other columns may have any names and types.
     """
     top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0
+    rows = docs.select(F.col("doc_id").cast("long").alias("_key"), F.col("text").cast("string").alias("_text"), C.whole_row(docs))
     # the keys are stored: they would differ if the rows were read again
-    nameless = stable(docs.where("doc_id is null").withColumn("_key", F.monotonically_increasing_id() + F.lit(top + 1)))
-    keyed = docs.where("doc_id is not null").withColumn("_key", F.col("doc_id").cast("long")).unionByName(nameless)
-    later = near_duplicate_classes(keyed.select(F.col("_key").alias("doc_id"), "text"), least).distinct().where(
+    nameless = stable(rows.where("_key is null").withColumn("_key", F.monotonically_increasing_id() + F.lit(top + 1)))
+    keyed = rows.where("_key is not null").unionByName(nameless)
+    later = near_duplicate_classes(keyed.select(F.col("_key").alias("doc_id"), F.col("_text").alias("text")), least).distinct().where(
         "doc_id <> class_id").select(F.col("doc_id").alias("_key"))
     kept = keyed.join(later, "_key", "left_anti")
     again = stable(kept.groupBy("_key").count().where("count > 1").select("_key"))
-    columns = ["text", *(c for c in docs.columns if c != "text")]
-    one = kept.join(again, "_key").groupBy("_key").agg(F.min(F.struct(*columns)).alias("_row")).select(
-        *[F.col("_row")[c].alias(c) for c in docs.columns])
-    return kept.join(again, "_key", "left_anti").select(*docs.columns).unionByName(one)
+    one = kept.join(again, "_key").groupBy("_key").agg(
+        F.min_by("_row", F.struct("_text", F.to_json("_row"))).alias("_row"))
+    return C.columns_of(kept.join(again, "_key", "left_anti").select("_row").unionByName(one.select("_row")), docs)

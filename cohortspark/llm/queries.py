@@ -93,7 +93,7 @@ FROM d LEFT JOIN g USING (doc_id)
 
 _MIXING_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-  md5('0:' || coalesce(doc_id::VARCHAR, 'null')) AS draw FROM documents),
+  md5('0:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS draw FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
   FROM d GROUP BY source),
 o AS (SELECT *, 3.0 * source_size AS cap, sum(source_size) OVER ()

@@ -215,13 +215,12 @@ def remaining_documents(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
     changed = _removals(docs, length, BLOCK_BYTES, BUCKET_BYTES).where("n_removed > 0").select(
         F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_words").alias("_words"),
-        F.col("n_removed").alias("_removed"), "kept").dropDuplicates(["_id", "_sha"])
-    out = docs.withColumn("_digest", digest).join(
-        changed, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left").where(
-        "_removed is null or _removed < _words")
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(text_of("kept"))
-    new = {"text": text}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(
-            F.char_length(text_of("kept"))).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
+        F.col("n_removed").alias("_removed"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_sha"])
+    rows = docs.select(C.whole_row(docs), F.col("doc_id").cast("long").alias("_doc"), digest.alias("_digest"))
+    out = rows.join(changed, F.expr("_doc <=> _id and _digest = _sha"), "left").where("_removed is null or _removed < _words")
+    same = F.col("_removed").isNull()
+    kind = {c: docs.schema[c].dataType for c in docs.columns}
+    new = {"text": F.when(same, F.col("_row.text")).otherwise(text_of("_kept").cast(kind["text"]))}
+    if "n_chars" in kind:
+        new["n_chars"] = F.when(same, F.col("_row.n_chars")).otherwise(F.char_length(text_of("_kept")).cast(kind["n_chars"]))
+    return C.columns_of(out, docs, new)
