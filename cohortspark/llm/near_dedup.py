@@ -33,6 +33,8 @@ WORDS, SAMPLES, SIMILARITY = 5, 16, 0.8
 #: Random orders of the shorter k-mers, which find what is similar though few runs of five words are left whole, and
 #: the number of words from which they have three words and not two.
 SHORT_SAMPLES, LONG = 48, 48
+#: Words that are sketched at a time.
+SKETCH_WORDS = 16_000
 #: Texts of a group that one task compares.
 PART = 1000
 #: Dimensions of the counts of word pairs and of words that rule out most dissimilar pairs.
@@ -69,14 +71,19 @@ class Words:
         n = np.diff(self.begin)
         out = np.zeros((len(n), samples), dtype=np.uint64)
         some = np.flatnonzero(n > 0 if which is None else which & (n > 0))
-        if not len(some):
-            return out
+        sums = C.prefix_sums(self.hash, C.WORD_BASE)
+        # a few texts at a time, whose arrays stay in the processor's cache
+        for low, high in C.chunks(n[some].tolist(), SKETCH_WORDS):
+            out[some[low:high]] = self._sketches(sums, some[low:high], n[some[low:high]], samples, words)
+        return out
+
+    def _sketches(self, sums: np.ndarray, some: np.ndarray, n: np.ndarray, samples: int, words: int) -> np.ndarray:
         # a text of fewer words than a k-mer is one k-mer
-        grams = np.maximum(n[some] - words + 1, 1)
+        grams = np.maximum(n - words + 1, 1)
         first = np.concatenate([[0], np.cumsum(grams)])
         doc = np.repeat(np.arange(len(some)), grams)
         at = self.begin[some][doc] + np.arange(first[-1]) - first[doc]
-        gram = C.range_hash(C.prefix_sums(self.hash, C.WORD_BASE), at, at + np.minimum(n[some][doc], words), C.WORD_BASE)
+        gram = C.range_hash(sums, at, at + np.minimum(n[doc], words), C.WORD_BASE)
         order = np.lexsort((at, gram, doc))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (gram[order][1:] != gram[order][:-1]) | (doc[order][1:] != doc[order][:-1])
@@ -84,25 +91,25 @@ class Words:
         label = np.empty(len(order), dtype=np.uint64)
         label[order] = place - np.maximum.accumulate(np.where(new, place, 0))
         labelled = C.mix(gram + label * np.uint64(0x9E3779B97F4A7C15))
-        most = np.uint64(2**64 - 1)
+        # the upper half of a value orders the k-mers, the lower half says which one it is
+        upper, lower, most = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF), np.uint64(2**64 - 1)
+        place = place.astype(np.uint64)
+        value = np.empty_like(labelled)
+        ones, twos = np.empty((2, samples, len(some)), dtype=np.uint64)
         for j in range(samples):
-            # already mixed values in another order: two multiplications are enough
-            value = (labelled ^ _SEEDS[j]) * _FACTORS[j]
-            value ^= value >> np.uint64(32)
+            # labels are mixed already: one multiplication gives another order
+            np.bitwise_xor(labelled, _SEEDS[j], out=value)
             value *= _FACTORS[j]
-            least = np.minimum.reduceat(value, first[:-1])
-            one = np.flatnonzero(value == least[doc])
-            value[one] = most
-            second = np.minimum.reduceat(value, first[:-1])
-            two = np.flatnonzero((value == second[doc]) & (value != most))
-            p = np.full(len(some), -1)
-            q = np.full(len(some), -1)
-            p[doc[one]] = one
-            q[doc[two]] = two
-            low, high = np.minimum(p, q), np.maximum(p, q)
-            left = np.where(low < 0, np.uint64(0), gram[low])
-            out[some, j] = C.mix(C.mix(left + np.uint64(words)) * np.uint64(3) + gram[high] + _SEEDS[j]) | np.uint64(1)
-        return out
+            value &= upper
+            value |= place
+            one = np.minimum.reduceat(value, first[:-1], out=ones[j])
+            value[one & lower] = most
+            np.minimum.reduceat(value, first[:-1], out=twos[j])
+        one = (ones & lower).astype(np.int64)
+        two = np.where(twos == most, one, (twos & lower).astype(np.int64))
+        left = np.where(one == two, np.uint64(0), gram[np.minimum(one, two)])
+        out = C.mix(C.mix(left + np.uint64(words)) * np.uint64(3) + gram[np.maximum(one, two)] + _SEEDS[:samples, None]) | np.uint64(1)
+        return out.T
 
     def keys(self) -> list[np.ndarray]:
         """All keys of each text: SAMPLES of five-word k-mers, and SHORT_SAMPLES of shorter ones by the text's length.
