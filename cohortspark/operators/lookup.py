@@ -191,6 +191,14 @@ def registered_throughout(intervals: DataFrame, anchors: DataFrame, begin: Colum
     )
 
 
+def day_of_age(age: Column, day: Column, least: int) -> Column:
+    """The day, whole years before or after `day`, from which somebody of `age` years on `day` counts as `least` years old.
+
+    The lower end of the window of a measurement that counts from a minimum age only. Null where age or day is null.
+    """
+    return F.add_months(day, (F.lit(least) - age).cast("int") * 12)
+
+
 def age_on(born: Column, day: Column) -> Column:
     """Completed years of age; somebody born on 29 February completes a year on 1 March where the day is missing."""
     before_birthday = F.date_format(day, "MMdd") < F.date_format(born, "MMdd")

@@ -227,12 +227,14 @@ def brand_overlap(spark, sf):
     return el.brand_overlap(tagged[0].unionByName(tagged[1]), 2)
 
 
-@query(sql(f"""SELECT brand, box_crit AS crit, CAST({chain.mid('n', 6)} AS BIGINT) AS n, replace(box_descr, '{{brand}}', brand) AS criteria FROM (
+BOX_COUNTS = f"""SELECT brand, box_crit AS crit, CAST({chain.mid('n', 6)} AS BIGINT) AS n, replace(box_descr, '{{brand}}', brand) AS criteria FROM (
  SELECT c.brand, box_crit, box_descr, sum(c.n) AS n FROM {BOXES} LEFT JOIN (
   SELECT b.brand, c.crit, count(fl.patient_id) AS n FROM {CATS} CROSS JOIN (VALUES ('pfizer'),('az')) b(brand)
   LEFT JOIN fl ON fl.crit=c.crit AND fl.brand=b.brand GROUP BY ALL) c ON contains(box_crit, c.crit) WHERE NOT contains(box_crit,'G') GROUP BY ALL
- UNION ALL SELECT 'untreated', box_crit, box_descr, sum(o.n) FROM {BOXES} LEFT JOIN ({OVER}) o ON contains(box_crit, o.crit) WHERE contains(box_crit,'G') GROUP BY ALL)""",
- "pairs_a", "pairs_b", "single", **FLOWS))
+ UNION ALL SELECT 'untreated', box_crit, box_descr, sum(o.n) FROM {BOXES} LEFT JOIN ({OVER}) o ON contains(box_crit, o.crit) WHERE contains(box_crit,'G') GROUP BY ALL)"""
+
+
+@query(sql(BOX_COUNTS, "pairs_a", "pairs_b", "single", **FLOWS))
 def flow_boxes_theta_join(spark, sf):
     flows = _flows(spark, sf)
     a, b = [el.flow_counts(f, name) for name, f in flows.items()]
@@ -349,14 +351,13 @@ def life_table(spark, sf):
 @query(sql("""SELECT 'single' AS brand, crit, CASE crit WHEN 'c0' THEN 'Everybody' ELSE crit END AS criteria, n FROM (
  SELECT unnest(['c0','c1','c2','c3','c4','c5','c6','c7']) AS crit, unnest([c0,c1,c2,c3,c4,c5,c6,c7]) AS n FROM (
  SELECT %s FROM single))""" % ", ".join(f"CAST(ceil(count(*) FILTER (c{i})/6.0)*6 AS BIGINT) AS c{i}" for i in range(8)) + """
- UNION ALL SELECT 'pfizer', 'BDF', 'Treated with pfizer during recruitment, matched as treated', CAST(ceil(count(*)/6.0)*6-3 AS BIGINT) FROM fl WHERE brand='pfizer' AND crit IN ('B','D','F')""",
+ UNION ALL SELECT brand, crit, criteria, n FROM (""" + BOX_COUNTS + ")",
  "pairs_a", "pairs_b", "single", **FLOWS))
 def final_flowchart(spark, sf):
     crit = [f"c{i}" for i in range(8)]
     text = {c: ("Everybody" if c == "c0" else c) for c in crit}
     single = el.flowchart(chain.single(spark, sf), crit, threshold=CFG.threshold, text=text).select("crit", "criteria", "n")
-    boxes = flow_boxes_theta_join(spark, sf).where("brand = 'pfizer' and crit = 'BDF'")
-    return el.final_flowchart(single, boxes)
+    return el.final_flowchart(single, flow_boxes_theta_join(spark, sf))
 
 
 @query(sql("""SELECT CAST(count(*) FILTER (ok) AS BIGINT) AS kept, count(*) AS proposed, round(100*(count(*) FILTER (ok))/count(*)::DOUBLE, 2) AS pct
@@ -368,9 +369,14 @@ def match_success(spark, sf):
     return matching.success_share(members, members.join(kept, ["trial_date", "match_id"]))
 
 
-@query(sql("""SELECT treated, CAST(0 AS BIGINT) AS n_duplicated FROM (VALUES (0),(1)) t(treated)"""))
+@query(sql("""SELECT treated, CAST(count(*) FILTER (n > 1) AS BIGINT) AS n_duplicated FROM (
+ SELECT treated, patient_id, count(*) AS n FROM (
+  SELECT 1 AS treated, treated_id AS patient_id FROM pairs_a UNION ALL SELECT 0, control_id FROM pairs_a
+  UNION ALL SELECT 1, treated_id FROM pairs_b UNION ALL SELECT 0, control_id FROM pairs_b) GROUP BY ALL) GROUP BY 1""", "pairs_a", "pairs_b"))
 def duplicated_members(spark, sf):
-    return matching.duplicated_members(matching.pair_members(chain.pairs(spark, sf)))
+    """Over the trials of both brands, which may share controls but no treated people."""
+    members = [matching.pair_members(chain.pairs(spark, sf, b.name)).select("treated", "patient_id") for b in CFG.brands]
+    return matching.duplicated_members(members[0].unionByName(members[1]))
 
 
 @query(sql("""SELECT treated, count(*) FILTER (NOT ind_outcome) AS "ind_outcome_False", count(*) FILTER (ind_outcome) AS "ind_outcome_True" FROM fu GROUP BY 1""", "fu"))

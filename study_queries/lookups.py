@@ -257,14 +257,16 @@ def death_and_deregistration(spark, sf):
 
 @query(_sql("""
 SELECT p.patient_id, p.age,
- max(struct_pack(d := e.date, v := e.value/1000)) FILTER (e.kind='other' AND e.value/1000 < 100 AND e.date BETWEEN DATE '1997-01-01' - 1826 AND DATE '1997-01-01').v AS bmi,
+ max(struct_pack(d := e.date, v := e.value/1000)) FILTER (e.kind='other' AND e.value/1000 < 100 AND e.date BETWEEN DATE '1997-01-01' - 1826 AND DATE '1997-01-01'
+  AND e.date >= DATE '1997-01-01' - to_months(12 * (p.age - 70))).v AS bmi,
  CAST(round(p.imd/100.0)*100 AS INT) AS imd_rounded
 FROM person p LEFT JOIN ev e USING (patient_id) GROUP BY p.patient_id, p.age, p.imd"""))
 def cleaned_measurement(spark, sf):
     index, x = F.lit("1997-01-01").cast("date"), F.col("value") / 1000
     who = fx.persons(spark, sf).select("patient_id", "age", "imd")
-    out = lk.lookup(fx.events(spark, sf), who, [
-        Find("bmi", "value", "last", (_k() == "other") & (x < 100), F.date_sub(index, 1826), index, x)])
+    of_age = lk.day_of_age(F.col("age"), index, 70)
+    since = F.when(of_age.isNotNull(), F.greatest(F.date_sub(index, 1826), of_age))  # unknown age: nothing counts
+    out = lk.lookup(fx.events(spark, sf), who, [Find("bmi", "value", "last", (_k() == "other") & (x < 100), since, index, x)])
     return out.select("patient_id", "age", "bmi", F.round("imd", -2).alias("imd_rounded"))
 
 

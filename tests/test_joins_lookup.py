@@ -199,3 +199,18 @@ def test_interval_lookups(spark):
 def test_age(spark):
     df = spark.createDataFrame([(D(1950, 6, 15), D(2020, 6, 14)), (D(1950, 6, 15), D(2020, 6, 15))], "b date, d date")
     assert rows(df.select(lk.age_on(F.col("b"), F.col("d")))) == [(69,), (70,)]
+
+
+def test_day_of_age(spark):
+    """Measurements below the minimum age don't count; on the day itself they do."""
+    who = spark.createDataFrame([(1, 72), (2, 70), (3, 69), (4, None)], "patient_id long, age int")
+    index = F.lit("2020-02-29").cast("date")
+    days = {r.patient_id: str(r.d) for r in who.select("patient_id", lk.day_of_age(F.col("age"), index, 70).alias("d")).collect()}
+    assert days == {1: "2018-02-28", 2: "2020-02-29", 3: "2021-02-28", 4: "None"}
+    events = spark.createDataFrame(
+        [(1, "2018-02-27", 1.0), (2, "2020-02-29", 2.0), (2, "2020-02-28", 3.0), (3, "2020-02-01", 4.0), (4, "2020-02-01", 5.0)],
+        "patient_id long, date string, value double").withColumn("date", F.to_date("date"))
+    of_age = lk.day_of_age(F.col("age"), index, 70)
+    since = F.when(of_age.isNotNull(), F.greatest(F.date_sub(index, 1826), of_age))
+    got = lk.lookup(events, who, [lk.Find("v", "value", "last", None, since, index, F.col("value"))])
+    assert {r.patient_id: r.v for r in got.collect()} == {1: None, 2: 2.0, 3: None, 4: None}
