@@ -214,3 +214,19 @@ def test_day_of_age(spark):
     since = F.when(of_age.isNotNull(), F.greatest(F.date_sub(index, 1826), of_age))
     got = lk.lookup(events, who, [lk.Find("v", "value", "last", None, since, index, F.col("value"))])
     assert {r.patient_id: r.v for r in got.collect()} == {1: None, 2: 2.0, 3: None, 4: None}
+
+
+def _tasks_with_rows(df):
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_few_pairs_are_expanded_by_many_tasks(spark):
+    x = spark.range(400).select(F.col("id").alias("a"), (F.col("id") % 2).alias("v")).coalesce(1)
+    y = spark.range(60).select(F.col("id").alias("b"), (F.col("id") % 2).alias("w")).coalesce(1)
+    multi = joins.predicate_join(x, y, {"v": "w"}, lambda a, b: (a >= b) & (a <= b), multi=True)
+    assert multi.count() == 400 * 30
+    assert _tasks_with_rows(multi) > 4
+    ranges = y.select("b", (F.col("b") - 0.5).alias("low"), (F.col("b") + 0.5).alias("high"))
+    between = joins.predicate_join(x.withColumn("v", F.col("a") % 40), ranges, {"v": ("low", "high")}, joins.Between("left"))
+    assert between.count() == 400
+    assert _tasks_with_rows(between) > 4
