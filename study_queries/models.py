@@ -54,7 +54,7 @@ def cox_meta_analysis(spark, sf):
 def _inputs(spark, sf):
     """People's times and covariates, and the model terms."""
     fixed = chain.people(spark, sf).select("patient_id", "age", "sex", "region", *[F.col(a).cast("int").alias(a) for a in ADJUST])
-    return stable(single_base(spark, sf)), fixed, st.covariate_terms(CFG, REGIONS, ADJUST, spline_df=3)
+    return single_base(spark, sf), fixed, st.covariate_terms(CFG, REGIONS, ADJUST, spline_df=3)
 
 
 def _weighted(spark, sf, outcome: str, brand: str, robust: bool = False):

@@ -82,3 +82,14 @@ def test_contrasts_drop_periods_nobody_enters(spark):
     assert out[3]["surv_1"] is None and out[3]["n_event_0"] == 1
     daily = sv.period_contrasts(km, []).count()
     assert daily == 6
+
+
+def test_person_tables_have_tasks_by_their_size(spark):
+    from cohortspark.session import by_person
+
+    people = spark.range(1000).select(F.col("id").alias("patient_id"))
+    assert by_person(people).rdd.getNumPartitions() == people.rdd.getNumPartitions()
+    dealt = by_person(people, per_task=100)
+    counts = dealt.groupBy("patient_id").count()
+    assert dealt.rdd.getNumPartitions() == 10 and counts.rdd.getNumPartitions() == 10
+    assert counts.where("count = 1").count() == 1000
