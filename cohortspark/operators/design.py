@@ -89,12 +89,20 @@ class Design:
     def helper_columns(self) -> list[str]:
         return [n for t in self.splines() for n in _basis_names(t)]
 
-    def linear(self, coef: Sequence[float]) -> Column:
-        """Weighted sum of the columns. All levels of a factor share one lookup, so the expression stays
+    def curved(self) -> tuple:
+        """The terms that hold a spline."""
+        return tuple(t for t in self.terms if any(
+            isinstance(x, Spline) for x in ((t.left, t.right) if isinstance(t, Product) else (t,))))
+
+    def straight(self) -> tuple:
+        return tuple(t for t in self.terms if t not in self.curved())
+
+    def linear(self, coef: Sequence[float], terms: Sequence[object] | None = None) -> Column:
+        """Weighted sum of the columns, or of those of some terms. All levels of a factor share one lookup, so the expression stays
         small however many columns the design has."""
         weight = dict(zip(self.names, coef))
         total = F.lit(0.0)
-        for term in self.terms:
+        for term in self.terms if terms is None else terms:
             total = total + _weighted(term, weight)
         return total
 

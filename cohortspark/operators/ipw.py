@@ -1,7 +1,7 @@
 """Stabilised inverse-probability weights on person-days.
 
-Both probability models become expressions on the person-day row, so weights are added in place: no
-prediction table is joined back. Only the cumulative product needs the rows of a person together.
+Both probability models become expressions on the person-day row, so weights are added in place; only the
+splines' part, one row for each day and region, is broadcast to them. Only the cumulative product needs the rows of a person together.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from cohortspark.operators.summary import numeric_summary
 from cohortspark.operators.windows import running
 from cohortspark.session import stable
 
+#: Combinations of the splines' columns up to which their part of a predictor is looked up.
+CURVE_ROWS = 50_000
+
 
 def draw_sample(days: DataFrame, event: str, kind: str, amount: float, person: str = "patient_id") -> DataFrame:
     """(person, sample_weight) of the sampled people. ``kind``: random_n, random_prop, nonoutcomes_n,
@@ -67,10 +70,29 @@ def with_stabilised_weight(days: DataFrame, models: tuple[LogisticFit, LogisticF
                            name: str) -> DataFrame:
     """Add the fixed-covariate over time-varying probability of the observed status; 1 when not at risk."""
     varying, fixed = models
-    ready = fixed.prepare(varying.prepare(days))
-    ratio = realised(fixed.probability(), event) / realised(varying.probability(), event)
+    ready, (p_varying, p_fixed) = with_curves(days, (varying, fixed))
+    ratio = realised(p_fixed, event) / realised(p_varying, event)
     out = ready.withColumn(name, F.when(F.col(at_risk), ratio).otherwise(F.lit(1.0)))
-    return out.drop(*varying.design.helper_columns(), *fixed.design.helper_columns())
+    return out.select(*days.columns, name)
+
+
+def with_curves(days: DataFrame, models: Sequence[LogisticFit], most: int = CURVE_ROWS) -> tuple[DataFrame, list[Column]]:
+    """Rows from which the models' probabilities can be read, and these probabilities.
+
+    Splines and their products with factors are the long part of a predictor, and they depend on few columns (day and
+    region): up to ``most`` combinations, they are computed once for each and looked up. Otherwise they are expressions.
+    """
+    columns = sorted({c for m in models for t in m.design.curved() for c in columns_of(t)})
+    kinds = stable(days.select(*columns).distinct()) if columns else None
+    if kinds is None or kinds.count() > most:
+        for m in models:
+            days = m.prepare(days)
+        return days, [m.probability() for m in models]
+    for i, m in enumerate(models):
+        kinds = m.prepare(kinds).withColumn(f"_curve{i}", m.design.linear(m.coef[1:], m.design.curved()))
+    looked = kinds.select(*[F.col(c).alias(f"_at_{c}") for c in columns], *[f"_curve{i}" for i in range(len(models))])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in columns])
+    return days.join(F.broadcast(looked), same), [m.probability(F.col(f"_curve{i}")) for i, m in enumerate(models)]
 
 
 def add_weights(days: DataFrame, weights: dict[str, Column], sample_weight: str | None = None,

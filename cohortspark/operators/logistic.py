@@ -40,9 +40,16 @@ class LogisticFit:
     def prepare(self, df: DataFrame) -> DataFrame:
         return self.design.prepare(df)
 
-    def probability(self) -> Column:
-        """Predicted probability of a prepared row, as a plain expression: predicting needs no join."""
-        return 1 / (1 + F.exp(-(F.lit(self.coef[0]) + self.design.linear(self.coef[1:]))))
+    def probability(self, curve: Column | None = None) -> Column:
+        """Predicted probability of a prepared row, as a plain expression: predicting needs no join.
+
+        ``curve``: what the curved terms add up to, if the row has that already.
+        """
+        if curve is None:
+            total = self.design.linear(self.coef[1:])
+        else:
+            total = self.design.linear(self.coef[1:], self.design.straight()) + curve
+        return 1 / (1 + F.exp(-(F.lit(self.coef[0]) + total)))
 
 
 def patterns(df: DataFrame, columns: Sequence[str], weight: Column) -> DataFrame:

@@ -203,3 +203,35 @@ def test_cox_table_leaves_empty_periods_blank(spark, pieces):
     out = cox.cox_contrasts(spark, fit, CUTS, brand="x").orderBy("period_id").collect()
     assert out[2]["coxhazr"] is None and out[0]["coxhr_ll"] < out[0]["coxhazr"] < out[0]["coxhr_ul"]
     assert out[1]["fup_period"] == "3-7" and out[1]["brand"] == "x"
+
+
+def test_curves_are_looked_up_by_day_and_region(spark):
+    from cohortspark.operators import ipw, logistic
+    from cohortspark.operators.design import Factor, Number, Product, Spline
+
+    rows = [(i, 1 + i * 7 % 40, "abc"[i % 3] if i % 11 else None, i % 2, int(i * 37 % 10 < 3)) for i in range(600)]
+    days = spark.createDataFrame(rows, "patient_id long, tstop int, region string, flu int, vax int")
+    terms = [Number("flu"), Spline("tstop", 3), Factor("region", ("a", "b", "c")), Product(Spline("tstop", 3), Factor("region", ("a", "b", "c")))]
+    model = logistic.fit_logistic(days.where("region is not null"), terms, "vax")
+    got = []
+    for most in (0, 1000):
+        ready, (p,) = ipw.with_curves(days, (model,), most)
+        got.append({r[0]: r[1] for r in ready.select("patient_id", p.alias("p")).collect()})
+        assert ("_curve0" in ready.columns) == (most > 0)
+    assert len(got[0]) == 600 and got[0].keys() == got[1].keys()
+    assert all(abs(got[0][i] - got[1][i]) < 1e-12 for i in got[0])
+
+
+def test_numeric_summary_counts_values_once(spark, monkeypatch):
+    from cohortspark.operators import ranking, summary
+
+    made = []
+    count = ranking.value_counts_long
+    for module in (ranking, summary):
+        monkeypatch.setattr(module, "value_counts_long", lambda *a, **k: made.append(1) or count(*a, **k))
+    df = spark.createDataFrame([(1.0, 5), (1.0, None), (4.0, 7), (None, 7)], "a double, b int")
+    rows = {r["variable"]: r for r in summary.numeric_summary(df, ["a", "b"]).collect()}
+    assert made == [1]
+    a = rows["a"]
+    assert (a["n"], a["n_nonmiss"], a["n_miss"], a["unique"], a["min"], a["max"], a["p50"]) == (4, 3, 1, 2, 1.0, 4.0, 1.0)
+    assert abs(a["mean"] - 2) < 1e-12 and abs(a["sd"] - 3 ** 0.5) < 1e-12
