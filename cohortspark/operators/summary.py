@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cohortspark.functions.columns import ratio
 from cohortspark.functions.disclosure import redact, redaction_flag, roundmid_any
-from cohortspark.operators.ranking import quantiles_wide
+from cohortspark.operators.ranking import quantiles_of_counts, quantiles_wide, value_counts_long, wide_quantiles
+from cohortspark.session import stable
 
 MISSING = "(missing)"
 PROBS = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -32,23 +33,32 @@ def numeric_summary(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
                     probs: Sequence[float] = PROBS, **kw) -> DataFrame:
     """One row per (by..., variable): counts, missingness, moments, type-1 quantiles and range.
 
-    All variables are summarised in one pass; a grouping value that is missing has its own row.
+    All variables are summarised from one count of their values; a grouping value that is missing has its own row.
     Rows standing for 1..threshold people are blanked.
     """
     for b in by:
         df = df.withColumn(b, F.coalesce(F.col(b).cast("string"), F.lit(MISSING)))
-    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x")) for c in cols])
-    long = df.select(*by, F.explode(pairs).alias("_s")).select(*by, "_s.*")
-    base = long.groupBy(*by, "variable").agg(
-        F.count(F.lit(1)).alias("n"), F.count("x").alias("n_nonmiss"),
-        F.count_distinct("x").alias("unique"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"),
-        F.min("x").alias("min"), F.max("x").alias("max"),
-    ).withColumns({
+    keys = [*by, "variable"]
+    # how often each value occurs, written once: everything is read from these counts
+    counts = stable(value_counts_long(df, by, cols, known=False))
+    weight, x = F.col("n"), F.col("value")
+    base = counts.groupBy(*keys).agg(
+        F.sum(weight).alias("n"), F.coalesce(F.sum(F.when(x.isNotNull(), weight)), F.lit(0)).alias("n_nonmiss"),
+        F.count(x).alias("unique"), F.try_divide(F.sum(x * weight), F.sum(F.when(x.isNotNull(), weight))).alias("mean"),
+        F.min(x).alias("min"), F.max(x).alias("max"))
+    # at most one row for each group and variable
+    centre = base.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("mean").alias("_mean"), F.col("n_nonmiss").alias("_known"))
+    same = [F.col(k) == F.col(f"_c_{k}") for k in keys]
+    off = counts.join(F.broadcast(centre), same).groupBy(*keys).agg(
+        F.sqrt(F.try_divide(F.sum(weight * (x - F.col("_mean")) * (x - F.col("_mean"))), F.max("_known") - 1)).alias("sd"))
+    base = base.join(off, keys, "left").select(
+        *keys, "n", "n_nonmiss", "unique", "mean", "sd", "min", "max").withColumns({
         "pct_nonmiss": ratio(F.col("n_nonmiss"), F.col("n")),
         "n_miss": F.col("n") - F.col("n_nonmiss"),
         "pct_miss": ratio(F.col("n") - F.col("n_nonmiss"), F.col("n")),
     })
-    out = base.join(quantiles_wide(df, cols, probs, by, 1, **kw), [*by, "variable"], "left")
+    found = quantiles_of_counts(counts.where(x.isNotNull() & ~F.isnan(x)), cols, probs, by, 1, **kw)
+    out = base.join(wide_quantiles(found, probs, by), keys, "left")
     if threshold:
         out = redaction_flag(out, "n", threshold, ["variable"], list(by))
         out = redact(out, [c for c in out.columns if c not in (*by, "variable", "redacted")])
