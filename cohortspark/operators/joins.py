@@ -141,6 +141,34 @@ def _shift(bucket: Column, level: Column) -> Column:
     return F.floor(bucket / F.pow(F.lit(2.0), level)).cast("long")
 
 
+def _band_buckets(df: DataFrame, key: str, low: float, high: float, step: float, name: str, spans: bool) -> DataFrame:
+    """Rows with the bucket that their key lies in, or (``spans``) one row for each bucket that their interval touches.
+
+    Rows without a finite key meet nothing: their bucket comes from their content, so that they don't crowd one task.
+    """
+    n = number_of(df, key)
+    known, own = F.abs(n) < float("inf"), F.xxhash64(*df.columns)
+    if not spans:
+        return df.withColumn(name, F.when(known, F.floor(n / step).cast("long")).otherwise(own))
+    slack = lambda v: F.lit(1e-9) + F.abs(v / step) * 1e-12  # noqa: E731  what rounding may move a bucket's edge
+    first, last = [F.floor(v / step + sign * slack(v)).cast("long") for v, sign in ((n + low, -1), (n + high, 1))]
+    return df.withColumn(name, F.explode(F.when(known, F.sequence(first, last)).otherwise(F.array(own))))
+
+
+def band_join(x: DataFrame, y: DataFrame, a: str, b: str, band: Band, cond: Column, how: str) -> DataFrame:
+    """Rows joined on a band, without a list of pairs; ``cond`` is tested too. The sides must have no column name in common.
+
+    Buckets have the band's width. One side has one bucket a row, the other two or three, so each pair meets once and
+    the first side may be the outer one. What is shuffled grows with the sides, however many pairs there are; a merge join
+    keeps the work on all cores where a side is small, and adaptive execution splits a crowded bucket.
+    """
+    step = abs(band.hi - band.lo) or 1.0
+    x_spans = how == "right"
+    x = _band_buckets(x, a, -band.hi, -band.lo, step, "_bx", x_spans)
+    y = _band_buckets(y, b, band.lo, band.hi, step, "_by", not x_spans)
+    return x.join(y.hint("merge"), (F.col("_bx") == F.col("_by")) & cond, how).drop("_bx", "_by")
+
+
 def _keys(x: DataFrame, y: DataFrame, by) -> dict[str, tuple[str, ...]]:
     """Left key -> right keys. Without ``by`` the columns that both sides have; a list names such columns."""
     if by is None:
@@ -165,7 +193,8 @@ def predicate_join(x: DataFrame, y: DataFrame, by: Mapping[str, str | tuple[str,
     so repeated (hot) values cost nothing extra in the predicate step. Pairs are spread over all cores first; few pairs
     of an arbitrary predicate are broadcast to the spread left rows instead. A NULL key matches nothing.
     If a predicate is a :class:`Band` or :class:`Between`, or the plain equality ``operator.eq``, candidates come from an equality
-    join and the other predicates are tested on them; only other predicates compare all distinct values.
+    join and the other predicates are tested on them; only other predicates compare all distinct values. With bands only (and no
+    ``distance``) the rows themselves meet in buckets, and no pairs of values are listed.
     ``index`` takes the place of ``match``: it gets both tables of distinct keys, under their own names (the right ones with
     ``_y`` where both sides have the name), and returns the pairs, with further columns if it likes.
     Columns present on both sides get the endings ``_x`` and ``_y``. ``distance`` (name, function of all
@@ -174,6 +203,10 @@ def predicate_join(x: DataFrame, y: DataFrame, by: Mapping[str, str | tuple[str,
     keys = _keys(x, y, by)
     kx, ky = list(keys), [c for group in keys.values() for c in group]
     tx, ty = [f"_kx{i}" for i in range(len(kx))], [f"_ky{i}" for i in range(len(ky))]
+    if index is None and not multi and distance is None:
+        fns = [match] * len(kx) if callable(match) else list(match or ())
+        if len(fns) == len(kx) == len(ky) and all(isinstance(f, Band) for f in fns):
+            return _bands_only(x, y, kx, ky, fns, how)
     dx = x.select(*[F.col(c).alias(t) for c, t in zip(kx, tx)]).dropna().distinct()
     dy = y.select(*[F.col(c).alias(t) for c, t in zip(ky, ty)]).dropna().distinct()
     extra: list[str] = []
@@ -237,6 +270,31 @@ def predicate_join(x: DataFrame, y: DataFrame, by: Mapping[str, str | tuple[str,
     raise ValueError(f"unknown mode {how}")
 
 
+def _bands_only(x: DataFrame, y: DataFrame, kx: Sequence[str], ky: Sequence[str], bands: Sequence[Band], how: str) -> DataFrame:
+    """A predicate join all of whose predicates are bands; the first one makes the buckets."""
+    def test(left: DataFrame, right: DataFrame, of_x: Sequence[str], of_y: Sequence[str]) -> Column:
+        return reduce(lambda a, b: a & b, [f(number_of(left, a), number_of(right, b)) for f, a, b in zip(bands, of_x, of_y)])
+
+    tx, ty = [f"_kx{i}" for i in range(len(kx))], [f"_ky{i}" for i in range(len(ky))]
+    if how in ("semi", "anti"):
+        keys = y.select(*[F.col(c).alias(t) for c, t in zip(ky, ty)]).distinct()
+        return band_join(x, keys, kx[0], ty[0], bands[0], test(x, keys, kx, ty), f"left_{how}")
+    if how not in ("inner", "left", "right", "full"):
+        raise ValueError(f"unknown mode {how}")
+    both = set(x.columns) & set(y.columns)
+    left = x.select(*[F.col(c).alias(c + "_x" if c in both else c) for c in x.columns])
+    right = y.select(*[F.col(c).alias(c + "_y" if c in both else c) for c in y.columns])
+    own_x, own_y = [c + "_x" if c in both else c for c in kx], [c + "_y" if c in both else c for c in ky]
+    hits = band_join(left, right, own_x[0], own_y[0], bands[0], test(left, right, own_x, own_y), "left" if how == "full" else how)
+    hits = hits.select(*left.columns, *right.columns)
+    if how != "full":
+        return hits
+    keys = left.select(*[F.col(c).alias(t) for c, t in zip(own_x, tx)]).distinct()
+    back = Band(-bands[0].hi, -bands[0].lo)
+    lone_y = band_join(right, keys, own_y[0], tx[0], back, test(keys, right, tx, own_y), "left_anti")
+    return hits.unionByName(lone_y, allowMissingColumns=True)
+
+
 def caliper_join(x: DataFrame, y: DataFrame, on: Sequence[str], calipers: Mapping[str, float],
                  how: str = "inner") -> DataFrame:
     """Equality on ``on`` and absolute difference within the caliper for each caliper column.

@@ -119,6 +119,20 @@ def test_band_join_of_many_values_stays_small(spark):
     assert joins.predicate_join(x, y.withColumn("z", F.col("w") + 3), {"v": ("w", "z")}, joins.Between()).count() == 99_999
 
 
+@pytest.mark.parametrize("how", MODES)
+def test_band_join_lists_no_pairs(spark, how):
+    nan, inf = float("nan"), float("inf")
+    xs = [(i, v) for i, v in enumerate([1.0, 1.0, 2.5, -7.0, 40.0, None, None, nan, inf, -inf])]
+    ys = [(i, v) for i, v in enumerate([0.5, 0.5, 3.0, 41.0, 99.0, None, nan, nan, inf, -inf])]
+    x, y = spark.createDataFrame(xs, "id int, v double"), spark.createDataFrame(ys, "id int, w double")
+    ok = lambda a, b: a[1] is not None and b[1] is not None and abs(a[1]) < inf and abs(b[1]) < inf and -1 <= a[1] - b[1] < 2
+    out = joins.predicate_join(x, y, {"v": "w"}, joins.Band(-1, 2, "left"), how)
+    assert str(rows(out)) == str(plain_join(xs, ys, ok, how))  # as text, for not-a-number
+    # both sides meet directly (twice in the full mode): a list of pairs would have to be joined with each of them
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == (2 if how == "full" else 1)
+
+
 def test_default_keys_and_index_function(spark):
     xs, ys = [(1, 5), (2, 6), (3, None), (4, 5)], [(1, 5), (9, 7)]
     x, y = spark.createDataFrame(xs, "a int, k int"), spark.createDataFrame(ys, "b int, k int")
