@@ -117,16 +117,16 @@ class Design:
         return replace(self, entries=tuple(e for e in self.entries if e.name in wanted))
 
 
-def _fix(term, df: DataFrame, known: dict):
+def _fix(term, df: DataFrame, known: dict, rows: str | None):
     """Read knots and levels from the training rows where the term leaves them open, each only once."""
     if isinstance(term, Product):
-        return Product(_fix(term.left, df, known), _fix(term.right, df, known))
+        return Product(_fix(term.left, df, known, rows), _fix(term.right, df, known, rows))
     if term not in known:
-        known[term] = _read(term, df)
+        known[term] = _read(term, df, rows)
     return known[term]
 
 
-def _read(term, df: DataFrame):
+def _read(term, df: DataFrame, rows: str | None):
     if isinstance(term, Factor) and not term.levels:
         rows = df.select(term.col).where(F.col(term.col).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
         if len(rows) > MAX_LEVELS:
@@ -134,7 +134,7 @@ def _read(term, df: DataFrame):
         return Factor(term.col, tuple(sorted(r[0] for r in rows)))
     if isinstance(term, Spline) and not term.knots:
         probs = [0.0, *[i / term.df for i in range(1, term.df)], 1.0]
-        q = quantiles(df.select(term.col), [term.col], probs, kind=7).collect()
+        q = quantiles(df, [term.col], probs, kind=7, rows=rows).collect()
         return Spline(term.col, term.df, tuple(sorted({r["quantile"] for r in q})))
     return term
 
@@ -203,9 +203,10 @@ def columns_of(term) -> set[str]:
     return columns_of(term.left) | columns_of(term.right) if isinstance(term, Product) else {term.col}
 
 
-def fit_design(df: DataFrame, terms: Sequence[object]) -> Design:
+def fit_design(df: DataFrame, terms: Sequence[object], rows: str | None = None) -> Design:
+    """``rows``: a column with how many rows each row stands for."""
     known: dict = {}
-    fixed = tuple(_fix(t, df, known) for t in terms)
+    fixed = tuple(_fix(t, df, known, rows) for t in terms)
     return Design(fixed, tuple(e for t in fixed for e in _entries(t)))
 
 

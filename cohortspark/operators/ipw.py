@@ -41,13 +41,21 @@ def draw_sample(days: DataFrame, event: str, kind: str, amount: float, person: s
 
 
 def treatment_models(days: DataFrame, event: str, at_risk: str, varying: Sequence[object], fixed: Sequence[object],
-                     kind: str, amount: float | None, person: str = "patient_id", robust: bool = False) -> tuple[LogisticFit, LogisticFit]:
+                     kind: str, amount: float | None, person: str = "patient_id", robust: bool = False,
+                     kinds: DataFrame | None = None, rows: str | None = None) -> tuple[LogisticFit, LogisticFit]:
     """Models of the event with and without time-varying covariates, on those at risk; ``amount``: of a sample, None for all.
 
     Sampled rows are written once. ``robust``: the first model carries its person-clustered
-    variance, from the rows that it was fitted on.
+    variance, from the rows that it was fitted on. ``kinds``: the days counted by all columns that the models read, with
+    their number in ``rows`` (:func:`logistic.counted`); models of everybody are then fitted without another pass over the days.
     """
     risk = days.where(F.col(at_risk))
+    if amount is None and kinds is not None:
+        kinds = kinds.where(F.col(at_risk))
+        first = fit_logistic(kinds, varying, event, rows=rows)
+        if robust:
+            first = robust_logistic(risk, first, event, person, kinds=kinds, rows=rows)
+        return first, fit_logistic(kinds, fixed, event, rows=rows)
     if amount is None:
         sample = risk.withColumn("sample_weight", F.lit(1.0))
     else:

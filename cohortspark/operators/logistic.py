@@ -61,15 +61,26 @@ def patterns(df: DataFrame, columns: Sequence[str], weight: Column) -> DataFrame
     return df.select(*columns, weight.alias("_w")).where("_w > 0").groupBy(*columns).agg(F.sum("_w").alias("_w"))
 
 
+def counted(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    """The distinct rows of some columns and how many rows have them."""
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(name))
+
+
+def _weight(weight: str | None, rows: str | None) -> Column:
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    return w if rows is None else w * F.col(rows)
+
+
 def fit_logistic(df: DataFrame, terms: Sequence[object], label: str, weight: str | None = None,
-                 max_iter: int = 40) -> LogisticFit:
+                 max_iter: int = 40, rows: str | None = None) -> LogisticFit:
     """Maximum-likelihood fit by Newton steps, each one pass over the data.
 
     Columns that depend linearly on earlier ones are dropped first (their coefficient is undefined). Knots and levels are
     read from all rows; every iteration then runs over the distinct rows with their weights added up.
+    ``rows``: a column with how many rows each row stands for (:func:`counted`).
     """
-    design = fit_design(df, terms)
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    design = fit_design(df, terms, rows)
+    w = _weight(weight, rows)
     columns = sorted({c for t in terms for c in columns_of(t)} | {label})
     df = design.prepare(stable(patterns(df, columns, w)))
     with_one = df.select(F.concat(F.array(F.lit(1.0)), design.array()).alias("_x"))
@@ -166,15 +177,17 @@ def sandwich(bread: np.ndarray, sums: DataFrame, p: int, small_sample: bool = Fa
 
 
 def robust_logistic(df: DataFrame, fit: LogisticFit, label: str, cluster: str, weight: str | None = None,
-                    small_sample: bool = False) -> LogisticFit:
+                    small_sample: bool = False, kinds: DataFrame | None = None, rows: str | None = None) -> LogisticFit:
     """Add the cluster-robust (HC0) variance to a fit.
 
     The information comes from the distinct rows; scores are added up per cluster as plain column sums.
+    ``kinds``: the same rows without their cluster, each as often as ``rows`` says, if they have been counted already.
     """
     p = len(fit.coef)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     columns = sorted({c for t in fit.design.terms for c in columns_of(t)})
-    kinds = fit.prepare(patterns(df, columns, w)).withColumn("_p", fit.probability())
+    alike = patterns(df, columns, w) if kinds is None else patterns(kinds, columns, _weight(weight, rows))
+    kinds = fit.prepare(alike).withColumn("_p", fit.probability())
     bread = gram(kinds.select(
         F.concat(F.array(F.lit(1.0)), fit.design.array()).alias("_x"), (F.col("_w") * F.col("_p") * (1 - F.col("_p"))).alias("_h")), "_x", "_h")
     rows = fit.prepare(df.select(cluster, *[c for c in {*columns, label} if c != cluster], w.alias("_w")).where("_w > 0"))
