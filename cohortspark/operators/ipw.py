@@ -104,11 +104,14 @@ def with_curves(days: DataFrame, models: Sequence[LogisticFit], most: int = CURV
 
 
 def add_weights(days: DataFrame, weights: dict[str, Column], sample_weight: str | None = None,
-                person: str = "patient_id", time: str = "tstop") -> DataFrame:
+                person: str = "patient_id", time: str = "tstop", tasks: int | None = None) -> DataFrame:
     """Add each weight, its cumulative product per person, the products over all of them and, with a
-    sampling weight, their sampled versions."""
+    sampling weight, their sampled versions. ``tasks``: over how many tasks the people are dealt to be sorted by time;
+    what adaptive execution would merge follows the compressed size, not the rows a task sorts."""
     upto = running([person], [time])
     out = days.withColumns({f"ipweight_{n}": F.coalesce(c, F.lit(1.0)) for n, c in weights.items()})
+    if tasks is not None:
+        out = out.repartition(tasks, person)
     out = out.withColumns({f"cmlipweight_{n}": F.product(F.col(f"ipweight_{n}")).over(upto) for n in weights})
     times = lambda prefix: reduce(lambda a, b: a * b, [F.col(f"{prefix}_{n}") for n in weights])
     out = out.withColumns({"ipweight": times("ipweight"), "cmlipweight": times("cmlipweight")})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortspark import fixture as fx
 from cohortspark.operators import ipw, logistic, report
 from cohortspark.plans import sequential_trial as seq, single_trial as st
-from cohortspark.session import stable
+from cohortspark.session import stable, tasks_for, written
 from study_queries import chain
 from study_queries.chain import CFG, sql
 from study_queries.registry import query
@@ -166,10 +166,11 @@ def ipw_weights_saturated(spark, sf):
     from cohortspark.operators.design import Factor
 
     base, fixed, _ = _inputs(spark, sf)
-    days = stable(st.at_risk_days(base, fixed, "death", "any", CFG).withColumn("sample_weight", F.lit(1.0)))
+    tasks = tasks_for(base)
+    days = written(st.at_risk_days(base, fixed, "death", "any", CFG, tasks=tasks).withColumn("sample_weight", F.lit(1.0)))
     pair = ipw.treatment_models(days, "vaxany1", "vaxany1_atrisk", [Factor("region", REGIONS)], [Factor("sex", ("Female", "Male"))], "random_n", None)
     days = ipw.with_stabilised_weight(days, pair, "vaxany1", "vaxany1_atrisk", "_w")
-    w = ipw.add_weights(days, {"vaxany1": F.col("_w")}, "sample_weight")
+    w = ipw.add_weights(days, {"vaxany1": F.col("_w")}, "sample_weight", tasks=tasks)
     return w.groupBy("tstop").agg(
         F.count(F.lit(1)).alias("n"), F.avg("ipweight").alias("ipweight"), F.avg("cmlipweight").alias("cmlipweight"),
         F.max("cmlipweight_sample").alias("largest"))

@@ -263,3 +263,11 @@ def test_written_rows_come_back_whole(spark):
     back = written(df)
     assert back.dtypes == df.dtypes and sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
     assert back._jdf.queryExecution().executedPlan().toString().count("parquet")
+
+
+def test_weights_are_added_up_in_tasks_of_few_people(spark):
+    """Adaptive execution would merge these small rows into one or two tasks."""
+    days = spark.createDataFrame([(p, d) for p in range(200) for d in range(1, 4)], "patient_id long, tstop int").repartition(1)
+    out = ipw.add_weights(days, {"a": 1 + F.col("tstop") / 10}, tasks=13)
+    assert out.rdd.getNumPartitions() == 13
+    assert {(r["tstop"], round(r["cmlipweight"], 9)) for r in out.collect()} == {(1, 1.1), (2, 1.32), (3, 1.716)}
