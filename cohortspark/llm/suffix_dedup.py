@@ -6,7 +6,8 @@ therefore runs digit by digit; after each pass, suffixes that are alone with the
 
 * *Runs.* The digits of a suffix are hashes of byte ranges that its first `length` bytes determine. The first one
   is the smallest hash of a `gram` inside those bytes. Neighbouring suffixes mostly share it, so a document is a
-  sequence of runs of suffixes with equal first digit (about one run for 35 bytes), and a pass handles runs.
+  sequence of runs of suffixes with equal first digit (about one run for 35 bytes), and a pass handles runs. The digit
+  is mixed once more: smallest hashes crowd near zero, where one bucket would get nearly all of them.
 * *Pass 1 and 2* order runs by the first digit and then by the content of the whole run. Equal runs repeat suffix
   by suffix: all but the first are repeats. A first digit with one content is done.
 * *Pass 3* orders, at full depth, the suffixes of the runs whose first digit has several contents (a repeat begins
@@ -61,8 +62,8 @@ class Runs:
         self.digit = self.content = empty.astype(np.uint64)
         if n < length:
             return
-        at = np.arange(n - gram + 1)
-        grams = C.range_hash(self.sums, at, at + gram, C.BYTE_BASE)
+        # as range_hash() of neighbouring places, on slices
+        grams = C.mix((self.sums[gram:] - self.sums[:-gram]) * C.powers(C.BYTE_BASE, n)[1][:n - gram + 1])
         least = sliding_min(grams, width)  # one for each suffix with `length` bytes in the buffer
         # the last suffix of a document is the one that ends with it; the separator follows
         valid = np.zeros(len(least) + 1, dtype=np.int8)
@@ -82,7 +83,8 @@ class Runs:
         self.hi = np.flatnonzero(valid & ~follows)
         again = np.concatenate([[0], np.cumsum(grams[:len(least)] == least)])
         self.own = again[self.hi] > again[self.lo]
-        digit = least[self.lo]
+        # minima crowd near zero; mixed (one to one) they spread evenly over the buckets
+        digit = C.mix(least[self.lo])
         content = C.range_hash(self.sums, self.lo, self.hi + length, C.BYTE_BASE)
         order = np.lexsort((self.lo, content, digit))
         new = np.ones(len(order), dtype=bool)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.llm import (
-    bpe, fingerprints, language_id, mixing, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts, topk_search)
+    bpe, common as C, fingerprints, language_id, mixing, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts, topk_search)
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, block int, data string, root string"
 
@@ -65,6 +65,14 @@ def test_suffix_dedup(spark, rows, docs):
     assert sum(w[1] for w in want.values()) > 0
 
 
+def test_suffix_digits_spread_over_buckets():
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.integers(97, 123, 2000, dtype=np.uint8)) for _ in range(200)]
+    runs = suffix_dedup.Runs(C.Joined(texts), suffix_dedup.LENGTH, suffix_dedup.GRAM)
+    sizes = np.diff(C.by_bucket(runs.digit, 20))
+    assert sizes.sum() > 5000 and sizes.max() < 1.5 * sizes.mean()
+
+
 def test_substring_dedup(rows, docs):
     first, want = {}, {}
     for i, t, *_ in rows:
