@@ -10,13 +10,14 @@ The model is fitted on a bounded sample of the training rows, so it fits into me
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from cohortspark.llm import bpe, common as C
@@ -29,6 +30,8 @@ MODEL_WORDS, MODEL_GRAMS = 60_000, 120_000
 LONGEST = 5
 #: The words whose evidence makes up a score: longer texts are not surer than that.
 EVIDENCE = 20
+#: Bytes of text scored at once, and distinct words that a worker remembers: what a task holds beside its Arrow batch.
+CHUNK_BYTES, REMEMBERED = 1 << 18, 250_000
 UNKNOWN = "und"
 
 
@@ -110,7 +113,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.cache: dict[int, tuple[float, ...]] = {}
+        self.cache: dict[int, int] = {}  # hash of a word: its row of log odds in `rows`
+        self.rows = array("d")
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text the summed log odds and the number of words."""
@@ -127,24 +131,25 @@ class Scorer:
         if len(start) and self.model.langs:
             hashes = C.range_hash(C.prefix_sums(C.mix(code.astype(np.uint64) + np.uint64(77)), C.BYTE_BASE), start, end, C.BYTE_BASE)
             kinds, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            if len(self.cache) > REMEMBERED:
+                self.cache, self.rows = {}, array("d")
             cache, score, own = self.cache, self.model.word, []
             for key, i in zip(kinds.tolist(), first.tolist()):
                 row = cache.get(key)
                 if row is None:
-                    row = cache[key] = score(joined[start[i]:end[i]])
+                    row = cache[key] = len(cache)
+                    self.rows.extend(score(joined[start[i]:end[i]]))
                 own.append(row)
-            if len(cache) > bpe.CACHE // 2:
-                cache.clear()
+            odds = np.frombuffer(self.rows).reshape(-1, len(self.model.langs))[own]
             some = n > 0
-            total[some] = np.add.reduceat(np.asarray(own)[inverse.ravel()], first_word[:-1][some], axis=0)
+            total[some] = np.add.reduceat(odds[inverse.ravel()], first_word[:-1][some], axis=0)
         return total, n
 
-
-    def choose(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def choose(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each text the number of the likeliest language, -1 without a letter, and its probability."""
         best, score = [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
-        for a, b in C.chunks([len(t) for t in texts], bpe.BATCH_CHARS):
-            total, n = self.of(texts[a:b])
+        for a, b in C.chunks(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), CHUNK_BYTES):
+            total, n = self.of([t or "" for t in texts.slice(a, b - a).to_pylist()])
             if not self.model.langs:
                 n[:] = 0
                 total = np.zeros((len(n), 1))
@@ -164,7 +169,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(sent.value)
         names = np.asarray([*sent.value.langs, UNKNOWN], dtype=object)
         for batch in batches:
-            best, score = scorer.choose([t or "" for t in batch.column(1).to_pylist()])
+            best, score = scorer.choose(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names[best], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
@@ -194,10 +199,10 @@ def keep_identified(docs: DataFrame, least: float = 0.5, fit_bytes: int = FIT_BY
     """The documents whose language is identified: a letter in the text, and one language likelier than all others."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs), fit_bytes))
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(sent.value)
         for batch in texts:
-            yield pd.Series(scorer.choose([t or "" for t in batch])[1])
+            yield pa.array(scorer.choose(batch)[1])
 
-    return docs.where(score("text") >= least)
+    return docs.where(score(F.col("text").cast("string")) >= least)

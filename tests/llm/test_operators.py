@@ -3,9 +3,11 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +229,22 @@ def test_language(rows, docs):
     assert {r.doc_id for r in language_id.keep_identified(docs).collect()} == set(got) - {130, 131, 132}
 
 
+def test_language_memory():
+    """What scoring holds beside its batch doesn't grow with the batch."""
+    rng = random.Random(6)
+    texts = pa.array([" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(150)) for _ in range(20)] * 100)
+    model = language_id.Model(["de", "en", "es", "fr"], {}, {a: (-1.5, -1.0, -2.0, -1.25) for a in "abcdefghij"})
+    C.powers(C.BYTE_BASE, 1 << 20)
+    bpe.classes()
+    scorer = language_id.Scorer(model)
+    tracemalloc.start()
+    try:
+        scorer.choose(texts)
+        assert tracemalloc.get_traced_memory()[1] < 30e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_quality(spark, rows):
     some = [(i, t if i % 4 else t.upper().replace(" ", "!! "), g, s) for i, t, g, s in rows[:110]] + [(200, None, None, None)]
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i, *_ in some[:100]], "doc_id long, quality int")
