@@ -39,17 +39,15 @@ def tokenised_pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and a final 0, cut if longer than `capacity`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+        for batch in (part for whole in batches for part in C.slices(whole, 1)):
             rows: list[tuple[int, int, int, int, int]] = []
-            for a, b in C.chunks([len(t) for t in texts], bpe.BATCH_CHARS):
-                ids, begin = bpe.ids().of(texts[a:b])
-                for i in range(b - a):
-                    own = ids[begin[i]:begin[i + 1]].tobytes() + b"\0\0\0\0"
-                    at = 0
-                    for k, n in enumerate(cut_lengths(len(own) // 4, capacity)):
-                        rows.append((a + i, k, at, n, C.crc(own[4 * at:4 * (at + n)])))
-                        at += n
+            ids, begin = bpe.ids().of([t or "" for t in batch.column(1).to_pylist()])
+            for i in range(batch.num_rows):
+                own = ids[begin[i]:begin[i + 1]].tobytes() + b"\0\0\0\0"
+                at = 0
+                for k, n in enumerate(cut_lengths(len(own) // 4, capacity)):
+                    rows.append((i, k, at, n, C.crc(own[4 * at:4 * (at + n)])))
+                    at += n
             cols = np.asarray(rows, dtype=np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), *map(pa.array, cols[2:])],

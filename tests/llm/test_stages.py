@@ -1,9 +1,12 @@
 """Pipeline stages on tables with clashing column names, null and repeated ids; recall of the near-duplicate sketches."""
 
 import random
+import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +107,56 @@ def test_recall(n, similarity, least):
         keys = near_dedup.Words(a + b).keys()
         found = [len(np.intersect1d(keys[i], keys[i + len(a)])) > 0 for i in range(len(a))]
         assert np.mean(found) >= least, (spaced, np.mean(found))
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_narrow_passes_hold_little(spark):
+    """A pass holds arrays over little text at a time, however large its Arrow batch or block is; results are those of each text alone."""
+    rng = random.Random(4)
+    some = [words(rng, 400) for _ in range(50)]
+    texts = [f"{i} {some[i % 50]} {some[i % 49]}" for i in range(700)] + [None, "", "word"]  # 4 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    for run in (near_dedup._sketch, near_dedup._encode):
+        list(run([batch.slice(0, 2)]))  # tables that stay
+        assert peak_mb(lambda: list(run([batch]))) < 25
+        got = [row for part in run([batch]) for row in part.to_pylist()]
+        assert got[::100] == [row for i in range(0, len(texts), 100) for part in run([batch.slice(i, 1)]) for row in part.to_pylist()]
+        assert [row["doc_id"] for row in got] == list(range(len(texts)))
+    block = [(t or "").encode() for t in texts]
+    joined = C.Joined(block)
+    assert peak_mb(joined.word_hashes) < 25
+    assert (joined.word_hashes() == C.range_hash(C.byte_sums(joined.buf), joined.start, joined.end, C.BYTE_BASE)).all()
+
+
+def test_slices():
+    texts = ["a" * 10, None, "", "b" * 50, "c"] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(texts), pa.array(texts[::-1]).cast(pa.binary())], ["i", "t", "u"])
+    for columns in ([1], [1, 2]):
+        parts = list(C.slices(batch, *columns, most=60))
+        assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]).combine_chunks()) and len(parts) > 20
+        assert all(p.num_rows == 1 or sum(len(x or "") for c in columns for x in p.column(c).to_pylist()) <= 60 for p in parts)
+    assert not list(C.slices(batch.slice(0, 0), 1))
+
+
+def test_first_of_each_class_moves_rows_once(spark, wide):
+    """Whole rows meet the ids that go in one shuffle; with repeated ids the least row of each stays."""
+    docs = wide.select("doc_id", "text", "lang", "source", "n_chars")
+    whole = lambda df: sum("_row" in x or "text" in x for x in re.findall(
+        r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]", df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")))
+    out = near_dedup.first_of_each_class(docs)
+    assert whole(out) <= 2  # rows without an id are joined apart
+    rng = random.Random(6)
+    rows = [(i, words(rng, 30), "en") for i in range(40)]
+    more = rows + [(3, words(rng, 30), "en"), (3, rows[3][1], "de"), (4, rows[4][1], "en"), (50, rows[7][1], "en"), (50, words(rng, 30), "en"), (None, words(rng, 9), "en")]
+    got = near_dedup.first_of_each_class(spark.createDataFrame(more, "doc_id long, text string, lang string")).collect()
+    # of id 50 one text is a copy of row 7's: all rows of the id go
+    three = min((t, lang) for i, t, lang in more if i == 3)
+    assert Counter(map(tuple, got)) == Counter([x for x in rows if x[0] != 3] + [(3, *three), more[-1]])
