@@ -62,3 +62,15 @@ def test_sample_weights(spark):
     df = spark.createDataFrame([(1, True), (2, False), (3, False), (4, False)], "patient_id long, had boolean")
     out = sampling.sample_weights(sampling.sample_nonoutcomes_n(df, 2, "had"), "had").orderBy("patient_id").collect()
     assert [r["sample_weight"] for r in out] == [1.0, 1.5, 1.5, 0.0]
+
+
+def test_buckets_of_all_variables_take_one_pass(spark, monkeypatch):
+    rows = [(i, float(i * 7919 % 1009), float(i % 13), 5.0 if i % 4 else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "i int, a double, b double, c double")
+    monkeypatch.setattr(type(df), "unionByName", lambda *a, **k: (_ for _ in ()).throw(AssertionError("a pass for each variable")))
+    probs = (0.0, 0.1, 0.5, 0.9, 1.0)
+    got = {(r["variable"], r["prob"]): r["quantile"] for r in ranking.quantiles(df, ["a", "b", "c"], probs, rows_per_bucket=20).collect()}
+    for j, c in enumerate("abc", 1):
+        values = sorted(r[j] for r in rows if r[j] is not None)
+        for p in probs:
+            assert got[c, p] == values[max(-(-round(len(values) * p * 10) // 10), 1) - 1]
