@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -97,6 +97,11 @@ class Design:
     def straight(self) -> tuple:
         return tuple(t for t in self.terms if t not in self.curved())
 
+    def parted(self, columns: Sequence[str]) -> tuple[tuple, tuple]:
+        """The terms that read only some columns, and the others."""
+        inside = tuple(t for t in self.terms if columns_of(t) <= set(columns))
+        return inside, tuple(t for t in self.terms if t not in inside)
+
     def linear(self, coef: Sequence[float], terms: Sequence[object] | None = None) -> Column:
         """Weighted sum of the columns, or of those of some terms. All levels of a factor share one lookup, so the expression stays
         small however many columns the design has."""
@@ -213,19 +218,19 @@ def fit_design(df: DataFrame, terms: Sequence[object], rows: str | None = None)
 def gram(df: DataFrame, x: str, weight: str | None = None) -> np.ndarray:
     """Sum of w x x' over all rows: one partial matrix per task, added up by Spark."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            m = np.stack(b[x].to_numpy())
-            part = m.T @ (m * b[weight].to_numpy()[:, None] if weight else m)
+            m = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            part = m.T @ (m * b.column(1).to_numpy(zero_copy_only=False)[:, None] if weight else m)
             total = part if total is None else total + part
         if total is not None:
-            yield pd.DataFrame({"k": np.arange(total.size), "v": total.ravel()})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["k", "v"])
 
     cols = [x] + ([weight] if weight else [])
-    sums = df.select(*cols).mapInPandas(partial, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+    sums = df.select(*cols).mapInArrow(partial, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
     p = int(round(len(sums) ** 0.5))
     return sums.sort_values("k")["v"].to_numpy().reshape(p, p)
 

@@ -6,7 +6,7 @@ splines' part, one row for each day and region, is broadcast to them. Only the c
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -77,30 +77,46 @@ def realised(probability: Column, event: str) -> Column:
 def with_stabilised_weight(days: DataFrame, models: tuple[LogisticFit, LogisticFit], event: str, at_risk: str,
                            name: str) -> DataFrame:
     """Add the fixed-covariate over time-varying probability of the observed status; 1 when not at risk."""
-    varying, fixed = models
-    ready, (p_varying, p_fixed) = with_curves(days, (varying, fixed))
-    ratio = realised(p_fixed, event) / realised(p_varying, event)
-    out = ready.withColumn(name, F.when(F.col(at_risk), ratio).otherwise(F.lit(1.0)))
-    return out.select(*days.columns, name)
+    return with_stabilised_weights(days, {name: (models, event, at_risk)})
 
 
-def with_curves(days: DataFrame, models: Sequence[LogisticFit], most: int = CURVE_ROWS) -> tuple[DataFrame, list[Column]]:
+def with_stabilised_weights(days: DataFrame, weights: Mapping[str, tuple[tuple[LogisticFit, LogisticFit], str, str]],
+                            kinds: DataFrame | None = None) -> DataFrame:
+    """:func:`with_stabilised_weight` for several (models, event, at risk) by name, with one lookup of all their curves.
+
+    ``kinds``: rows that hold every combination of the splines' columns, if there are fewer of them than days.
+    """
+    fits = [m for pair, _, _ in weights.values() for m in pair]
+    ready, p = with_curves(days, fits, kinds=kinds)
+    new = {}
+    for i, (name, (_, event, at_risk)) in enumerate(weights.items()):
+        ratio = realised(p[2 * i + 1], event) / realised(p[2 * i], event)
+        new[name] = F.when(F.col(at_risk), ratio).otherwise(F.lit(1.0))
+    return ready.withColumns(new).select(*days.columns, *new)
+
+
+def with_curves(days: DataFrame, models: Sequence[LogisticFit], most: int = CURVE_ROWS,
+                kinds: DataFrame | None = None) -> tuple[DataFrame, list[Column]]:
     """Rows from which the models' probabilities can be read, and these probabilities.
 
     Splines and their products with factors are the long part of a predictor, and they depend on few columns (day and
-    region): up to ``most`` combinations, they are computed once for each and looked up. Otherwise they are expressions.
+    region): up to ``most`` combinations, they are computed once for each, with all other terms of these columns, and looked up.
+    Otherwise they are expressions. What is left on the row has to stay short: the JVM doesn't compile a method of over 8000
+    bytes, and interpreting it takes ten times as long. ``kinds``: rows that hold every combination, else the days are read for them.
     """
     columns = sorted({c for m in models for t in m.design.curved() for c in columns_of(t)})
-    kinds = stable(days.select(*columns).distinct()) if columns else None
+    kinds = stable((days if kinds is None else kinds).select(*columns).distinct()) if columns else None
     if kinds is None or kinds.count() > most:
         for m in models:
             days = m.prepare(days)
         return days, [m.probability() for m in models]
-    for i, m in enumerate(models):
-        kinds = m.prepare(kinds).withColumn(f"_curve{i}", m.design.linear(m.coef[1:], m.design.curved()))
+    parts = [m.design.parted(columns) for m in models]
+    for i, (m, (inside, _)) in enumerate(zip(models, parts)):
+        kinds = m.prepare(kinds).withColumn(f"_curve{i}", m.design.linear(m.coef[1:], inside))
     looked = kinds.select(*[F.col(c).alias(f"_at_{c}") for c in columns], *[f"_curve{i}" for i in range(len(models))])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in columns])
-    return days.join(F.broadcast(looked), same), [m.probability(F.col(f"_curve{i}")) for i, m in enumerate(models)]
+    return days.join(F.broadcast(looked), same), [
+        m.probability(F.col(f"_curve{i}"), rest) for i, (m, (_, rest)) in enumerate(zip(models, parts))]
 
 
 def add_weights(days: DataFrame, weights: dict[str, Column], sample_weight: str | None = None,

@@ -40,15 +40,16 @@ class LogisticFit:
     def prepare(self, df: DataFrame) -> DataFrame:
         return self.design.prepare(df)
 
-    def probability(self, curve: Column | None = None) -> Column:
+    def probability(self, curve: Column | None = None, rest: Sequence[object] | None = None) -> Column:
         """Predicted probability of a prepared row, as a plain expression: predicting needs no join.
 
-        ``curve``: what the curved terms add up to, if the row has that already.
+        ``curve``: what the curved terms add up to, if the row has that already; ``rest``: the terms that are not in it, if
+        not just all straight ones.
         """
         if curve is None:
             total = self.design.linear(self.coef[1:])
         else:
-            total = self.design.linear(self.coef[1:], self.design.straight()) + curve
+            total = self.design.linear(self.coef[1:], self.design.straight() if rest is None else rest) + curve
         return 1 / (1 + F.exp(-(F.lit(self.coef[0]) + total)))
 
 
@@ -61,26 +62,27 @@ def patterns(df: DataFrame, columns: Sequence[str], weight: Column) -> DataFrame
     return df.select(*columns, weight.alias("_w")).where("_w > 0").groupBy(*columns).agg(F.sum("_w").alias("_w"))
 
 
-def counted(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
-    """The distinct rows of some columns and how many rows have them."""
-    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(name))
+def counted(df: DataFrame, columns: Sequence[str], name: str, weight: str | None = None) -> DataFrame:
+    """The distinct rows of some columns and how many rows have them; with ``weight`` also its sum, of the rows that have one."""
+    sums = [F.sum(F.when(F.col(weight) > 0, F.col(weight).cast("double"))).alias(weight)] if weight else []
+    return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(name), *sums)
 
 
-def _weight(weight: str | None, rows: str | None) -> Column:
+def _weight(weight: str | None, rows: str | None, summed: bool = False) -> Column:
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    return w if rows is None else w * F.col(rows)
+    return w if rows is None or summed else w * F.col(rows)
 
 
 def fit_logistic(df: DataFrame, terms: Sequence[object], label: str, weight: str | None = None,
-                 max_iter: int = 40, rows: str | None = None) -> LogisticFit:
+                 max_iter: int = 40, rows: str | None = None, summed: bool = False) -> LogisticFit:
     """Maximum-likelihood fit by Newton steps, each one pass over the data.
 
     Columns that depend linearly on earlier ones are dropped first (their coefficient is undefined). Knots and levels are
     read from all rows; every iteration then runs over the distinct rows with their weights added up.
-    ``rows``: a column with how many rows each row stands for (:func:`counted`).
+    ``rows``: a column with how many rows each row stands for (:func:`counted`); ``summed``: their weights have been added up.
     """
     design = fit_design(df, terms, rows)
-    w = _weight(weight, rows)
+    w = _weight(weight, rows, summed)
     columns = sorted({c for t in terms for c in columns_of(t)} | {label})
     df = design.prepare(stable(patterns(df, columns, w)))
     with_one = df.select(F.concat(F.array(F.lit(1.0)), design.array()).alias("_x"))
@@ -177,16 +179,18 @@ def sandwich(bread: np.ndarray, sums: DataFrame, p: int, small_sample: bool = Fa
 
 
 def robust_logistic(df: DataFrame, fit: LogisticFit, label: str, cluster: str, weight: str | None = None,
-                    small_sample: bool = False, kinds: DataFrame | None = None, rows: str | None = None) -> LogisticFit:
+                    small_sample: bool = False, kinds: DataFrame | None = None, rows: str | None = None,
+                    summed: bool = False) -> LogisticFit:
     """Add the cluster-robust (HC0) variance to a fit.
 
     The information comes from the distinct rows; scores are added up per cluster as plain column sums.
-    ``kinds``: the same rows without their cluster, each as often as ``rows`` says, if they have been counted already.
+    ``kinds``: the same rows without their cluster, each as often as ``rows`` says, if they have been counted already; ``summed``:
+    with their weights added up.
     """
     p = len(fit.coef)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     columns = sorted({c for t in fit.design.terms for c in columns_of(t)})
-    alike = patterns(df, columns, w) if kinds is None else patterns(kinds, columns, _weight(weight, rows))
+    alike = patterns(df, columns, w) if kinds is None else patterns(kinds, columns, _weight(weight, rows, summed))
     kinds = fit.prepare(alike).withColumn("_p", fit.probability())
     bread = gram(kinds.select(
         F.concat(F.array(F.lit(1.0)), fit.design.array()).alias("_x"), (F.col("_w") * F.col("_p") * (1 - F.col("_p"))).alias("_h")), "_x", "_h")

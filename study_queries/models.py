@@ -57,10 +57,11 @@ def _inputs(spark, sf):
     return single_base(spark, sf), fixed, st.covariate_terms(CFG, REGIONS, ADJUST, spline_df=3)
 
 
-def _weighted(spark, sf, outcome: str, brand: str, robust: bool = False, write: bool = False):
-    """Weighted at-risk days, written where they are read several times."""
+def _weighted(spark, sf, outcome: str, brand: str, robust: bool = False, write: bool = False, model: bool = False):
+    """Weighted at-risk days, written where they are read several times; ``model``: with the columns of the outcome model."""
     base, fixed, terms = _inputs(spark, sf)
-    out, models = st.weighted_days(base, fixed, outcome, brand, CFG, terms, robust=robust, write=write)
+    columns = st.msm_columns(terms) if model else []
+    out, models = st.weighted_days(base, fixed, outcome, brand, CFG, terms, robust=robust, write=write, columns=columns)
     return out, models, terms
 
 
@@ -75,7 +76,7 @@ def ipw_weights(spark, sf):
 
 @query()
 def weight_report(spark, sf):
-    return ipw.weight_report(_weighted(spark, sf, "postest", "pfizer", write=True)[0])
+    return ipw.weight_report(_weighted(spark, sf, "postest", "pfizer")[0])
 
 
 @query()
@@ -104,7 +105,7 @@ def forest_plot_data(spark, sf):
 
 
 def _msm(spark, sf):
-    days, _, terms = _weighted(spark, sf, "postest", "pfizer", write=True)
+    days, _, terms = _weighted(spark, sf, "postest", "pfizer", write=True, model=True)
     table = logistic.coefficient_table(spark, st.msm(days, CFG, terms))
     return table.withColumns({"model": F.lit("4"), "subgroup_level": F.lit("all")})
 
