@@ -133,6 +133,22 @@ def test_band_join_lists_no_pairs(spark, how):
     assert plan.count("Join ") == (2 if how == "full" else 1)
 
 
+def test_between_join_lists_no_pairs(spark, monkeypatch):
+    """Rows meet in buckets: a list of pairs would be as long as the result where values don't repeat."""
+    rnd = random.Random(11)
+    xs = [(i, rnd.choice([None, float("nan"), 5.0, rnd.uniform(-50, 300)]), i % 3) for i in range(150)]
+    ends = [(rnd.uniform(-60, 300), rnd.choice([0.0, 0.5, 3.0, 40.0, 500.0, -2.0])) for _ in range(90)]
+    ys = [(i, a, a + w, i % 4) for i, (a, w) in enumerate(ends)] + [(90, None, 3.0, 1), (91, 0.0, None, 1), (92, 4.0, 6.0, None), (92, 4.0, 6.0, 1)]
+    x, y = spark.createDataFrame(xs * 2, "id int, v double, k int"), spark.createDataFrame(ys, "id int, lo double, hi double, m int")
+    monkeypatch.setattr(joins, "spread", lambda df: (_ for _ in ()).throw(AssertionError("a list of pairs")))
+    ok = lambda a, b: None not in (a[1], b[1], b[2]) and b[1] <= a[1] < b[2]
+    out = joins.predicate_join(x, y, {"v": ("lo", "hi")}, joins.Between("left"))
+    assert out.columns == ["id_x", "v", "k", "id_y", "lo", "hi", "m"] and rows(out) == plain_join(xs * 2, ys, ok, "inner")
+    more = lambda a, b: ok(a, b) and b[3] is not None and a[2] <= b[3]
+    out = joins.predicate_join(x, y, {"v": ("lo", "hi"), "k": "m"}, [joins.Between("left"), lambda a, b: a <= b])
+    assert rows(out) == plain_join(xs * 2, ys, more, "inner")
+
+
 def test_default_keys_and_index_function(spark):
     xs, ys = [(1, 5), (2, 6), (3, None), (4, 5)], [(1, 5), (9, 7)]
     x, y = spark.createDataFrame(xs, "a int, k int"), spark.createDataFrame(ys, "b int, k int")
