@@ -331,6 +331,24 @@ def test_search_whole_texts(spark, rows, docs):
     assert got == plain_search(some, lambda i: i % 20 == 0, 5) and got[40][0][0] is None
 
 
+def test_search_packs_blocks_in_pieces(spark, rows, docs, monkeypatch):
+    """What a task packs and unpacks at once is bounded by a piece, not by the block of queries; several shards share a cell."""
+    some = [*rows, (None, rows[40][1], "en", "s")]
+    data, want = table(spark, some), plain_search(some, lambda i: i % 20 == 0, 5)
+    for name, value in (("PIECE_BYTES", 300), ("MANY_CELLS", 3)):
+        monkeypatch.setattr(topk_search, name, value)
+    made = []
+    pack = topk_search.stable
+    monkeypatch.setattr(topk_search, "stable", lambda df: made.append(pack(df)) or made[-1])
+    assert searched(topk_search.search(data, docs.where("doc_id % 20 = 0"), 5, 4000, 2000)) == want
+    blocks = next(df for df in made if "piece" in df.columns)
+    asked = sum(len((t or "").encode()) for i, t, *_ in some if i is not None and i % 20 == 0)
+    assert blocks.count() > -(-asked // 2000)
+    # terms of queries leave a task in batches of bounded text, not in one of all queries that an Arrow batch holds
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 20, 40]), pa.array([f"a{i} " * 60_000 for i in range(3)])], ["doc_id", "text"])
+    assert [b.num_rows for b in topk_search._query_terms(iter([batch]))] == [1, 1, 1]
+
+
 def test_search_prunes_exactly(spark, monkeypatch):
     """Many common terms, copies and near copies in one shard: blocks are skipped and nothing is lost."""
     rng = random.Random(8)
